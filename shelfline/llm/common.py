@@ -57,7 +57,8 @@ _CODE = mix64(np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 _POWERS = np.ones(1, dtype=np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
+    """At least the first ``n`` powers of the multiplier of span_hashes."""
     global _POWERS
     if len(_POWERS) < n:
         steps = np.full(max(n, 64), 0xD6E8FEB86659FD93, dtype=np.uint64)
@@ -66,6 +67,14 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+def code_values(codes: np.ndarray) -> np.ndarray:
+    """What each byte or code point adds to a hash."""
+    if codes.dtype == np.uint8:
+        return _CODE[codes]
+    codes = codes.astype(np.int64)
+    return _CODE[codes & 0xFFFF] + _CODE[codes >> 16] * np.uint64(3)
+
+
 def span_hashes(codes: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span ``codes[start:start + len]`` (len > 0).
 
@@ -76,13 +85,8 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.n
         return np.zeros(0, dtype=np.uint64)
     offsets = np.cumsum(lens) - lens
     place = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(offsets, lens)
-    values = codes[place + np.repeat(starts, lens)]
-    if codes.dtype == np.uint8:
-        x = _CODE[values]
-    else:
-        values = values.astype(np.int64)
-        x = _CODE[values & 0xFFFF] + _CODE[values >> 16] * np.uint64(3)
-    return mix64(np.add.reduceat(x * _powers(int(lens.max()))[place], offsets) + lens.astype(np.uint64))
+    x = code_values(codes[place + np.repeat(starts, lens)])
+    return mix64(np.add.reduceat(x * powers(int(lens.max()))[place], offsets) + lens.astype(np.uint64))
 
 
 def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import exact_dedup, mixing, sharding, topk, warc
+from shelfline.llm import exact_dedup, mixing, packing, sharding, token_counts, topk, warc
 from shelfline.llm.common import shared_dir, stored
 
 #: Shards that op10 places documents on.
@@ -33,6 +33,18 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flattest mix of all documents' sources that reads every document
     and none more often than 1.5 epochs of its source."""
@@ -75,6 +87,12 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document, and whether there are over 512."""
+    out = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot and the shard, of 64, of every document."""
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
@@ -83,9 +101,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op5_source_mixing": op5_source_mixing,
         "op7_warc_assembly": op7_warc_assembly,
         "op8_exact_top_k": op8_exact_top_k,
+        "op9_token_counts": op9_token_counts,
         "op10_sharding": op10_sharding,
     }
 
