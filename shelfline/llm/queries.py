@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import exact_dedup, mixing, packing, sharding, token_counts, topk, warc
+from shelfline.llm import exact_dedup, language_id, lm_scoring, mixing, packing, sharding, token_counts, topk, warc
 from shelfline.llm.common import shared_dir, stored
 
 #: Shards that op10 places documents on.
@@ -45,6 +45,22 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the class model of six folds of seven."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = language_id.in_fold(F.col("doc_id"), 7, 2)
+    model, counts = lm_scoring.train(docs.where(~held_out))
+    return lm_scoring.score(docs, model, counts, held_out).withColumnRenamed("extra", "held_out")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four folds of five."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = language_id.in_fold(F.col("doc_id"), 5, 0)
+    out = language_id.identify(docs, language_id.learn(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flattest mix of all documents' sources that reads every document
     and none more often than 1.5 epochs of its source."""
@@ -102,7 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_source_mixing": op5_source_mixing,
+        "op6_language_id": op6_language_id,
         "op7_warc_assembly": op7_warc_assembly,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_token_counts": op9_token_counts,
