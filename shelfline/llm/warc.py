@@ -72,7 +72,7 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("about:blank")), r"[\x00-\x1F\x7F]", " ").alias("uri"),
-    ).join(plan, F.col("page_id").eqNullSafe(F.col("__id")))
+    ).join(plan.hint("merge"), F.col("page_id").eqNullSafe(F.col("__id")))
     rows = with_payload_digest(rows, "payload_digest", F.col("payload").cast("binary"))
     number, uri = F.col("page_id"), F.col("uri")
     revisit = ~F.col("page_id").eqNullSafe(F.col("response_id"))
