@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import exact_dedup, language_id, lm_scoring, mixing, packing, sharding, token_counts, topk, warc
+from shelfline.llm import exact_dedup, language_id, lm_scoring, mixing, ngram_join, packing, sharding, token_counts, topk, warc
 from shelfline.llm.common import shared_dir, stored
 
 #: Shards that op10 places documents on.
@@ -19,6 +19,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of all documents that links of four-word shingles, at a
+    similarity of 0.85, form."""
+    return ngram_join.join_groups(_table(spark, sf_dir, "documents"), ngram_join.Rule(4, 85, 100))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents against a new, empty index."""
     out = exact_dedup.DigestIndex(spark).add(_table(spark, sf_dir, "documents"))
@@ -116,6 +122,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_lm_scoring": op4_lm_scoring,
