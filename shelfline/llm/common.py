@@ -3,41 +3,20 @@ see, and vectorised word spans and hashes over Arrow string columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from shelfline.plans.storage import shared_dir, stored
+
+__all__ = ["code_values", "lowered", "mix64", "powers", "shared_dir", "span_hashes", "stored", "text_slices", "word_spans", "words_of"]
 
 #: Bytes of text handled at once by the vectorised helpers (one longer text is
 #: still handled whole); bounds the memory of a task, not what it reads.
 SLICE_BYTES = 2_000_000
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the cluster's checkpoint folder.
-
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (tests on one machine) a temporary folder becomes the checkpoint folder.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shelfline-")
-        context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: its
-    lineage is cut and an executor's loss costs no recomputation."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
