@@ -142,7 +142,8 @@ def with_relevance(df: DataFrame, query: str | None, title: str = "title", name:
     groups = q.groups
     staged = df.withColumn("__text", normalize_text(t))
     staged = staged.withColumn("__tokens", F.transform(tokens(F.col("__text")), lambda x: F.struct(canonical(x).alias("group"), is_accessory(x).alias("accessory"))))
-    has = [F.exists("__tokens", lambda x, g=g: x["group"] == g).cast("int") for g in groups]
+    groups_of = F.transform("__tokens", lambda x: x["group"])
+    has = [F.array_contains(groups_of, g).cast("int") for g in groups]
     total = lambda columns: sum(columns[1:], columns[0]) if columns else F.lit(0)
     staged = (
         staged.withColumn("__overlap", total(has))
