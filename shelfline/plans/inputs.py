@@ -99,3 +99,22 @@ SELECT p_partkey AS id, CASE p_partkey % 8
   CASE p_partkey % 4 WHEN 0 THEN concat('a', CAST(p_partkey AS STRING), '.jpg 200w, b.jpg 400w, c.jpg 400w') WHEN 1 THEN ' one.jpg' WHEN 2 THEN 'x.jpg 1x,  y.jpg 2x , ' ELSE '' END AS srcset
 FROM {part}
 """
+
+_NUMBER = "lpad(CAST(p_partkey AS STRING), 9, '0')"
+#: Search pages of the three shops, each of one card made of a part.
+SHOP_PAGES = f"""
+SELECT p_partkey AS page_id, p_size, p_name,
+  CASE p_partkey % 3 WHEN 0 THEN 'https://www.amazon.in/s?k=bolts' WHEN 1 THEN 'https://www.flipkart.com/search?q=red+bolts' ELSE 'https://meesho.com/search?q=bolts%20x' END AS url,
+  CASE p_partkey % 3 WHEN 0 THEN concat('<html><body><input id="twotabsearchtextbox" value="', CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END, '"><div data-component-type="s-search-result" data-asin="b', {_NUMBER},
+      '"><h2><a class="a-link-normal" href="/x/dp/B', {_NUMBER}, '/ref=sr_1"><span>', p_name, ' ', p_type, ' original product</span></a></h2>', CASE WHEN p_size % 10 = 0 THEN '<div><span> Sponsored </span></div>' ELSE '' END,
+      '<span class="a-price a-text-price" data-a-strike="true"><span class="a-offscreen">₹9,999</span></span><span class="a-price"><span class="a-offscreen">₹1,', lpad(CAST(p_size AS STRING), 3, '0'),
+      '</span></span><i class="a-icon a-icon-star-small"><span class="a-icon-alt">4.', CAST(p_size % 10 AS STRING), ' out of 5 stars</span></i><span aria-label="', CAST(p_size * 37 AS STRING),
+      ' ratings"></span><img class="s-image" width="200" srcset="a.jpg 1x, b', CAST(p_size AS STRING), '.jpg 2x"></div><nav><a href="/s?k=bolts&page=2">Next</a></nav>',
+      CASE WHEN p_size % 3 = 0 THEN '<button>Load more</button>' ELSE '' END, '</body></html>')
+    WHEN 1 THEN concat('<body><p>top<div data-id="x"><a class="_4rR01T" href="/w/p/itm', CAST(p_partkey AS STRING), '?pid=acc', CAST(p_partkey AS STRING), '"> ', p_name, '  ', p_type, '</a><div class="_3LWZlK">4.', CAST(p_size % 10 AS STRING),
+      '</div><span class="_2U9tEA"><span>', CAST(p_size * 1000 AS STRING), ' Ratings &amp; ', CAST(p_size AS STRING), ' Reviews</span></span><div class="_30jeq3">₹', CAST(p_size AS STRING), ',499</div>',
+      CASE WHEN p_size % 10 = 0 THEN '<span> Ad </span>' ELSE '' END, '<img src="data:image/gif;base64,A"><img src="https://rukminim2.flixcart.com/', CAST(p_partkey AS STRING), '.jpg"></div><a class="_1LKTO3" href="/search?q=red&page=2">Next</a></body>')
+    ELSE concat('<body><div data-id="m"><a href="/shirt/p/', lpad(CAST(p_partkey AS STRING), 4, 'z'), '"><p>', p_name, ' kurti</p></a><span class="priceNow">₹', CAST(p_size AS STRING), '9</span><span class="AverageRating">3.', CAST(p_size % 10 AS STRING),
+      '</span><span class="RatingsCount">', CAST(p_size AS STRING), '.5K Ratings</span>', CASE WHEN p_size % 10 = 0 THEN '<b class="GoldBadge">Meesho Gold</b>' ELSE '' END, '<img data-src="https://images.meesho.com/', CAST(p_partkey AS STRING), '.webp"></div></body>') END AS html
+FROM {{part}}
+"""

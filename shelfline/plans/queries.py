@@ -12,6 +12,7 @@ from shelfline.functions.js import drop_first
 from shelfline.functions.lexicon import ACCESSORIES, AUDIO_BY_LENGTH, GROUP_OF, MESSAGES, STOPWORDS
 from shelfline.operators import dedup, filters, insights, ranking
 from shelfline.plans import inputs, pipeline
+from shelfline.sources import nodes, sites
 
 QUERY = "wireless ear phones under 1500"
 CASE_QUERY = "red widget case"
@@ -624,3 +625,51 @@ def page_cards(spark, sf):
 @query(rf"SELECT id, regexp_replace(raw, 'rs\.?', '', 'i') AS dropped FROM ({duck(inputs.PRICE_TEXTS)})")
 def drop_first_match(spark, sf):
     return rows(spark, sf, inputs.PRICE_TEXTS).select("id", drop_first(F.col("raw"), r"rs\.?").alias("dropped"))
+
+
+_PAGES = duck(inputs.SHOP_PAGES)
+_NO = "lpad(page_id::VARCHAR, 9, '0')"
+
+
+@query(f"""SELECT page_id * 1048576 AS ordinal, regexp_replace(CASE page_id % 3 WHEN 0 THEN p_name || ' ' || p_type || ' original product' WHEN 1 THEN p_name || ' ' || p_type ELSE p_name || ' kurti' END, '\\s+', ' ', 'g') AS title,
+  CASE page_id % 3 WHEN 0 THEN 1000 + p_size WHEN 1 THEN p_size * 1000 + 499 ELSE p_size * 10 + 9 END::DOUBLE AS price, CASE WHEN page_id % 3 = 2 THEN (30 + p_size % 10) / 10 ELSE (40 + p_size % 10) / 10 END AS rating,
+  CASE page_id % 3 WHEN 0 THEN p_size * 37 WHEN 1 THEN p_size * 1000 ELSE p_size * 1000 + 500 END::DOUBLE AS rating_count, CASE page_id % 3 WHEN 1 THEN p_size * 1000 END::DOUBLE AS review_count,
+  CASE page_id % 3 WHEN 0 THEN 'b' || p_size || '.jpg' WHEN 1 THEN 'https://rukminim2.flixcart.com/' || page_id || '.jpg' ELSE 'https://images.meesho.com/' || page_id || '.webp' END AS image,
+  CASE page_id % 3 WHEN 0 THEN 'https://www.amazon.in/x/dp/B' || {_NO} || '/ref=sr_1' WHEN 1 THEN '/w/p/itm' || page_id || '?pid=acc' || page_id ELSE '/shirt/p/' || lpad(page_id::VARCHAR, 4, 'z') END AS url,
+  CASE page_id % 3 WHEN 0 THEN 'https://www.amazon.in/dp/B' || {_NO} WHEN 1 THEN 'https://www.flipkart.com/w/p/itm' || page_id || '?pid=acc' || page_id ELSE 'https://www.meesho.com/shirt/p/' || lpad(page_id::VARCHAR, 4, 'z') END AS canonical_url,
+  upper(CASE page_id % 3 WHEN 0 THEN 'B' || {_NO} WHEN 1 THEN 'acc' || page_id ELSE lpad(page_id::VARCHAR, 4, 'z') END) AS product_id, p_size % 10 = 0 AS sponsored,
+  CASE page_id % 3 WHEN 0 THEN 'Amazon' WHEN 1 THEN 'Flipkart' ELSE 'Meesho' END AS source FROM (SELECT i.*, p_type FROM ({_PAGES}) i JOIN part ON p_partkey = page_id)""")
+def html_products(spark, sf):
+    found = sites.extract_products(rows(spark, sf, inputs.SHOP_PAGES))
+    return found.select("ordinal", "title", "price", "rating", "rating_count", "review_count", "image", "url", "canonical_url", "product_id", "sponsored", "source")
+
+
+@query(f"""SELECT page_id AS page, CASE page_id % 3 WHEN 0 THEN 'Amazon' WHEN 1 THEN 'Flipkart' ELSE 'Meesho' END AS site, page_id % 3 = 0 AND p_size % 3 = 0 AS more_available,
+  CASE page_id % 3 WHEN 0 THEN 'https://www.amazon.in/s?k=bolts&page=2' WHEN 1 THEN 'https://www.flipkart.com/search?q=red&page=2' END AS next_page_url,
+  CASE page_id % 3 WHEN 0 THEN CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'bolts' END WHEN 1 THEN 'red bolts' ELSE 'bolts x' END AS search_query FROM ({_PAGES})""")
+def html_scan(spark, sf):
+    return sites.scan_pages(rows(spark, sf, inputs.SHOP_PAGES))
+
+
+def _nodes(spark, sf, *picks):
+    spec = nodes.Spec(lambda root: [], (), picks)
+    return nodes.select_nodes(table(spark, sf, "pages").select(F.col("page_id").alias("page"), F.lit("any").alias("reader"), "html"), {"any": spec})
+
+
+@query(r"""SELECT page_id, i - 1 AS place, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '>([^<]*)</a>', 1) AS label FROM (
+  SELECT page_id, unnest(l) AS a, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="[^"]*">[^<]*</a>') AS l FROM pages))""")
+def html_anchors(spark, sf):
+    found = _nodes(spark, sf, nodes.Pick("anchor", ("nav a",), ("href",)))
+    return found.select(F.col("page").alias("page_id"), F.col("at")[3].cast("bigint").alias("place"), F.element_at("attrs", F.lit("href")).alias("href"), F.col("text").alias("label"))
+
+
+@query(r"""SELECT page_id, replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&') AS title, len(regexp_extract_all(html, '<div class="ad">'))::BIGINT AS ads FROM pages""")
+def html_titles(spark, sf):
+    found = _nodes(spark, sf, nodes.Pick("h1", ("h1",)), nodes.Pick("ad", ("div.ad",)))
+    first = F.min_by(F.when(F.col("name") == "h1", F.col("text")), F.when(F.col("name") == "h1", F.col("at")))
+    return found.groupBy(F.col("page").alias("page_id")).agg(first.alias("title"), F.count_if(F.col("name") == "ad").alias("ads"))
+
+
+@query("SELECT name, implemented FROM (VALUES ('Amazon', true), ('Flipkart', true), ('Meesho', true), ('Myntra', false)) t(name, implemented)")
+def registered_sites(spark, sf):
+    return sites.registered(spark).select("name", "implemented")
