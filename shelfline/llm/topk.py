@@ -20,8 +20,10 @@ from pyspark.sql.window import Window
 
 from shelfline.llm.common import stored
 
-#: Rows of a block of candidates, and of queries.
-BLOCK = 2048
+#: Rows of a block of candidates, and of queries; a task holds a few matrices of their scores.
+BLOCK = 1024
+#: Query blocks whose histograms a task adds up before it passes them on.
+ADDED = 32
 #: Ranges that a round divides the live range of a query into.
 BINS = 64
 
@@ -60,10 +62,10 @@ def _matrix(row: dict, ids: str, vals: str, dim: int) -> tuple[np.ndarray, np.nd
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact inner products: in floating point where no sum can leave its
-    integers, else as integers."""
+    integers, else as integers; half as wide where they fit."""
     top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     if top < 2**24:
-        return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
+        return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int32)
     if top < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
     return q @ c.T
@@ -74,7 +76,7 @@ def _pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     there = stored(queries, "query-blocks")
     per = there.groupBy("dim").agg(F.collect_set("block").alias("qblocks"))
     c = candidates.withColumnsRenamed({"ids": "cids", "vals": "cvals", "block": "cblock"}).join(per, "dim").withColumn("block", F.explode("qblocks")).drop("qblocks")
-    return c.repartition("block", "cblock").join(there, ["dim", "block"])
+    return c.join(there, ["dim", "block"])
 
 
 def top_k(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -92,8 +94,10 @@ def top_k(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vec_col: str
     vectors = stored(vectors.groupBy("vec_id").agg(F.min("v").alias("v")), "int-vectors")
     chosen = vectors.where(is_query(F.col("vec_id")))
     n_all, n_query = vectors.count(), chosen.count()
-    pairs = _pairs(_blocks(chosen, -(-max(n_query, 1) // BLOCK)), _blocks(vectors, -(-max(n_all, 1) // BLOCK)))
-    pairs = stored(pairs.select("dim", "block", "ids", "vals", "cblock", "cids", "cvals"), "block-pairs")
+    n_q, n_c = -(-max(n_query, 1) // BLOCK), -(-max(n_all, 1) // BLOCK)
+    pairs = _pairs(_blocks(chosen, n_q), _blocks(vectors, n_c)).select("dim", "block", "ids", "vals", "cblock", "cids", "cvals")
+    # A few pairs a task, those of one query block side by side.
+    pairs = stored(pairs.repartition(min(-(-n_q * n_c // 8), 20_000), "block", "cblock").sortWithinPartitions("block", "cblock"), "block-pairs")
     # A score's size is at most the product of the norms; the range starts there, a power of BINS wide.
     norm = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0] or 0.0
     rounds = 1
@@ -139,7 +143,8 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
                 continue
             low, need = np.array([held[x] for x in ids.tolist()], dtype=np.int64).T
             scores = _scores(q, c)
-            scores[ids[:, None] == cids[None, :]] = np.iinfo(np.int64).min
+            own = np.isin(cids, ids).nonzero()[0]
+            scores[np.searchsorted(ids, cids[own]), own] = np.iinfo(scores.dtype).min
             yield ids, low, need, cids, scores
 
 
@@ -149,14 +154,24 @@ def _narrow(pairs: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
     than k scores ends at its lowest bin and keeps them all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for ids, table in tables.values():
+                at = np.flatnonzero(table)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at // BINS]), pa.array((at % BINS).astype(np.int32)), pa.array(table[at])], names=["query_id", "bin", "n"])
+            tables.clear()
+
         for ids, low, _, _, scores in _scored(batches):
-            # Scores above the range were counted in an earlier round.
-            bins = (scores - low[:, None]) // width
-            bins[scores == np.iinfo(np.int64).min] = -1
-            q, _ = np.nonzero(live := (bins >= 0) & (bins < BINS))
-            table = np.bincount(q * BINS + bins[live], minlength=len(ids) * BINS)
-            at = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at // BINS]), pa.array((at % BINS).astype(np.int32)), pa.array(table[at])], names=["query_id", "bin", "n"])
+            _, table = tables.setdefault(ids.tobytes(), (ids, np.zeros(len(ids) * BINS, dtype=np.int64)))
+            none = np.iinfo(scores.dtype).min
+            for k in range(len(ids)):
+                # Scores above the range were counted in an earlier round.
+                bins = (scores[k][scores[k] != none].astype(np.int64) - low[k]) // width
+                table[k * BINS : (k + 1) * BINS] += np.bincount(bins[(bins >= 0) & (bins < BINS)], minlength=BINS)
+            if len(tables) >= ADDED:
+                yield from out()
+        yield from out()
 
     hist = _with_ranges(pairs, ranges).mapInArrow(count, "query_id bigint, bin int, n bigint").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
     down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
@@ -181,7 +196,7 @@ def _select(spark, pairs: DataFrame, ranges: DataFrame, k: int) -> DataFrame:
             ties = scores == low[:, None]
             ties &= np.cumsum(ties, axis=1) <= need[:, None]
             q, c = np.nonzero((scores > low[:, None]) | ties)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(cids[c]), pa.array(scores[q, c])], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(cids[c]), pa.array(scores[q, c].astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     found = _with_ranges(pairs, ranges).mapInArrow(keep, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
