@@ -12,7 +12,9 @@ from shelfline.functions.js import drop_first
 from shelfline.functions.lexicon import ACCESSORIES, AUDIO_BY_LENGTH, GROUP_OF, MESSAGES, STOPWORDS
 from shelfline.operators import dedup, filters, insights, ranking
 from shelfline.plans import inputs, pipeline
+from shelfline.schema import raw_products
 from shelfline.sources import nodes, sites
+from shelfline.streaming import incremental
 
 QUERY = "wireless ear phones under 1500"
 CASE_QUERY = "red widget case"
@@ -300,8 +302,6 @@ _KEY = "coalesce('id:' || nullif(asin, ''), 'url:' || nullif(canonical_url, ''),
 @query(f"""SELECT ordinal, asin, price FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY ordinal) AS n FROM ({_AFTER})
   WHERE {_KEY} NOT IN (SELECT {_KEY} FROM ({_BEFORE}))) WHERE n = 1""")
 def load_more_new_rows(spark, sf):
-    from shelfline.schema import raw_products
-
     after = raw_products(rows(spark, sf, inputs.COPIES))
     return dedup.new_rows(after.where("ordinal % 3 = 0"), after).select("ordinal", "asin", "price")
 
@@ -673,3 +673,26 @@ def html_titles(spark, sf):
 @query("SELECT name, implemented FROM (VALUES ('Amazon', true), ('Flipkart', true), ('Meesho', true), ('Myntra', false)) t(name, implemented)")
 def registered_sites(spark, sf):
     return sites.registered(spark).select("name", "implemented")
+
+
+# --- pages and rows that arrive one after another
+#: The raw columns that copies lack are null.
+COPIES_RAW = f"SELECT *, NULL::VARCHAR AS image, NULL::VARCHAR AS url, NULL::VARCHAR AS product_id, NULL::VARCHAR AS source, NULL::VARCHAR AS marketplace FROM ({COPIES})"
+_COPY_RANK = f"SELECT ordinal, rank, feedback_volume FROM ({ranked_sql(f'SELECT * FROM ({valid_sql(dedup_sql(COPIES_RAW))}) WHERE NOT sponsored')})"
+
+
+@query(_COPY_RANK)
+def stream_ranked(spark, sf):
+    orders = spark.readStream.schema(table(spark, sf, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    copies = spark.sql(inputs.COPIES, orders=orders).transform(raw_products)
+    return incremental.rank_files(spark, copies).select("ordinal", "rank", "feedback_volume")
+
+
+@query("""SELECT user_id, started, least(started + INTERVAL 60 HOUR, coalesce(last + INTERVAL 12 HOUR, started + INTERVAL 60 HOUR)) AS settled, grown FROM (
+  SELECT user_id, started, max(ts) FILTER (WHERE rn > 1 AND NOT late) AS last, count(*) FILTER (WHERE rn > 1 AND NOT late) AS grown FROM (
+    SELECT *, bool_or(gap OR ts > started + INTERVAL 60 HOUR) OVER (PARTITION BY user_id, run ORDER BY ts ROWS UNBOUNDED PRECEDING) AS late FROM (
+      SELECT *, first_value(ts) OVER w AS started, row_number() OVER w AS rn, coalesce(row_number() OVER w > 2 AND ts > lag(ts) OVER w + INTERVAL 12 HOUR, false) AS gap FROM (
+        SELECT *, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM events) WHERE run > 0
+      WINDOW w AS (PARTITION BY user_id, run ORDER BY ts))) GROUP BY user_id, started)""")
+def settle_times(spark, sf):
+    return incremental.settle_times(table(spark, sf, "events"), "user_id", "ts", F.col("event_type") == "view", "12 HOURS", "60 HOURS")
