@@ -1,12 +1,15 @@
 """N-gram Jaccard self-join of documents, and the groups its links form.
 
 A document's set holds its distinct word n-grams (64-bit hashes).  All sets are
-put in one global order, frequent n-grams last.  Two sets that link share an
-n-gram of their prefixes, so documents meet in groups by such n-grams; within a
-group the sets go into a trie, and a set finds its partners by walking it: what
-sets share of a path is intersected once, and a subtree is pruned where the
-n-grams that remain cannot make up the overlap needed.  Partners already in one
-component need not be compared.
+put in one global order, frequent n-grams last.  Two sets that link share some
+n-grams of their prefixes, so documents meet in groups by such n-grams.  A
+document that shares too few of them with others can have no link and leaves;
+so does it leave a group that gives too few of them.
+
+Within a group the sets go into a trie, and a set finds its partners by walking
+it: what sets share of a path is intersected once, and a subtree is pruned
+where the n-grams that remain cannot make up the overlap needed.  Partners
+already in one component need not be compared.
 
 Equal sets are joined once.  A group too large for a task is split; every part
 holds the group's pivot, and what is not in the pivot's component meets all
@@ -47,8 +50,13 @@ class Rule:
     num: int
     den: int
 
+    def surplus(self, size):
+        """How many n-grams of prefixes linked sets of at least this size
+        share; prefixes are longer by so much than those that share one."""
+        return 1 + size * 3 // 100
+
     def prefix(self, size: np.ndarray) -> np.ndarray:
-        return size - -(-self.num * size // self.den) + 1
+        return np.minimum(size, size - -(-self.num * size // self.den) + self.surplus(size))
 
     def needed(self, a, b):
         """The least intersection of linked sets of these sizes."""
@@ -151,8 +159,9 @@ class Order:
 
 
 def _memberships(docs: DataFrame, rule: Rule, order) -> DataFrame:
-    """grp and doc: the groups in which documents with a common n-gram of
-    their prefixes meet, each named by its smallest document."""
+    """grp, doc and grams: the groups in which documents with a common n-gram
+    of their prefixes meet, each named by its smallest document, and how many
+    n-grams of the document's prefix lead there."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Order = order.value
@@ -172,62 +181,59 @@ def _memberships(docs: DataFrame, rule: Rule, order) -> DataFrame:
                 row, gram, at, place = row[take], gram[take], at[take], place[take]
                 doc, n = ids[first:last][row], size[row]
                 often = at >= 0
-                pair = np.unique(np.stack([known.docs[at[often]], doc[often]]), axis=1) if often.any() else np.zeros((2, 0), dtype=np.int64)
+                pair, times = np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64)
+                if often.any():
+                    pair, times = np.unique(np.stack([known.docs[at[often]], doc[often]]), axis=1, return_counts=True)
                 light = ~often
+                ones = int(light.sum())
                 # Rows of frequent n-grams name their group and go anywhere; others meet by n-gram.
                 key = np.concatenate([gram[light].view(np.int64), mix64(pair[1].astype(np.uint64)).view(np.int64)])
-                value = np.concatenate([n[light] << 32 | place[light], pair[0]])
-                kind = np.concatenate([np.zeros(int(light.sum()), dtype=bool), np.ones(pair.shape[1], dtype=bool)])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(value), pa.array(np.concatenate([doc[light], pair[1]]))], names=["key", "named", "value", "doc"])
+                value = np.concatenate([n[light], pair[0]])
+                # How many n-grams a named row stands for; 0: a row by n-gram.
+                named = np.concatenate([np.zeros(ones, dtype=np.int32), times.astype(np.int32)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(named), pa.array(value), pa.array(np.concatenate([doc[light], pair[1]]))], names=["key", "named", "value", "doc"])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(grp: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-            pair = np.unique(np.stack([grp, doc]), axis=1) if len(grp) else np.zeros((2, 0), dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["grp", "doc"])
+        def out(grp: np.ndarray, doc: np.ndarray, grams: np.ndarray | None = None) -> pa.RecordBatch:
+            pair, back = np.unique(np.stack([grp, doc]), axis=1, return_inverse=True) if len(grp) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
+            total = np.bincount(back.reshape(-1), weights=grams, minlength=pair.shape[1]).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(total)], names=["grp", "doc", "grams"])
 
         carry = np.zeros((3, 0), dtype=np.int64)
         settled = None  # the name of the carried segment's group, once rows of it have gone out
         for batch in batches:
-            named = batch["named"].to_numpy(zero_copy_only=False)
+            times = batch["named"].to_numpy()
+            named = times > 0
             key, value, doc = (batch[c].to_numpy() for c in ("key", "value", "doc"))
-            yield out(value[named], doc[named])
+            yield out(value[named], doc[named], times[named])
             rows = np.concatenate([carry, np.stack([key, value, doc])[:, ~named]], axis=1)
-            size = rows[1] >> 32
             # A segment: rows of one n-gram whose sizes allow links, as no size jumps too far from the one before.
             new = np.ones(rows.shape[1], dtype=bool)
-            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (size[1:] * rule.num > size[:-1] * rule.den)
+            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] * rule.num > rows[1, :-1] * rule.den)
             begins = np.flatnonzero(new)
             done = begins[-1] if len(begins) else 0
             carry = rows[:, done:]
-            grp, member = _settle(rows[:, :done], begins[:-1], settled, rule)
-            yield out(grp, member)
+            yield out(*_settle(rows[:, :done], begins[:-1], settled))
             if len(begins) > 1:
                 settled = None
             if carry.shape[1] > HELD_ROWS:
                 settled = int(carry[2].min()) if settled is None else settled
                 yield out(np.full(carry.shape[1], settled), carry[2])
                 carry = carry[:, -1:]
-        grp, member = _settle(carry, np.zeros(1 if carry.shape[1] else 0, dtype=np.int64), settled, rule)
-        yield out(grp, member)
+        yield out(*_settle(carry, np.zeros(1 if carry.shape[1] else 0, dtype=np.int64), settled))
 
-    met = docs.mapInArrow(prefixes, "key bigint, named boolean, value bigint, doc bigint")
-    met = met.repartition("key").sortWithinPartitions("key", "named", "value", "doc")
-    return met.mapInArrow(groups, "grp bigint, doc bigint").distinct()
+    met = docs.mapInArrow(prefixes, "key bigint, named int, value bigint, doc bigint")
+    met = met.repartition("key").sortWithinPartitions("key", "value", "doc")
+    return met.mapInArrow(groups, "grp bigint, doc bigint, grams bigint").groupBy("grp", "doc").agg(F.sum("grams").alias("grams"))
 
 
-def _settle(rows: np.ndarray, begins: np.ndarray, first_name: int | None, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Group names and members of whole segments; those of one row are none,
-    and those of two only where enough n-grams remain to both."""
+def _settle(rows: np.ndarray, begins: np.ndarray, first_name: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Group names and members of whole segments; those of one row are none."""
     if not len(begins):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     count = np.diff(np.append(begins, rows.shape[1]))
     name = np.minimum.reduceat(rows[2], begins)
     keep = count > 1
-    two = np.flatnonzero(count == 2)
-    a, b = rows[1, begins[two]], rows[1, begins[two] + 1]
-    size_a, size_b = a >> 32, b >> 32
-    rest = np.minimum(size_a - (a & 0xFFFFFFFF), size_b - (b & 0xFFFFFFFF))
-    keep[two] = rest >= rule.needed(size_a, size_b)
     if first_name is not None:
         name[0], keep[0] = first_name, True
     return np.repeat(name, count)[np.repeat(keep, count)], rows[2][np.repeat(keep, count)]
@@ -346,6 +352,30 @@ def _bloom(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(bits)).astype(np.int64), (mix64(h) % np.uint64(bits)).astype(np.int64)
 
 
+def _members(met: DataFrame, rule: Rule) -> DataFrame:
+    """Without memberships that can give no link.
+
+    Linked sets share ``surplus`` n-grams of their prefixes or more, and each
+    of these leads both to a common group.  So a document needs that many in
+    groups of several; one with fewer leaves, which leaves others with fewer.
+    Of the groups that a document shares with a partner, one has at least its
+    need divided by the number of its groups.
+    """
+
+    def several(table: DataFrame) -> DataFrame:
+        return table.join(table.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1").select("grp"), "grp", "left_semi")
+
+    least = F.ceil(F.col("n") * rule.num / rule.den).cast("bigint")  # the smallest partner's size
+    need = F.floor(least * 3 / 100) + 1
+    for _ in range(2):
+        met = stored(several(met), "met")
+        own = met.groupBy("doc").agg(F.sum("grams").alias("all_grams"), F.count("*").alias("all_groups"), F.max("n").alias("n"))
+        own = own.where(F.col("all_grams") >= need).select("doc", (need / F.col("all_groups")).alias("need"))
+        judged = met.join(own, "doc")
+        met = judged.drop("need")
+    return several(judged.where(F.col("grams") >= F.col("need")).drop("need"))
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """doc and grams of the documents in ``wanted`` (and, as a filter of
     bounded size decides, of some others)."""
@@ -428,7 +458,8 @@ def _linked(placed: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """doc and comp, the smallest document it is connected with, of all that
-    ``edges`` (a, b) name, by alternating large and small stars."""
+    ``edges`` (a, b) name but these smallest, by alternating large and small
+    stars."""
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     measure = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))]
     before = None
@@ -469,7 +500,9 @@ def join_groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: s
     rep = stored(every.join(first.drop("copies"), "digest", "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "representatives")
 
     met = _memberships(texts, rule, docs.sparkSession.sparkContext.broadcast(order))
-    members = stored(met.join(rep, "doc").select("grp", F.col("rep").alias("doc"), "n").distinct(), "members")
+    # Copies have the same n-grams in the same groups.
+    met = stored(met.join(rep, "doc").groupBy("grp", F.col("rep").alias("doc")).agg(F.max("grams").alias("grams"), F.max("n").alias("n")), "met")
+    members = stored(_members(met, rule), "members")
     groups = members.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("grams"), F.min("doc").alias("pivot")).where("size > 1")
     parts = F.greatest(F.ceil(F.col("size") / PART_SETS), F.ceil(F.col("grams") / PART_GRAMS)).cast("int")
     groups = stored(groups.select("grp", "pivot", parts.alias("parts")), "groups")

@@ -181,7 +181,7 @@ def _narrow(pairs: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
     hit = seen.withColumn("total", F.sum("n").over(all_n)).withColumn("lowest", lowest).where(
         ((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need"))) | ((F.col("total") < F.col("need")) & (F.col("bin") == F.col("lowest")))
     )
-    return hit.select("query_id", (F.col("low") + F.col("bin") * width).alias("low"), (F.col("need") - (F.col("upto") - F.col("n"))).alias("need"))
+    return hit.select("query_id", (F.col("low") + F.col("bin").cast("bigint") * F.lit(width).cast("bigint")).alias("low"), (F.col("need") - (F.col("upto") - F.col("n"))).alias("need"))
 
 
 def _select(spark, pairs: DataFrame, ranges: DataFrame, k: int) -> DataFrame:
