@@ -25,6 +25,22 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_groups(_table(spark, sf_dir, "documents"), ngram_join.Rule(4, 85, 100))
 
 
+#: Links of all pairs that share a shingle, and what can be reached by them.
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * c >= 85 * (s.n + t.n - c)
+), ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, w.y FROM reached r JOIN ways w ON r.other = w.x)
+SELECT r.doc_id, coalesce(max(n), 0) AS n_shingles, min(other) AS component_id FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents against a new, empty index."""
     out = exact_dedup.DigestIndex(spark).add(_table(spark, sf_dir, "documents"))
@@ -90,6 +106,16 @@ def op7_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(targets, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages), d AS (
+  SELECT page_id, octet_length(body) AS n, max(page_id) OVER (PARTITION BY body) AS response, sha1(body) AS h FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN response <> page_id THEN response END AS refers_to
+FROM d
+"""
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best other vectors of every vector whose id divides by 20."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"), 20, lambda vec_id: vec_id % 20 == 0)
@@ -136,4 +162,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op8_exact_top_k": OP8_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_warc_assembly": OP7_SQL, "op8_exact_top_k": OP8_SQL}
