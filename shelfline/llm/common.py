@@ -3,20 +3,37 @@ see, and vectorised word spans and hashes over Arrow string columns."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfline.plans.storage import shared_dir, stored
 
-__all__ = ["code_values", "lowered", "mix64", "powers", "shared_dir", "span_hashes", "stored", "text_slices", "word_spans", "words_of"]
+__all__ = ["code_values", "lowered", "mix64", "most_frequent", "powers", "shared_dir", "span_hashes", "stored", "text_slices", "word_spans", "words_of"]
 
 #: Bytes of text handled at once by the vectorised helpers (one longer text is
 #: still handled whole); bounds the memory of a task, not what it reads.
 SLICE_BYTES = 2_000_000
 
 
+def most_frequent(table: DataFrame, count: str, most: int) -> tuple[DataFrame, int]:
+    """The rows of the largest counts (>= 1), ``most`` at most, and the least
+    count among them, found by a histogram of the counts: no sort, and rows of
+    one count class (a quarter of a doubling) stay or go together."""
+    steps = table.groupBy(F.floor(F.log2(count) * 4).cast("int").alias("step")).count().collect()
+    least, fits = 1, 0
+    for row in sorted(steps, key=lambda r: -r.step):
+        fits += row["count"]
+        if fits > most:
+            least = math.ceil(2 ** ((row.step + 1) / 4) - 1e-9)
+            break
+    return table.where(F.col(count) >= least), least
+
+
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import mix64, stored, words_of
+from shelfline.llm.common import mix64, most_frequent, stored, words_of
 
 #: The most n-grams whose frequency the global order knows (24 bytes each, broadcast).
 FREQUENT = 1 << 17
@@ -395,7 +395,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
     width = min(bits // 8, 1 << 16)
     table = np.zeros((bits // 8 // width, width), dtype=np.uint8)
-    for row in wanted.select("doc").coalesce(16).mapInArrow(fill, "at int, bits binary").toLocalIterator():
+    for row in wanted.select("doc").coalesce(8).mapInArrow(fill, "at int, bits binary").toLocalIterator():
         table[row["at"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(table.reshape(-1))
 
@@ -461,9 +461,11 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` (a, b) name but these smallest, by alternating large and small
     stars."""
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    measure = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))]
-    before = None
     while True:
+        # Done when every document hangs on one other, and none hangs on it.
+        ends = edges.select(F.col("u").alias("doc"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("doc"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("doc").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
+            return edges.select(F.col("u").alias("doc"), F.col("v").alias("comp"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -472,10 +474,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(small, "small-star")
-        now = edges.agg(*measure).first()
-        if now == before:
-            return edges.groupBy(F.col("u").alias("doc")).agg(F.min("v").alias("comp"))
-        before = now
 
 
 def join_groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -492,7 +490,7 @@ def join_groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: s
     texts = _read(docs, id_col, text_col)
     seen = stored(_profile(texts, rule), "set-profile")
     frequent = seen.where("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen"), F.min("doc").alias("doc"))
-    frequent = frequent.orderBy(F.desc("seen"), "gram").limit(FREQUENT).toArrow()
+    frequent = most_frequent(stored(frequent, "frequent"), "seen", FREQUENT)[0].toArrow()
     order = Order(frequent["gram"].to_numpy().view(np.uint64), frequent["seen"].to_numpy(), frequent["doc"].to_numpy())
     every = seen.where("gram is null").groupBy("doc").agg(F.min(F.struct("digest", "n")).alias("s")).select("doc", "s.n", "s.digest")
     every = stored(every, "sets")

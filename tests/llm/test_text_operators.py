@@ -223,7 +223,7 @@ def brute_base(train, texts):
         yield len(tokens), sum(counts[w] > 0 for w in tokens), total, sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in tokens)
 
 
-@pytest.mark.parametrize("held", [1 << 19, 8])
+@pytest.mark.parametrize("held", [1 << 19, 8, 0])
 def test_lm_scoring(spark, monkeypatch, held):
     monkeypatch.setattr(lm_scoring, "HELD", held)
     rows = sample()
