@@ -135,18 +135,22 @@ def registered(spark) -> DataFrame:
     return spark.createDataFrame(rows, "place int, name string, domains array<string>, implemented boolean")
 
 
-def _attr(name: str) -> Column:
-    return F.coalesce(F.element_at("attrs", F.lit(name)), F.lit(""))
+#: Attributes that fields look at.
+ATTRS = [
+    "href", "src", "data-src", "srcset", "width", "height", "class", "aria-label", "title", "data-asin", "data-component-type", "data-a-strike", "data-action", "data-testid",
+    "aria-disabled", "aria-hidden", "value", "id",
+]
 
 
-def _first(name: str, value: Column, valid: Column | None = None) -> Column:
-    """A field's first valid node, by tier and place."""
-    ok = (F.col("name") == name) & F.coalesce(value.isNotNull() if valid is None else valid & value.isNotNull(), F.lit(False))
-    return F.min_by(F.when(ok, value), F.when(ok, F.col("at")))
+def _prepared(nodes: DataFrame) -> DataFrame:
+    """Node rows with what many fields look at worked out once: attributes
+    (empty where missing), the trimmed and the squeezed text."""
+    attrs = {f"@{a}": F.coalesce(F.element_at("attrs", F.lit(a)), F.lit("")) for a in ATTRS}
+    return nodes.withColumns(attrs | {"trimmed": trim(F.col("text")), "squeezed": squeeze(F.col("text"))})
 
 
-def _any(name: str, condition: Column) -> Column:
-    return F.coalesce(F.bool_or((F.col("name") == name) & F.coalesce(condition, F.lit(False))), F.lit(False))
+def _attr(name: str) -> Column:
+    return F.col(f"`@{name}`")
 
 
 def _positive(c: Column) -> Column:
@@ -161,35 +165,55 @@ def _tier() -> Column:
     return F.col("at")[0]
 
 
-def _card_text() -> Column:
-    return F.max(F.when(F.col("name") == "card", F.col("text")))
+def _reduce(nodes: DataFrame, fields: dict[str, tuple[str, Column, Column | None]], flags: dict[str, dict[str, Column]], **more: tuple[Column, Column]) -> DataFrame:
+    """One row a page and card.
+
+    A field (node name, value, condition) takes its first node, by tier and
+    place, that has a value and meets the condition; a flag is set by any node
+    of a name that meets its condition; ``more`` takes the value of the largest
+    order.  Values are worked out once a node, then reduced.
+    """
+    of = lambda name, value: F.when(F.col("name") == name, value)
+    staged = nodes.select(
+        "page", "card", "at",
+        *[of(name, value if ok is None else F.when(ok, value)).alias(a) for a, (name, value, ok) in fields.items()],
+        *[F.coalesce(*[of(name, ok) for name, ok in by_name.items()]).alias(a) for a, by_name in flags.items()],
+        *[x for a, (value, order) in more.items() for x in (value.alias(a), order.alias(f"{a}_order"))],
+    )
+    return staged.groupBy("page", "card").agg(
+        *[F.min_by(a, F.when(F.col(a).isNotNull(), F.col("at"))).alias(a) for a in fields],
+        *[F.coalesce(F.bool_or(a), F.lit(False)).alias(a) for a in flags],
+        *[F.max_by(a, f"{a}_order").alias(a) for a in more],
+    )
 
 
 def _amazon(nodes: DataFrame) -> DataFrame:
-    clean = lambda c: trim(F.regexp_replace(squeeze(c), f"(?i)^sponsored{WHITE}+", ""))
-    title = clean(_text())
-    best = F.struct(F.length(title).alias("n"), F.transform("at", lambda x: -x).alias("at"))
+    clean = lambda c: trim(F.regexp_replace(c, f"(?i)^sponsored{WHITE}+", ""))
+    title = clean(F.col("squeezed"))
+    is_title = (F.col("name") == "title") & (F.length(title) >= 3) & ~title.rlike(r"(?i)\Asponsored\z")
+    widest = F.when(is_title, F.struct(F.length(title).alias("n"), F.transform("at", lambda x: -x).alias("at")))
     href = trim(_attr("href"))
     link = ~href.startswith("#") & (href != "") & ~href.rlike("(?i)customerReviews|product-reviews|wishlist|boughtTogether|javascript:") & href.rlike(r"(?i)/dp/|/(?:gp/)?product/")
-    source = F.coalesce(F.nullif(_attr("src"), F.lit("")), F.nullif(_attr("data-src"), F.lit("")), urls.srcset_best(F.element_at("attrs", F.lit("srcset"))))
+    source = F.coalesce(F.nullif(_attr("src"), F.lit("")), F.nullif(_attr("data-src"), F.lit("")), urls.srcset_best(F.nullif(_attr("srcset"), F.lit(""))))
     side = lambda a: F.coalesce(F.regexp_extract(_attr(a), r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
     image = ~source.rlike("(?i)^data:|sprites|g-ecx|gno") & ~side("width").between(1, 19) & ~side("height").between(1, 19)
     shown = (_attr("data-a-strike") != "true") & ~_attr("class").contains("a-text-price")
     said = F.coalesce(F.nullif(_text(), F.lit("")), _attr("aria-label"))
     stars = F.coalesce(group(said, rf"(?i)(\d+(?:\.\d+)?){WHITE}*out of 5").try_cast("double"), leading_number(said))
-    counted = F.when(_tier() == 0, _attr("aria-label")).otherwise(trim(_text()))
-    count = numbers.feedback_count(counted)
-    plausible = F.when(_tier() == 0, count > 0).otherwise(numbers.plausible_count(counted, count) & ((_tier() < 6) | F.element_at("attrs", F.lit("#heading")).isNull()))
+    nodes = nodes.withColumn("counted", F.when(F.col("name") == "count", F.when(_tier() == 0, _attr("aria-label")).otherwise(F.col("trimmed"))))
+    nodes = nodes.withColumn("n", numbers.feedback_count(F.col("counted")))
+    count = F.col("n")
+    plausible = F.when(_tier() == 0, count > 0).otherwise(numbers.plausible_count(F.col("counted"), count) & ((_tier() < 6) | F.element_at("attrs", F.lit("#heading")).isNull()))
     label = lambda a: trim(_attr(a)).rlike("(?i)^sponsored")
-    found = nodes.groupBy("page", "card").agg(
-        F.max_by(F.struct(title.alias("text"), F.transform("up", clean).alias("up")), F.when((F.col("name") == "title") & (F.length(title) >= 3) & ~title.rlike(r"(?i)\Asponsored\z"), best)).alias("t"),
-        _first("link", F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(urls.HOME), href)), link).alias("link"),
-        _first("image", source, image).alias("image"),
-        _first("price", _positive(numbers.indian_number(_text())), shown | (_tier() == 1)).alias("price"),
-        _first("rating", stars, stars.between(0, 5)).alias("rating"),
-        _first("count", count, plausible).alias("rating_count"),
-        _first("card", F.nullif(trim(_attr("data-asin")), F.lit(""))).alias("own_id"),
-        (_any("ad", F.lit(True)) | _any("leaf", trim(_text()).rlike(r"(?i)\Asponsored\z")) | _any("label", label("aria-label") | label("title")) | _any("card", _attr("data-component-type") == "sp-sponsored-result")).alias("ad"),
+    found = _reduce(
+        nodes,
+        {
+            "link": ("link", F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(urls.HOME), href)), link), "image": ("image", source, image),
+            "price": ("price", _positive(numbers.indian_number(_text())), shown | (_tier() == 1)), "rating": ("rating", stars, stars.between(0, 5)), "rating_count": ("count", count, plausible),
+            "own_id": ("card", F.nullif(trim(_attr("data-asin")), F.lit("")), None),
+        },
+        {"ad": {"ad": F.lit(True), "leaf": F.col("trimmed").rlike(r"(?i)\Asponsored\z"), "label": label("aria-label") | label("title"), "card": _attr("data-component-type") == "sp-sponsored-result"}},
+        t=(F.struct(title.alias("text"), F.transform("up", lambda u: clean(squeeze(u))).alias("up")), widest),
     )
     text = F.col("t.text")
     wider = F.get(F.filter("t.up", lambda u: (F.length(u) > 2 * F.length(text)) & u.contains(text)), F.lit(0))
@@ -203,71 +227,68 @@ def _amazon(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _no_money(c: Column) -> Column:
-    return ~c.rlike("[₹$€%]")
-
-
-def _other(nodes: DataFrame, name: str, host: str, title: Column, price: Column, own_price: Column, counts: dict[str, Column], spans: dict[str, Column], image: Column, any_image: Column, ident, ad: Column) -> DataFrame:
+def _other(nodes: DataFrame, name: str, host: str, title: Column, price: Column, own_price: Column, counts: dict[str, Column], spans: dict[str, Column], image: Column, any_image: Column, ident, ad: dict[str, Column]) -> DataFrame:
     """What the second and third shop have in common."""
+    of = lambda names, value: F.when(F.col("name").isin(names), _positive(value))
+    columns = {f"#{k}": of([k], counts[k]) for k in counts} | {f"#{k}_span": of(["span"], spans[k]) for k in spans} | {"#price": of(["price"], price)}
+    nodes = nodes.withColumns(columns)
+    price, counts, spans = F.col("`#price`"), {k: F.col(f"`#{k}`") for k in counts}, {k: F.col(f"`#{k}_span`") for k in spans}
     href = trim(_attr("href"))
     stars = F.regexp_extract(_text(), r"(\d+(?:\.\d+)?)", 1).try_cast("double")
     source = F.coalesce(F.nullif(_attr("src"), F.lit("")), F.nullif(_attr("data-src"), F.lit("")))
-    low = F.lower(trim(_text()))
+    low = F.lower(F.col("trimmed"))
     mentions = {"ratings": low.contains("rating"), "reviews": low.contains("review") & ~low.contains("rating")}
-    count = lambda k: F.coalesce(
-        _first(k, _positive(counts[k])), _first("span", _positive(spans[k]), mentions[k] & _no_money(_text()) & (spans[k] < COUNT_CEILING))
-    )
-    found = nodes.groupBy("page", "card").agg(
-        _first("title", squeeze(_text()), title).alias("title"),
-        F.min_by(F.when(F.col("name") == "link", href), F.when(F.col("name") == "link", F.col("at"))).alias("href"),
-        F.coalesce(_first("price", _positive(price), _tier() < 10), own_price, _first("price", _positive(price), (_tier() == 10) & _text().contains("₹"))).alias("price"),
-        _first("rating", stars, stars.between(0, 5)).alias("rating"), count("ratings").alias("rating_count"), count("reviews").alias("review_count"),
-        F.coalesce(_first("image", source, image), _first("image", F.nullif(_attr("src"), F.lit("")), any_image)).alias("image"), ad.alias("sponsored"),
-    )
+    fields = {
+        "title": ("title", F.col("squeezed"), title), "href": ("link", href, None), "price_own": ("price", price, _tier() < 10), "price_card": ("card", own_price, None),
+        "price_any": ("price", price, (_tier() == 10) & _text().contains("₹")), "rating": ("rating", stars, stars.between(0, 5)),
+        "image_own": ("image", source, image), "image_any": ("image", F.nullif(_attr("src"), F.lit("")), any_image),
+    }
+    for k in ("ratings", "reviews"):
+        fields[k] = (k, counts[k], None)
+        fields[f"{k}_span"] = ("span", spans[k], mentions[k] & ~_text().rlike("[₹$€%]") & (spans[k] < COUNT_CEILING))
+    found = _reduce(nodes, fields, {"sponsored": ad})
     url = urls.with_host(F.col("href"), host)
     none = F.lit(None)
     return found.where("title is not null").select(
-        "page", "card", "title", "price", "rating", "rating_count", "review_count", "image", none.cast("string").alias("image_url"),
+        "page", "card", "title", F.coalesce("price_own", "price_card", "price_any").alias("price"), "rating", F.coalesce("ratings", "ratings_span").alias("rating_count"),
+        F.coalesce("reviews", "reviews_span").alias("review_count"), F.coalesce("image_own", "image_any").alias("image"), none.cast("string").alias("image_url"),
         F.coalesce(F.nullif(F.col("href"), F.lit("")), url).alias("url"), url.alias("canonical_url"), ident(F.col("href")).alias("product_id"), none.cast("string").alias("asin"),
         "sponsored", none.cast("boolean").alias("is_sponsored"), F.lit(name).alias("source"), F.lit(name).alias("marketplace"),
     )
 
 
-def _advert(words: list[str], labels: list[str]) -> Column:
-    low = F.lower(_card_text())
-    alone = low.contains("ad") & ~low.contains("add to cart") & _card_text().rlike(f"{LEFT}Ad{RIGHT}")
-    said = low.contains(words[0])
-    for word in words[1:]:
-        said = said | low.contains(word)
-    return F.coalesce(said | alone, F.lit(False)) | _any("ad", F.lower(trim(_text())).isin(labels))
+def _advert(words: str, labels: list[str]) -> dict[str, Column]:
+    low = F.lower(_text())
+    alone = low.contains("ad") & ~low.contains("add to cart") & _text().rlike(f"{LEFT}Ad{RIGHT}")
+    return {"card": low.rlike(words) | alone, "ad": F.lower(F.col("trimmed")).isin(labels)}
 
 
 def _flipkart(nodes: DataFrame) -> DataFrame:
-    t = squeeze(_text())
+    t = F.col("squeezed")
     title = F.when(_tier() < 7, F.length(t) >= 3).otherwise(F.length(t).between(5, 299) & ~t.rlike(r"\A\d+\z"))
-    rupees = F.regexp_replace(group(_card_text(), rf"₹{WHITE}*([\d,]+)"), ",", "").try_cast("double")
-    ratings, reviews = numbers.flipkart_count(trim(_text()), "rating"), numbers.flipkart_count(trim(_text()), "review")
+    rupees = F.regexp_replace(group(_text(), rf"₹{WHITE}*([\d,]+)"), ",", "").try_cast("double")
+    ratings, reviews = numbers.flipkart_count(F.col("trimmed"), "rating"), numbers.flipkart_count(F.col("trimmed"), "review")
     image = F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src"))
     good = ~image.rlike("(?i)^data:|sprites|icons|logo|placeholder") & image.rlike(r"(?i)rukminim2\.flixcart\.com|flipkart\.com/images")
     return _other(
         nodes, "Flipkart", "https://www.flipkart.com", title, numbers.price_text(_text()), _positive(rupees), {"ratings": ratings, "reviews": ratings}, {"ratings": ratings, "reviews": reviews},
-        good, ~_attr("src").rlike("(?i)^data:"), urls.flipkart_id, _advert(["sponsored"], ["sponsored", "ad", "advertisement"]),
+        good, ~_attr("src").rlike("(?i)^data:"), urls.flipkart_id, _advert("sponsored", ["sponsored", "ad", "advertisement"]),
     )
 
 
 def _meesho(nodes: DataFrame) -> DataFrame:
-    t = squeeze(_text())
+    t = F.col("squeezed")
     title = F.length(t).between(3, 299) & ~t.rlike(r"\A\d+\z") & ~t.rlike("^[₹$€]")
     # The last amount in rupees that is positive.
-    amounts = F.transform(F.regexp_extract_all(_card_text(), F.lit(rf"(₹{WHITE}*[\d,]+)"), 1), lambda m: numbers.price_text(m))
+    amounts = F.transform(F.regexp_extract_all(_text(), F.lit(rf"(₹{WHITE}*[\d,]+)"), 1), lambda m: numbers.price_text(m))
     last = F.element_at(F.concat(F.array(F.lit(None).cast("double")), F.filter(amounts, lambda x: x > 0)), -1)
-    count = lambda kind, bare: numbers.meesho_count(trim(_text()), kind, bare)
+    count = lambda kind, bare: numbers.meesho_count(F.col("trimmed"), kind, bare)
     image = F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src"))
     good = ~image.rlike("(?i)^data:|sprites|icons|logo|placeholder|default") & image.rlike(r"(?i)meesho\.com")
     return _other(
         nodes, "Meesho", "https://www.meesho.com", title, numbers.price_text(_text()), last, {"ratings": count("rating", True), "reviews": count("review", False)},
         {"ratings": count("rating", False), "reviews": count("review", False)}, good, ~_attr("src").rlike("(?i)^data:|sprites|icons|logo|placeholder"), urls.meesho_id,
-        _advert(["sponsored", "promoted"], ["sponsored", "ad", "promoted", "advertisement"]) | _any("gold", _text().rlike("(?i)meesho gold")),
+        _advert("sponsored|promoted", ["sponsored", "ad", "promoted", "advertisement"]) | {"gold": _text().rlike("(?i)meesho gold")},
     )
 
 
@@ -293,7 +314,7 @@ def extract_products(pages: DataFrame, **columns: str) -> DataFrame:
     out = None
     for name, reader in READERS.items():
         cards = Spec(SPECS[name].cards, SPECS[name].fields, (), SPECS[name].card_attrs)
-        rows = reader(select_nodes(read.where(F.col("reader") == name), {name: cards}))
+        rows = reader(_prepared(select_nodes(read.where(F.col("reader") == name), {name: cards})))
         out = rows if out is None else out.unionByName(rows)
     return out.withColumn("ordinal", F.col("page") * (1 << CARD_BITS) + F.col("card"))
 
@@ -311,12 +332,12 @@ def scan_pages(pages: DataFrame, **columns: str) -> DataFrame:
          Pick("next", ("a, button",), ("href", "class", "aria-label", "title", "aria-disabled", "aria-hidden", "disabled"), within=AMAZON_REGIONS, own=True, first_tier=5),
          Pick("next", ("a.s-pagination-next", ".s-pagination-item.s-pagination-next"), ("href", "class", "aria-label", "title", "aria-disabled", "aria-hidden", "disabled"), first_tier=6)),
     )
-    nodes = select_nodes(read, whole).join(read.select("page", "url", "site", "reader"), "page")
+    nodes = _prepared(select_nodes(read, whole)).join(read.select("page", "url", "site", "reader"), "page")
     amazon, flipkart = F.col("reader") == "Amazon", F.col("reader") == "Flipkart"
     known = F.coalesce(F.col("site"), F.lit("Amazon")) != "Myntra"
     visible = (_attr("aria-disabled") != "true") & (_attr("aria-hidden") != "true") & F.element_at("attrs", F.lit("disabled")).isNull()
-    words = F.coalesce(F.nullif(squeeze(_text()), F.lit("")), F.nullif(squeeze(_attr("aria-label")), F.lit("")), squeeze(_attr("title")))
-    low, href, link = F.lower(trim(_text())), _attr("href"), F.col("attrs")["#tag"] == "a"
+    words = F.coalesce(F.nullif(F.col("squeezed"), F.lit("")), F.nullif(squeeze(_attr("aria-label")), F.lit("")), squeeze(_attr("title")))
+    low, href, link = F.lower(F.col("trimmed")), _attr("href"), F.col("attrs")["#tag"] == "a"
     role = "loadmore|see-more"
     loads = F.lower(F.coalesce(F.nullif(_attr("data-action"), F.lit("")), _attr("data-testid"))).rlike("load-more|loadmore|load_more") | F.lower(_attr("id")).rlike(role) | F.lower(_attr("class")).rlike(role)
     text = words.rlike(rf"(?i)load{WHITE}*more|see{WHITE}*more{WHITE}*(?:results|products)?|more{WHITE}*products")
@@ -331,9 +352,8 @@ def scan_pages(pages: DataFrame, **columns: str) -> DataFrame:
     ok = visible & F.when(amazon, onward & urls.is_next_page(href)).when(flipkart, flip).otherwise(F.when(_tier() < 5, has_next).otherwise(exact) & meesho_url.contains("meesho.com"))
     box = squeeze(_attr("value"))
     typed = (F.length(box) >= 2) & (~amazon | (F.col("at")[3] == 0))
-    found = nodes.groupBy("page").agg(
-        _any("more", more & amazon & known).alias("more_available"), _first("next", target, ok & known & filled(href)).alias("next_page_url"), _first("box", box, typed & known).alias("typed")
-    )
+    fields = {"next_page_url": ("next", target, ok & known & filled(href)), "typed": ("box", box, typed & known)}
+    found = _reduce(nodes, fields, {"more_available": {"more": more & amazon & known}}).drop("card")
     named = F.when(F.col("reader") == "Amazon", urls.query_param(F.col("url"))).otherwise(urls.query_param(F.col("url"), "q", "&", "?&"))
     named = F.when(known, named).otherwise("")
     return read.drop("html").join(found, "page", "left").select("page", "site", F.coalesce("more_available", F.lit(False)).alias("more_available"), "next_page_url", F.coalesce("typed", named).alias("search_query"))
