@@ -124,7 +124,7 @@ def _profile(docs: DataFrame, rule: Rule) -> DataFrame:
                 gram, doc = gram[order], doc[order]
                 begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, dtype=np.int64)
                 held.append((gram[begin], np.diff(np.append(begin, len(gram))), doc[begin]))
-                if sum(len(h[0]) for h in held) > 6_000_000:
+                if sum(len(h[0]) for h in held) > 3_000_000:
                     # What was met once is let go, which can only change the order.
                     gram, seen, low = merged()
                     held = [(gram[seen > 1], seen[seen > 1], low[seen > 1])]
