@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the cluster's checkpoint folder; only where none is
     set, as in tests, under a temporary one."""
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="shelfline-")
         context.setCheckpointDir(base)
