@@ -89,7 +89,7 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     judged = stored(index.add(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "kept"), "judged")
     this = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))
     if judged.groupBy("__id").count().where("count > 1").isEmpty():
-        return docs.join(judged.where("not kept").drop("kept", "__digest"), this, "left_anti")
+        return docs.join(judged.where("not kept").drop("kept", "__digest").hint("merge"), this, "left_anti")
     marked = docs.withColumn("__text", F.unhex(text_sha256(F.col(text_col))))
     kept = judged.where("kept").drop("kept").distinct()
     return marked.join(kept, this & (F.col("__text") == F.col("__digest")), "left_semi").dropDuplicates([id_col, "__text"]).drop("__text")

@@ -131,4 +131,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *
     uses = mix(docs, id_col=id_col, source_col=source_col, **options).groupBy("doc_id", "source").agg(F.count("*").cast("int").alias("__uses"))
     uses = stored(uses.withColumnsRenamed({"doc_id": "__id", "source": "__source"}), "mix-uses")
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("__source"))
-    return docs.join(uses, same).withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).select(docs.columns)
+    # The same way at every size: the uses grow with the documents.
+    return docs.join(uses.hint("merge"), same).withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).select(docs.columns)
