@@ -1,14 +1,17 @@
 """Language-model scoring by class-based n-grams (Brown classes).
 
-Every word belongs to a unit: the most frequent words are units of their own,
-all others share the unit of their ending.  Exchange clustering moves units
-between classes while the likelihood of the class bigrams grows.  A word's
-probability is that of its class after the class before, times that of the
-word within its class, both smoothed.
-
-Words are known by a 64-bit hash.  Counts cover all training text.  A text's
-score needs the count of each of its words: those of the most frequent ones
-(at most HELD of them) are broadcast, all others are joined.
+Every word of the training text has a class.  The start is found on the
+driver: exchange clustering of the most frequent words, and of the endings of
+all others, moves these units between classes while the likelihood of the
+class bigrams grows.  Then every word moves on its own: a sweep counts the
+classes on either side of each word over all training text and moves the word
+to the class that makes them likeliest.  Only words unseen in training take a
+class by their ending.  A word's probability is that of its class after the
+class before, times that of the word within its class, both smoothed.
+
+Words are known by a 64-bit hash.  Counts cover all training text.  What is
+needed of each word of a text, its count and class, is broadcast for the most
+frequent ones (at most HELD of them) and joined for all others.
 """
 
 from __future__ import annotations
@@ -24,12 +27,17 @@ from pyspark.sql import functions as F
 
 from shelfline.llm.common import mix64, most_frequent, stored, words_of
 
-#: Words that are units of their own; units of endings; classes; sweeps of the exchange.
+#: Words that are units of their own at the start; units of endings; classes; sweeps of the exchange.
 WORDS, ENDINGS, CLASSES, SWEEPS = 1024, 256, 64, 8
-#: The most words whose counts are broadcast (16 bytes each).
+#: Sweeps over all words.
+SPREADS = 2
+#: The most words whose counts and classes are broadcast (24 bytes each).
 HELD = 1 << 19
 #: Distinct words a task gathers before it passes them on.
 GATHERED = 1 << 20
+#: Counts of the classes beside a word: class after a word + SIDE, class before it.
+SIDE = CLASSES + 1
+PACKED = np.dtype([("beside", "u1"), ("n", "<i8")])
 #: Smoothing of class transitions.
 TRANSITION_PRIOR = 0.5
 
@@ -128,8 +136,8 @@ class ClassModel:
 
     words: np.ndarray  # sorted hashes of the words whose counts are held
     counts: np.ndarray
-    units: np.ndarray  # of these words, -1 where the ending is the unit
-    of: np.ndarray  # class of each unit
+    units: np.ndarray  # of these words
+    of: np.ndarray  # class of each unit: words of the start, endings, one of each class, the end
     log_next: np.ndarray  # [class before, class], log10
     log_total: np.ndarray  # log10 of the smoothed words of each class
     ends: int  # training texts
@@ -148,10 +156,9 @@ def _unit(words: np.ndarray, units: np.ndarray, hashes: np.ndarray, endings: np.
     return np.where(own >= 0, own, WORDS + endings), at
 
 
-def _sequences(rows: np.ndarray, units: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sequences(rows: np.ndarray, units: np.ndarray, n: int, end: int = WORDS + ENDINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, unit before and unit of each token of ``n`` texts, ends included;
     what comes before the first is an end."""
-    end = WORDS + ENDINGS
     row = np.concatenate([rows, np.arange(n)])
     order = np.argsort(row, kind="stable")
     row, now = row[order], np.concatenate([units, np.full(n, end)])[order]
@@ -181,40 +188,278 @@ def bigrams(docs: DataFrame, words: np.ndarray, units: np.ndarray, text_col: str
     return table.reshape(n_units, n_units)
 
 
+def _beside(docs: DataFrame, words: np.ndarray, classes: np.ndarray, endings: np.ndarray | None, both: bool, text_col: str) -> DataFrame:
+    """word and packed counts of the classes beside it, as tasks have gathered
+    them; where the word beside has no class here (it is not held, and
+    ``endings`` has none for it) a row has that word as ``other``, and its side.
+    Without ``both`` of the classes before a word only the ends are counted:
+    the others are known from the classes after."""
+    held = docs.sparkSession.sparkContext.broadcast((words, classes, endings))
+    schema = pa.schema([("word", pa.int64()), ("other", pa.int64()), ("side", pa.int32()), ("packed", pa.binary())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, classes, endings = held.value
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            word, beside, n = (np.concatenate([k[i] for k in kept]) for i in range(3))
+            order = np.lexsort((beside, word))
+            word, beside, n = word[order], beside[order], n[order]
+            first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (beside[1:] != beside[:-1])]) if len(word) else np.zeros(0, dtype=np.int64)
+            return word[first], beside[first], np.add.reduceat(n, first) if len(first) else n
+
+        def out(word, beside, n) -> pa.RecordBatch:
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, dtype=np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(word[first].view(np.int64)), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int32()), _packed(beside, n, np.r_[first, len(word)])], schema=schema
+            )
+
+        for batch in batches:
+            for _, _, data, starts, lens, row, hashes in words_of(batch["text"]):
+                if not len(hashes):
+                    continue
+                at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
+                there = words[at] == hashes if len(words) else np.zeros(len(hashes), dtype=bool)
+                of = np.full(len(hashes), -1) if endings is None else endings[_endings(data, starts, lens)]
+                of[there] = classes[at[there]]
+                first, last = np.r_[True, row[1:] != row[:-1]], np.r_[row[1:] != row[:-1], True]
+                after = np.where(last, CLASSES, np.r_[of[1:], CLASSES])
+                before = np.where(first, CLASSES, np.r_[CLASSES, of[:-1]])
+                counted = first if not both else before >= 0
+                keys, back = np.unique(hashes, return_inverse=True)
+                pairs = np.concatenate([(back * 256 + after)[after >= 0], (back * 256 + SIDE + before)[counted]])
+                pairs, n = np.unique(pairs, return_counts=True)
+                kept.append((keys[pairs >> 8], (pairs & 255).astype(np.uint8), n))
+                a, b = np.flatnonzero(after < 0), np.flatnonzero((before < 0) & both)
+                if len(a) or len(b):
+                    word, other = np.concatenate([hashes[a], hashes[b]]), np.concatenate([hashes[a + 1], hashes[b - 1]])
+                    side = np.repeat(np.array([0, SIDE], dtype=np.int32), [len(a), len(b)])
+                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(other.view(np.int64)), pa.array(side), pa.nulls(len(side), pa.binary())], schema=schema)
+                if sum(len(k[0]) for k in kept) > 2 * GATHERED:
+                    kept = [merged()]
+                    if len(kept[0][0]) > GATHERED:
+                        yield out(*kept.pop())
+        if kept:
+            yield out(*merged())
+
+    return docs.selectExpr(f"`{text_col}` as text").mapInArrow(rows, "word bigint, other bigint, side int, packed binary")
+
+
+def _packed(beside: np.ndarray, n: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Counts as one binary value of each range of them."""
+    entries = np.empty(len(n), dtype=PACKED)
+    entries["beside"], entries["n"] = beside, n
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * PACKED.itemsize).astype(np.int32).tobytes()), pa.py_buffer(entries.tobytes())])
+
+
+def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each packed count, and the counts; null counts as none."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return np.repeat(np.arange(len(column)), np.diff(offsets) // PACKED.itemsize), data.view(PACKED)
+
+
+def _dropped(table: DataFrame) -> None:
+    """Frees the disk of a stored table that is not read again."""
+    jvm, files = table.sparkSession._jvm, table.inputFiles()
+    if files:
+        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+NEIGHBOURS = "word bigint, n bigint, ending int, class int, packed binary"
+
+
+def neighbours(docs: DataFrame, classed: DataFrame, words: np.ndarray, classes: np.ndarray, least: int, endings: np.ndarray | None, both: bool, text_col: str = "text") -> DataFrame:
+    """``classed`` (word, n, ending, class) with the counts of the classes
+    beside each word, over all of ``docs``."""
+    gathered = stored(_beside(docs, words, classes, endings, both, text_col), "beside")
+    no = lambda kind: F.lit(None).cast(kind)
+    parts = gathered.where("other is null").select("word", no("bigint").alias("n"), no("int").alias("ending"), no("int").alias("class"), no("int").alias("beside"), "packed")
+    if endings is None:
+        rest = classed.where(F.col("n") < least).select(F.col("word").alias("other"), "class")
+        found = gathered.where("other is not null").select("word", "other", "side").join(rest, "other")
+        # Summed before words meet: a frequent word is beside many others.
+        found = found.groupBy("word", (F.col("side") + F.col("class")).alias("beside")).agg(F.count("*").alias("n"))
+        parts = parts.unionByName(found.select("word", "n", no("int").alias("ending"), no("int").alias("class"), "beside", no("binary").alias("packed")))
+    parts = parts.unionByName(classed.select("word", "n", "ending", "class", no("int").alias("beside"), no("binary").alias("packed")))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["word", "n", "ending", "class", "packed"]
+
+        def merged(table: pa.Table) -> pa.RecordBatch:
+            table = table.combine_chunks()
+            word, n, ending, of, beside, packed = (table[c].combine_chunks() for c in ("word", "n", "ending", "class", "beside", "packed"))
+            w = word.to_numpy()
+            first = np.r_[True, w[1:] != w[:-1]]
+            run = np.cumsum(first) - 1
+            row, entries = _entries(packed)
+            single = np.flatnonzero(beside.is_valid().to_numpy(zero_copy_only=False))
+            keys = np.concatenate([run[row] * 256 + entries["beside"], run[single] * 256 + beside.fill_null(0).to_numpy()[single]])
+            keys, back = np.unique(keys, return_inverse=True)
+            times = np.zeros(len(keys), dtype=np.int64)
+            np.add.at(times, back, np.concatenate([entries["n"], n.fill_null(0).to_numpy()[single]]))
+            head = np.flatnonzero(of.is_valid().to_numpy(zero_copy_only=False))
+            assert len(head) == first.sum()
+            bounds = np.searchsorted(keys, np.arange(len(head) + 1) * 256)
+            return pa.RecordBatch.from_arrays([c.take(pa.array(head)).cast(t) for c, t in ((word, pa.int64()), (n, pa.int64()), (ending, pa.int32()), (of, pa.int32()))] + [_packed(keys & 255, times, bounds)], names=names)
+
+        # A word's rows are neighbours, perhaps in two batches or more.
+        left: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([left, table]) if left is not None else table
+            if not len(table):
+                continue
+            w = table["word"].to_numpy()
+            cut = int(np.searchsorted(w, w[-1]))
+            if cut:
+                yield merged(table.slice(0, cut))
+            left = table.slice(cut)
+        if left is not None and len(left):
+            yield merged(left)
+
+    out = stored(parts.repartition("word").sortWithinPartitions("word").mapInArrow(rows, NEIGHBOURS), "neighbours")
+    _dropped(gathered)
+    return out
+
+
+def class_bigrams(beside: DataFrame, ends: int) -> np.ndarray:
+    """Counts of neighbouring classes, the end of a text as the last class."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SIDE * SIDE, dtype=np.int64)
+        for batch in batches:
+            row, entries = _entries(batch["packed"])
+            of, beside = batch["class"].to_numpy()[row].astype(np.int64), entries["beside"].astype(np.int64)
+            right, start = beside < SIDE, beside == SIDE + CLASSES
+            np.add.at(table, of[right] * SIDE + beside[right], entries["n"][right])
+            np.add.at(table, CLASSES * SIDE + of[start], entries["n"][start])
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["pair", "n"])
+
+    table = np.zeros(SIDE * SIDE, dtype=np.int64)
+    for r in beside.select("class", "packed").mapInArrow(rows, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table[r.pair] = r.n
+    table[-1] = ends - table[CLASSES * SIDE : -1].sum()  # texts without words
+    return table.reshape(SIDE, SIDE)
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The log likelihood of class bigrams, but for what no move changes."""
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return f(table) - f(table.sum(axis=0)) - f(table.sum(axis=1))
+
+
+def moved(beside: DataFrame, table: np.ndarray) -> DataFrame:
+    """Each word with the class in which the classes beside it are likeliest,
+    where its own class counts without it; ties keep the lower class."""
+    table = table.astype(np.float64)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = np.log(table + TRANSITION_PRIOR)
+        size = table.sum(axis=1)
+        total = np.log(size + SIDE * TRANSITION_PRIOR)
+        for batch in batches:
+            row, entries = _entries(batch["packed"])
+            own = batch["class"].to_numpy()
+            counts = np.zeros((batch.num_rows, 2 * SIDE))
+            counts[row, entries["beside"]] = entries["n"]
+            after, before = counts[:, :SIDE], counts[:, SIDE:]
+            n = after.sum(axis=1)
+            gain = after @ logs[:CLASSES].T + before @ logs[:, :CLASSES] - 2 * n[:, None] * total[:CLASSES]
+            f = lambda x: np.log(np.maximum(x, 0) + TRANSITION_PRIOR)
+            alone = np.zeros(len(n))
+            np.add.at(alone, row, entries["n"] * f(np.where(entries["beside"] < SIDE, table[own[row], entries["beside"] % SIDE], table[entries["beside"] % SIDE, own[row]]) - entries["n"]))
+            gain[np.arange(len(n)), own] = alone - 2 * n * np.log(size[own] - n + SIDE * TRANSITION_PRIOR)
+            best = gain.argmax(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], batch["ending"], pa.array(best)], names=["word", "n", "ending", "class"])
+
+    return stored(beside.mapInArrow(rows, "word bigint, n bigint, ending int, class int"), "classes")
+
+
 def train(docs: DataFrame, text_col: str = "text") -> tuple[ClassModel, DataFrame]:
-    """The model of all of ``docs``, and the table of all word counts.  To the
-    driver come at most HELD words, and the unit bigrams."""
+    """The model of all of ``docs``, and the table of all words: word, n,
+    class and, as ``ending``, the unit of that class after the first WORDS.
+    To the driver come at most HELD words, the unit bigrams of the start, and
+    the class bigrams of each sweep; a sweep after the first that does not
+    raise the likelihood is not used."""
     counts = stored(word_counts(docs, text_col), "word-counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent, least = most_frequent(counts, "n", HELD)
     frequent = frequent.toArrow()
-    words, n, ending = (frequent[c].to_numpy() for c in ("word", "n", "ending"))
+    words, n = (frequent[c].to_numpy() for c in ("word", "n"))
     words = words.view(np.uint64)
     order = np.argsort(words)
-    words, n, ending = words[order], n[order], ending[order]
+    words, n = words[order], n[order]
     units = np.full(len(words), -1, dtype=np.int64)
     top = np.lexsort((words, -n))[:WORDS]
     units[top] = np.arange(len(top))
-    table = bigrams(docs, words, units, text_col)
-    of = exchange(table, CLASSES)
-    k = CLASSES + 1
-    member = np.zeros((len(of), k))
-    member[np.arange(len(of)), of] = 1
-    transitions = member.T @ table @ member + TRANSITION_PRIOR
-    log_next = np.log10(transitions / transitions.sum(axis=1, keepdims=True))
-    # Distinct words of each unit: one of a word, and of an ending those that are no unit themselves.
-    kinds = np.zeros(len(of))
-    for row in counts.groupBy("ending").count().collect():
-        kinds[WORDS + row.ending] = row["count"]
-    np.subtract.at(kinds, WORDS + ending[top], 1)
-    kinds[: len(top)] = 1
-    kinds[-1] = 1
-    log_total = np.log10(member.T @ (table.sum(axis=0) + kinds) + 1)
-    ends = int(table[-1].sum())
-    return ClassModel(words, n, units, of, log_next, log_total, ends, tokens + ends, distinct + (1 if ends else 0), least), counts
+    seed = bigrams(docs, words, units, text_col)
+    of = exchange(seed, CLASSES)
+    ends = int(seed[-1].sum())
 
+    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, unit_of = words[np.sort(top)], units[np.sort(top)]
+        for batch in batches:
+            unit, _ = _unit(seeds, unit_of, batch["word"].to_numpy().view(np.uint64), batch["ending"].to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], batch["ending"], pa.array(of[unit].astype(np.int32))], names=["word", "n", "ending", "class"])
+
+    def held(classed: DataFrame) -> np.ndarray:
+        found = classed.where(F.col("n") >= least).select("word", "class").toArrow()
+        return found["class"].to_numpy()[np.argsort(found["word"].to_numpy().view(np.uint64))].astype(np.int64)
+
+    classed = stored(counts.select("word", "n", "ending").mapInArrow(started, "word bigint, n bigint, ending int, class int"), "classes")
+    k = np.eye(SIDE)[of]
+    table = (k.T @ seed @ k).astype(np.int64)
+    endings = of[WORDS : WORDS + ENDINGS]
+    beside = neighbours(docs, classed, words, held(classed), least, endings, True, text_col)
+    for sweep in range(SPREADS):
+        after = moved(beside, table)
+        _dropped(beside)
+        beside = neighbours(docs, after, words, held(after), least, None, sweep + 1 < SPREADS, text_col)
+        found = class_bigrams(beside, ends)
+        if sweep and likelihood(found) <= likelihood(table):
+            break
+        classed, table = after, found
 
-SCORED = "doc_id bigint, extra boolean, n_tokens bigint, known bigint, logs double, classes double, rare array<bigint>"
+    transitions = table + TRANSITION_PRIOR
+    log_next = np.log10(transitions / transitions.sum(axis=1, keepdims=True))
+    totals = np.zeros(SIDE)
+    totals[CLASSES] = ends + 1
+    most = np.zeros(ENDINGS)
+    endings = endings.copy()
+    for r in classed.groupBy("ending", "class").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).orderBy("ending", "class").collect():
+        totals[r["class"]] += r.n + r.kinds
+        if r.kinds > most[r.ending]:  # an unseen word is like most words of its ending
+            most[r.ending], endings[r.ending] = r.kinds, r["class"]
+    of = np.concatenate([of[:WORDS], endings, np.arange(CLASSES), [CLASSES]])
+    units = WORDS + ENDINGS + held(classed)
+    model = ClassModel(words, n, units, of, log_next, np.log10(totals + 1), ends, tokens + ends, distinct + (1 if ends else 0), least)
+    return model, classed.select("word", "n", (F.lit(ENDINGS) + F.col("class")).alias("ending"), "class")
+
+
+SCORED = "doc_id bigint, extra boolean, n_tokens bigint, known bigint, logs double, classes double, rare array<bigint>, sequence binary"
+#: In a sequence, what marks a word that is not held; the rest is the class of its ending.
+RARE = 128
+
+
+def _rescored(m: ClassModel, sequence: pa.Array, places: pa.ListArray, classes: np.ndarray) -> np.ndarray:
+    """Log probabilities of class sequences in which the classes of some of
+    the words that are not held, by their place among these, have been found."""
+    n = len(sequence)
+    lens = np.diff(np.frombuffer(sequence.buffers()[1], dtype=np.int64)[sequence.offset : sequence.offset + n + 1])
+    of = np.frombuffer(b"".join(sequence.to_pylist()), dtype=np.uint8).astype(np.int64)
+    row = np.repeat(np.arange(n), lens)
+    rare = np.flatnonzero(of >= RARE)
+    of[rare] -= RARE
+    start = np.searchsorted(row[rare], np.arange(n))
+    size = np.diff(places.offsets.to_numpy())
+    of[rare[np.repeat(start, size) + places.flatten().to_numpy()]] = classes
+    r, before, now = _sequences(row, of, n, CLASSES)
+    return np.bincount(r, weights=m.log_next[before, now] - m.log_total[now], minlength=n)
 
 
 def score(docs: DataFrame, model: ClassModel, counts: DataFrame, extra: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,26 +483,48 @@ def score(docs: DataFrame, model: ClassModel, counts: DataFrame, extra: Column,
                 logs = np.bincount(row[there], weights=np.log10(m.counts[at[there]] + 1.0), minlength=n) + math.log10(m.ends + 1)
                 known = np.bincount(row[there], minlength=n) + (1 if m.ends else 0)
                 tokens = np.bincount(row, minlength=n) + 1
-                r, before, now = _sequences(row, unit, n)
-                now = m.of[now]
-                classes = np.bincount(r, weights=m.log_next[m.of[before], now] - m.log_total[now], minlength=n)
+                of = m.of[unit]
+                r, before, now = _sequences(row, of, n, CLASSES)
+                classes = np.bincount(r, weights=m.log_next[before, now] - m.log_total[now], minlength=n)
                 rare = hashes[~there].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(tokens - 1 - np.bincount(row[there], minlength=n))])
+                n_rare = tokens - 1 - np.bincount(row[there], minlength=n)
+                ends = np.concatenate([[0], np.cumsum(n_rare)])
+                # Where words are joined, the classes are needed once more.
+                bounds = np.concatenate([[0], np.cumsum(np.where(n_rare > 0, tokens - 1, 0))]).astype(np.int32)
+                marked = (of + np.where(there, 0, RARE))[(n_rare > 0)[row]].astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(first, n), batch["extra"].slice(first, n), pa.array(tokens), pa.array(known), pa.array(logs), pa.array(classes),
                         pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rare)),
+                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(marked.tobytes())]),
                     ],
-                    names=["doc_id", "extra", "n_tokens", "known", "logs", "classes", "rare"],
+                    names=["doc_id", "extra", "n_tokens", "known", "logs", "classes", "rare", "sequence"],
                 )
 
     out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), extra.alias("extra"), F.col(text_col).alias("text")).mapInArrow(rows, SCORED)
     out = stored(out.withColumn("row", F.monotonically_increasing_id()), "scored")
-    words = out.select("row", F.explode("rare").alias("word"))
-    found = words.join(counts.where(F.col("n") < model.least).select("word", "n"), "word")
-    rest = found.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"), F.count("*").alias("more_known"))
+    words = out.select("row", F.posexplode("rare").alias("place", "word"))
+    found = words.join(counts.where(F.col("n") < model.least).select("word", "n", "class"), "word")
+    rest = found.groupBy("row").agg(
+        F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"), F.count("*").alias("more_known"), F.collect_list(F.struct("place", "class")).alias("found")
+    )
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch["found"]
+            there = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            classes = batch["classes"].to_numpy().copy()
+            if len(there):
+                some = found.take(pa.array(there))
+                pairs = some.flatten()
+                places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some.value_lengths().to_numpy())]).astype(np.int32)), pairs.field("place"))
+                sequence = batch["sequence"].take(pa.array(there)).cast(pa.large_binary())
+                classes[there] = _rescored(held.value, sequence, places, pairs.field("class").to_numpy().astype(np.int64))
+            logs = pa.array(batch["logs"].to_numpy() + classes)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "extra", "n_tokens", "n_known", "train_tokens", "base_score")), logs], names=["doc_id", "extra", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    return out.join(rest, "row", "left").select(
+    return out.drop("rare").join(rest, "row", "left").select(
         "doc_id", "extra", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(math.log10(model.tokens + model.distinct + 1))).alias("base_score"), (logs + F.col("classes")).alias("score"),
-    )
+        (logs - F.col("n_tokens") * F.lit(math.log10(model.tokens + model.distinct + 1))).alias("base_score"), logs.alias("logs"), "classes", "sequence", "found",
+    ).mapInArrow(again, "doc_id bigint, extra boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

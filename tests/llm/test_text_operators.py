@@ -3,6 +3,7 @@ the edges: nulls, empty and long texts, ties, repeated rows, empty tables,
 extra columns with clashing names."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -10,6 +11,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +257,55 @@ def test_lm_scoring_without_training(spark):
     assert lm_scoring.score(docs(spark, []), model, counts, F.lit(True)).isEmpty()
 
 
+def classes_of(model, counts):
+    """The class of each word of the training text, by hash."""
+    held = dict(zip(model.words.tolist(), model.units.tolist(), strict=True))
+    unit = lambda r: held.get(r.word % 2**64, -1)
+    return {r.word % 2**64: int(model.of[unit(r) if unit(r) >= 0 else lm_scoring.WORDS + r.ending]) for r in counts.collect()}
+
+
+@functools.cache
+def hash_of(word):
+    return int(next(lm_scoring.words_of(pa.array([word])))[-1][0])
+
+
+@pytest.mark.parametrize("held", [1 << 19, 1110, 0])
+def test_all_words_are_classed_by_context(spark, monkeypatch, held):
+    monkeypatch.setattr(lm_scoring, "HELD", held)
+    r = random.Random(4)
+    fill = [f"f{k}" for k in range(1100)]
+    one, two = ([*(f"{c}{k}" for k in range(8)), *(f"{c}{k}xyz" for k in range(8, 40))] for c in "ab")
+    texts = ["the {} of " * 6, "to {} it " * 6]
+    rows = [(k, " ".join(f"p {r.choice(fill)} q" for _ in range(600)), "en", "a") for k in range(60)] + [(60, None, "en", "a")]
+    for k in range(240):
+        kind = (one, two)[k % 2]
+        words = [*r.sample(kind[:8], 5), kind[8 + k // 2 % 32]]
+        rows.append((100 + k, texts[k % 2].format(*words), "en", "a"))
+    model, counts = lm_scoring.train(docs(spark, rows))
+    of = classes_of(model, counts)
+    # One ending, two kinds of words: the rare ones, not among the WORDS most frequent, follow the frequent ones of their kind.
+    first, second = ({of[hash_of(w)] for w in words[8:]} for words in (one, two))
+    assert not held or not first & second
+    # The transitions are those of the classes the words have.
+    table = np.full(model.log_next.shape, lm_scoring.TRANSITION_PRIOR)
+    for _, t, *_ in rows:
+        seen = [64, *(of[hash_of(w)] for w in plain_words(t)), 64]
+        for x, y in zip(seen, seen[1:], strict=False):
+            table[x, y] += 1
+    assert np.allclose(model.log_next, np.log10(table / table.sum(axis=1, keepdims=True)))
+    # Scores are those of whole class sequences; unseen words go by their ending.
+    n = {r.word % 2**64: r.n for r in counts.collect()}
+    given = [*rows[55:70], (500, "the unseenxyz of b11xyz neverxyz a11xyz f3", "en", "a"), (501, "neverxyz", "en", "a"), (502, "a12xyz b22xyz", "en", "a")]
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs(spark, given), model, counts, F.lit(True)).collect()}
+    ending = int(lm_scoring._endings(np.frombuffer(b"xyz", dtype=np.uint8), np.array([0]), np.array([3]))[0])
+    for i, t, *_ in given:
+        h = [hash_of(w) for w in plain_words(t)]
+        seen = [64, *(of.get(x, model.of[lm_scoring.WORDS + ending]) for x in h), 64]
+        want = sum(math.log10(n.get(x, 0) + 1) for x in h) + math.log10(model.ends + 1)
+        want += sum(model.log_next[x, y] - model.log_total[y] for x, y in zip(seen, seen[1:], strict=False))
+        assert abs(got[i] - want) < 1e-6
+
+
 def test_class_model_beats_word_counts(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fold = language_id.in_fold(F.col("doc_id"), 7, 2)
