@@ -102,7 +102,7 @@ def op7_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "captures",
     )
-    targets = read.where("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"))
+    targets = read.where("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to")).distinct()
     return read.join(targets, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

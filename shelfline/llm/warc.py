@@ -68,11 +68,11 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
     become responses or revisits alike.  Other columns play no part; an empty
     table writes no record.
     """
-    plan = stored(dedup_plan(pages, least_bytes, id_col, payload_col).select(F.col("page_id").alias("__id"), "response_id").distinct(), "capture-plan")
+    plan = stored(dedup_plan(pages, least_bytes, id_col, payload_col).select(F.col("page_id").alias("__id"), F.col("sha1").alias("__sha1"), "response_id").distinct(), "capture-plan")
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("about:blank")), r"[\x00-\x1F\x7F]", " ").alias("uri"),
-    ).join(plan.hint("merge"), F.col("page_id").eqNullSafe(F.col("__id")))
+    ).join(plan.hint("merge"), F.col("page_id").eqNullSafe(F.col("__id")) & (F.sha1(F.col("payload").cast("binary")) == F.col("__sha1")))
     rows = with_payload_digest(rows, "payload_digest", F.col("payload").cast("binary"))
     number, uri = F.col("page_id"), F.col("uri")
     revisit = ~F.col("page_id").eqNullSafe(F.col("response_id"))
@@ -191,8 +191,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Records are joined through WARC-Concurrent-To.  A capture is a response
     or revisit; requests and metadata that point at none are left out.  Of
-    two requests the one first by record id is taken; of repeated records (one
-    record_id) one is used.
+    two requests the one first by record id is taken; each of repeated
+    responses and revisits (one record_id) is a capture, with what points at it.
     """
     whole = F.struct(*[F.col(c) for c in records.columns])
     main = records.where(F.col("warc_type").isin("response", "revisit"))

@@ -49,6 +49,17 @@ def test_warc_round_trip(spark):
     assert all(gzip.decompress(f.content).startswith(b"WARC/1.1\r\n") for f in files)
 
 
+def test_warc_query_with_repeated_pages(spark, tmp_path):
+    rows = [(7, "u", "h"), (7, "u", "h"), (3, "u", "h"), (9, "u", "g"), (9, "u", "k"), (4, "u", "k"), (12, "u", "g")]
+    pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    last = {}
+    for i, _, h in rows:
+        last[h] = max(i, last.get(h, 0))
+    want = [(i, base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if last[h] == i else "revisit", None if last[h] == i else last[h]) for i, _, h in rows]
+    got = [(r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in queries.op7_warc_assembly(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_warc_least_size_and_no_rows(spark):
     _, got = read_back(spark, pages(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")]), least=3)
     assert collections.Counter(r[0] for r in got.select("response.warc_type").collect()) == {"response": 3, "revisit": 1}
