@@ -28,10 +28,11 @@ BUDGET_NOISE = [
 def normalize_text(c: Column) -> Column:
     """Lower case, only letters and digits of ASCII, phrases folded, squeezed;
     null as empty."""
-    out = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"[^a-z0-9{WHITE_IN}]", " ")
+    # White space and all else that goes becomes one space at once.
+    out = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " ")
     for first, second, one in PHRASES:
-        out = F.regexp_replace(out, rf"{first}{WHITE}+{second}(?![a-z0-9])", one)
-    return squeeze(out)
+        out = F.regexp_replace(out, rf"{first} {second}(?![a-z0-9])", one)
+    return F.trim(out)
 
 
 def strip_budget(c: Column) -> Column:
@@ -140,34 +141,47 @@ def with_relevance(df: DataFrame, query: str | None, title: str = "title", name:
     if not q.usable:
         return df.withColumn(name, _verdict(F.lit(0), F.lit("UNKNOWN"), F.lit(0), F.lit(0.0), F.lit(False), F.lit(0), F.lit("")))
     groups = q.groups
-    staged = df.withColumn("__text", normalize_text(t))
-    staged = staged.withColumn("__tokens", F.transform(tokens(F.col("__text")), lambda x: F.struct(canonical(x).alias("group"), is_accessory(x).alias("accessory"))))
-    groups_of = F.transform("__tokens", lambda x: x["group"])
-    has = [F.array_contains(groups_of, g).cast("int") for g in groups]
     total = lambda columns: sum(columns[1:], columns[0]) if columns else F.lit(0)
-    staged = (
-        staged.withColumn("__overlap", total(has))
-        .withColumn("__bonus", total([h for h, word in zip(has, q.tokens, strict=True) if len(word) >= 5]))
-        .withColumn("__penalty", F.size(F.filter("__tokens", lambda x: x["accessory"] & ~x["group"].isin(sorted(set(groups))))))
-        .withColumn("__exact", F.col("__text").contains(q.text))
-        .withColumn("__score", 3 * F.col("__overlap") + F.col("__bonus") + F.when(F.col("__exact"), 10).otherwise(0) - 3 * F.col("__penalty"))
-    )
-    overlap, penalty, score, exact = (F.col(f"__{c}") for c in ("overlap", "penalty", "score", "exact"))
-    ratio = overlap / F.lit(len(groups))
-    stray = F.lit(not q.for_accessory) & (penalty > 0)
-    found = (
-        F.when(exact, F.when(stray, "LOW").otherwise("HIGH"))
-        .when((overlap == 0) | (stray & (score < 6)) | ((penalty > 0) & (ratio < 0.6)), "LOW")
-        .when((ratio >= 0.75) | (score >= 6), "HIGH")
-        .when((ratio >= 0.4) | (score >= 3), "MEDIUM")
-        .otherwise("LOW")
-    )
-    if q.for_audio:
-        found = F.when((found == "LOW") & (audio_terms(F.col("__text")) >= 2), "HIGH").otherwise(found)
-    blank, empty = squeeze(t) == "", F.col("__text") == ""
-    none = _verdict(F.lit(0), F.lit("UNKNOWN"), F.lit(0), F.lit(0.0), F.lit(False), F.lit(0), F.when(blank, "").otherwise(q.text))
-    out = F.when(blank | empty, none).otherwise(_verdict(score, found, overlap, ratio, exact, penalty, F.lit(q.text)))
-    return staged.withColumn(name, out).drop("__text", "__tokens", "__overlap", "__bonus", "__penalty", "__exact", "__score")
+
+    def counted(text: Column, words: Column) -> Column:
+        of = F.transform(words, lambda x: x["group"])
+        has = [F.array_contains(of, g).cast("int") for g in groups]
+        stray = F.size(F.filter(words, lambda x: x["accessory"] & ~x["group"].isin(sorted(set(groups)))))
+        bonus = total([h for h, word in zip(has, q.tokens, strict=True) if len(word) >= 5])
+        return F.struct(total(has).alias("overlap"), bonus.alias("bonus"), stray.alias("penalty"), text.contains(q.text).alias("exact"))
+
+    def scored(text: Column, n: Column) -> Column:
+        points = 3 * n["overlap"] + n["bonus"] + F.when(n["exact"], 10).otherwise(0) - 3 * n["penalty"]
+        return _let(points, lambda score: judged(text, n, score))
+
+    def judged(text: Column, n: Column, score: Column) -> Column:
+        overlap, penalty, exact = n["overlap"], n["penalty"], n["exact"]
+        ratio = overlap / F.lit(len(groups))
+        stray = F.lit(not q.for_accessory) & (penalty > 0)
+        found = (
+            F.when(exact, F.when(stray, "LOW").otherwise("HIGH"))
+            .when((overlap == 0) | (stray & (score < 6)) | ((penalty > 0) & (ratio < 0.6)), "LOW")
+            .when((ratio >= 0.75) | (score >= 6), "HIGH")
+            .when((ratio >= 0.4) | (score >= 3), "MEDIUM")
+            .otherwise("LOW")
+        )
+        if q.for_audio:
+            found = _let(found, lambda c: F.when((c == "LOW") & (audio_terms(text) >= 2), "HIGH").otherwise(c))
+        return _verdict(score, found, overlap, ratio, exact, penalty, F.lit(q.text))
+
+    def relevance(text: Column) -> Column:
+        none = _verdict(F.lit(0), F.lit("UNKNOWN"), F.lit(0), F.lit(0.0), F.lit(False), F.lit(0), F.when(squeeze(t) == "", "").otherwise(q.text))
+        words = F.transform(tokens(text), lambda x: F.struct(canonical(x).alias("group"), is_accessory(x).alias("accessory")))
+        return F.when(text == "", none).otherwise(_let(words, lambda w: _let(counted(text, w), lambda n: scored(text, n))))
+
+    return df.withColumn(name, _let(normalize_text(t), relevance))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is named:
+    a lambda variable is no alias that the optimiser could write out, and
+    stays one where the whole is pushed into a filter."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _verdict(score, category, overlap, ratio, exact, penalty, used) -> Column:

@@ -1,9 +1,10 @@
 """Rank by feedback volume, and display pages.
 
 The order is total: volume first (none counts as -1), then arrival.  A page
-near the top needs a top-k only.  The rank of every row of a large table is
-worked out in ranges: rows are sorted in ranges of the order, counted by range,
-and a range's ranks follow those before it.
+near the top needs a top-k only.  The rank of every row of a large table, or
+of every group's rows, is worked out in ranges: rows are sorted in ranges of
+the order, counted by range (and group), and a range's ranks follow those
+before it, so no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -29,16 +30,20 @@ def by_volume() -> list[Column]:
 
 def with_rank(df: DataFrame, partition_by: Sequence[str] = (), size: int = PAGE_SIZE) -> DataFrame:
     """``df`` with feedback_volume, rank (from 1, no gaps) and page, over the
-    whole table or within ``partition_by``."""
-    df = df.withColumn("feedback_volume", volume())
-    if partition_by:
-        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*partition_by).orderBy(*by_volume())).cast("bigint"))
-        return ranked.withColumn("page", page_of(F.col("rank"), size))
+    whole table or within ``partition_by``.
+
+    Two tables are written while the plan is built: the rows, as finding the
+    ranges reads them once more, and the sorted rows, whose places count.
+    """
+    df = stored(df.withColumn("feedback_volume", volume()), "to-rank")
     ranges = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = df.repartitionByRange(int(ranges), *by_volume()).sortWithinPartitions(*by_volume())
+    order = [F.col(c).asc() for c in partition_by] + by_volume()
+    ordered = df.repartitionByRange(int(ranges), *order).sortWithinPartitions(*order)
     # 33 bits of place within the range, the range's number above them.
     placed = stored(ordered.withColumn("__place", F.monotonically_increasing_id()), "ranked")
     part = F.shiftrightunsigned("__place", 33)
+    if partition_by:
+        return _within(placed.withColumn("__part", part), partition_by, size)
     counts = placed.groupBy(part.alias("__part")).count()
     before = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     # As many rows as there are ranges: the number of shuffle partitions.
@@ -47,6 +52,22 @@ def with_rank(df: DataFrame, partition_by: Sequence[str] = (), size: int = PAGE_
     return ranked.withColumn("rank", rank).withColumn("page", page_of(F.col("rank"), size)).drop("__part", "__place", "__before")
 
 
+def _within(placed: DataFrame, by: Sequence[str], size: int) -> DataFrame:
+    """Ranks within groups: a group's rows of one range are neighbours, after
+    those of the ranges before it.  As many rows are joined as there are
+    groups and ranges together, so Spark decides how by their size."""
+    counts = placed.groupBy("__part", *by).agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    names = {c: f"__of_{k}" for k, c in enumerate(by)}
+    before = before.select(F.col("__part").alias("__in"), *[F.col(c).alias(n) for c, n in names.items()], "__first", "__before")
+    same = F.col("__part") == F.col("__in")
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    ranked = placed.join(before, same).withColumn("rank", F.col("__place") - F.col("__first") + F.col("__before") + 1)
+    return ranked.withColumn("page", page_of(F.col("rank"), size)).drop("__part", "__place", "__in", "__first", "__before", *names.values())
+
+
 def top(df: DataFrame, n: int, size: int = PAGE_SIZE) -> DataFrame:
     """The first ``n`` rows with their ranks: a top-k, then one small window."""
     first = df.withColumn("feedback_volume", volume()).orderBy(*by_volume()).limit(n)

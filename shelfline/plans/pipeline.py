@@ -1,4 +1,5 @@
-"""The ranking as one lazy plan.
+"""The ranking as one plan, lazy but for the ranks of all rows, which are
+worked out in written tables.
 
 Raw rows are deduplicated, validated, filtered by relevance, budget and
 sponsorship, and ranked by feedback volume.  Duplicates are settled before the

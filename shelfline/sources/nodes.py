@@ -7,14 +7,18 @@ would be tried.  What a field makes of its nodes is said in column expressions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from shelfline.functions.js import WHITE
 from shelfline.sources.dom import Node, parse
 
+_RUN = re.compile(f"{WHITE}+")
+
 NODE = "page bigint, card int, name string, at array<int>, text string, attrs map<string,string>, up array<string>"
 
 
@@ -24,8 +28,9 @@ class Pick:
 
     ``within``: an outer selector; nodes are looked for in each of its
     matches, whose attributes they get, or their ``own``.  ``longest``: longer texts are left
-    out.  ``leaf``: only elements without elements.  ``up``: shorter texts
-    bring the texts of their ancestors within the card.
+    out.  ``leaf``: only elements without elements.  ``up``: texts that are
+    shorter, runs of white space counted as one, bring the texts of their
+    ancestors within the card.
     """
 
     name: str
@@ -59,7 +64,7 @@ class Pick:
             if any(n.tag == "h2" for n in node.above()):
                 attrs["#heading"] = "true"
             up = []
-            if self.up and len(text.strip()) < self.up:
+            if self.up and len(_RUN.sub(" ", text).strip()) < self.up:
                 for above in node.above():
                     if above is card:
                         break

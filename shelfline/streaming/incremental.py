@@ -81,26 +81,38 @@ def rank_stream(stream: DataFrame, folder: str, **options) -> DataStreamWriter:
 
     A batch is written under its number, so one that is tried again replaces
     itself; the ranking of all batches goes to a folder of that number, and an
-    empty one is not written: the last good one stays.
+    empty one is not written: the last good one stays (:func:`last_ranking`).
     """
     raw, ranked = f"{folder}/raw", f"{folder}/ranked"
+    # What there is before any batch: no row, but the columns of a ranking.
+    none = stream.sparkSession.createDataFrame([], stream.schema)
+    rank_products(none, **options).write.mode("overwrite").parquet(f"{ranked}/batch=-1")
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{raw}/batch={number}")
         every = batch.sparkSession.read.schema(batch.schema).option("basePath", raw).parquet(f"{raw}/batch=*")
         result = stored(rank_products(every, **options), "stream-ranked")
         if not result.isEmpty():
-            result.write.mode("overwrite").parquet(f"{ranked}/{number}")
+            result.write.mode("overwrite").parquet(f"{ranked}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/progress")
 
 
+def last_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """The last ranking of :func:`rank_stream` that has rows; no row, with the
+    columns of one, where there was none."""
+    every = spark.read.option("basePath", f"{folder}/ranked").parquet(f"{folder}/ranked/batch=*")
+    last = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == F.lit(last)).drop("batch")
+
+
 def rank_files(spark: SparkSession, stream: DataFrame, **options) -> DataFrame:
-    """Runs :func:`rank_stream` over what is there, and gives the last ranking."""
+    """Runs :func:`rank_stream` over what is there, and gives the last ranking;
+    a stream without a file gives no row."""
     folder = shared_dir(spark, "stream")
     query = rank_stream(stream, folder, **options).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/ranked/{query.lastProgress['batchId']}")
+    return last_ranking(spark, folder)
 
 
 def settle_times(events: DataFrame, key: str, at: str, is_trigger: Column, quiet: str, cap: str) -> DataFrame:

@@ -1,6 +1,11 @@
 """Operators against plain folds, on tables and random rows."""
 
+import os
+import pathlib
 import random
+import shutil
+import subprocess
+import sys
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,10 +15,11 @@ from pyspark.sql import functions as F
 from shelfline.operators import dedup, filters, ranking
 from shelfline.plans import inputs, pipeline
 from shelfline.plans.queries import rows
+from shelfline.plans.storage import shared_dir
 from shelfline.schema import RAW_PRODUCT, raw_products
 from shelfline.sources.dom import parse
 from shelfline.sources.sites import extract_products
-from shelfline.streaming.incremental import Crawl
+from shelfline.streaming.incremental import Crawl, rank_files
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -134,6 +140,13 @@ def test_extraction(spark):
     assert [(r.title, r.price, r.rating_count, r.asin, r.sponsored) for r in got] == [("widget number 12", 999.0, 1234.0, "B0ABCDEF12", False), ("widget number 13", 1099.0, 7.0, "B0ABCDEF13", False)]
 
 
+def test_short_title_among_much_white_space_is_widened(spark):
+    wide = '<h2><span>Foo{0}Bar</span></h2>'
+    card = '<div data-component-type="s-search-result" data-asin="B0ABCDEF12"><div>' + wide + '<i> in a box that says rather more of it</i></div></div>'
+    titles = [r.title for r in extract_products(html_pages(spark, ("https://www.amazon.in/s?k=w", card.format(" ")), ("https://www.amazon.in/s?k=w", card.format(" " * 45)))).collect()]
+    assert titles == ["Foo Bar in a box that says rather more of it"] * 2
+
+
 def test_crawl(spark):
     next_link = '<nav><a href="/s?k=widget&page={0}">Next</a></nav>'
     site = {
@@ -167,9 +180,68 @@ def test_queries_against_duckdb(spark, name):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() >= 0
+    got = entry.entry(spark)
+    want = entry.queries()["full_pipeline"](spark, SMALL)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and not got.isEmpty()
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_works_without_the_training_data_part(tmp_path, pipeline):
+    root = pathlib.Path(__file__).resolve().parents[1]
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__", *([] if pipeline else ["corpus_pipeline.py"]))
+    shutil.copytree(root, tmp_path / "copy", ignore=skip)
+    run = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q) and len(q) > 50"
+    subprocess.run([sys.executable, "-c", run], cwd=tmp_path / "copy", check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_relevance_normalises_once(spark):
+    plan = filters.relevant(table(spark, [product(0)]), "wireless ear phones under 1500")._jdf.queryExecution().optimizedPlan().toString()
+    # One chain of four replacements of the title, and one squeeze where nothing is left of it.
+    assert plan.count("[^a-z0-9]+") == 1 and plan.count("regexp_replace(") <= 7
+
+
+@pytest.mark.parametrize("partitions", ["1", "4"])
+def test_rank_within_groups(spark, partitions):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    r = random.Random(2)
+    rows_ = [product(k, source=r.choice(["hot", "hot", "hot", "cold", None]), review_count=float(r.randrange(4)) or None) for k in range(120)]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = {row.ordinal: (row["rank"], row.page) for row in ranking.with_rank(table(spark, rows_), ["source"]).collect()}
+        assert ranking.with_rank(table(spark, []), ["source"]).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for source in ("hot", "cold", None):
+        order = sorted((-(p["review_count"] or -1), p["ordinal"]) for p in rows_ if p["source"] == source)
+        assert [got[o] for _, o in order] == [(k + 1, k // 4 + 1) for k in range(len(order))]
+
+
+def test_stream_without_rows_keeps_the_last_ranking(spark, tmp_path):
+    schema = table(spark, []).schema
+    stream = lambda name: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    (tmp_path / "none").mkdir()
+    none = rank_files(spark, stream("none"))
+    assert none.isEmpty() and {"rank", "page", "ordinal"} <= set(none.columns)
+    table(spark, [product(0, price=5.0)]).coalesce(1).write.parquet(str(tmp_path / "some"))
+    got = rank_files(spark, stream("some"), low=1.0)
+    assert [row["rank"] for row in got.collect()] == [1] and got.columns == none.columns
+    assert rank_files(spark, stream("some"), low=100.0).isEmpty()
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        shared_dir(Session(), "x")
+
+
 def test_raw_products_fills_missing(spark):
     assert raw_products(spark.range(1).select(F.col("id").alias("ordinal"))).first().title is None
