@@ -3,22 +3,24 @@
 Every word of the training text has a class.  The start is found on the
 driver: exchange clustering of the most frequent words, and of the endings of
 all others, moves these units between classes while the likelihood of the
-class bigrams grows.  Then every word moves on its own: a sweep counts the
-classes on either side of each word over all training text and moves the word
-to the class that makes them likeliest.  Only words unseen in training take a
+class bigrams grows.  Then every word moves on its own: the classes on either
+side of each word are counted over all training text, and it goes to the class
+that makes them likeliest.  Only words unseen in training take a
 class by their ending.  A word's probability is that of its class after the
 class before, times that of the word within its class, both smoothed.
 
-Words are known by a 64-bit hash.  Counts cover all training text.  What is
-needed of each word of a text, its count and class, is broadcast for the most
-frequent ones (at most HELD of them) and joined for all others.
+Words are known by a 64-bit hash.  Counts cover all training text.  A word's
+count and class are broadcast for the most frequent words (at most HELD) and
+joined for all others.  While words move, a neighbour that is not held is seen
+as the class of its ending, so that this is one pass and one shuffle;
+transitions and scores are those of every word's own class.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +29,16 @@ from pyspark.sql import functions as F
 
 from shelfline.llm.common import mix64, most_frequent, stored, words_of
 
-#: Words that are units of their own at the start; units of endings; classes; sweeps of the exchange.
+#: Words that are units of their own at the start; units of endings; classes; sweeps of its exchange.
 WORDS, ENDINGS, CLASSES, SWEEPS = 1024, 256, 64, 8
-#: Sweeps over all words.
-SPREADS = 2
-#: The most words whose counts and classes are broadcast (24 bytes each).
+#: Words that a task merges when they move, about, and the most such tasks.
+MERGED, MERGERS = 50_000, 100_000
+#: The most words, beside those of the start, whose counts and classes are broadcast (24 bytes each).
 HELD = 1 << 19
-#: Distinct words a task gathers before it passes them on.
+#: Distinct words (or words beside a class) a task gathers before it passes them on.
 GATHERED = 1 << 20
-#: Counts of the classes beside a word: class after a word + SIDE, class before it.
+#: Classes beside a word: the class after it, or SIDE + the class before it; the last class is the end of a text.
 SIDE = CLASSES + 1
-PACKED = np.dtype([("beside", "u1"), ("n", "<i8")])
 #: Smoothing of class transitions.
 TRANSITION_PRIOR = 0.5
 
@@ -132,399 +133,397 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
 
 @dataclass
 class ClassModel:
-    """What scoring needs at every task; its size has fixed bounds."""
+    """What every task needs; its size has fixed bounds."""
 
-    words: np.ndarray  # sorted hashes of the words whose counts are held
+    words: np.ndarray  # sorted hashes of the words that are held
     counts: np.ndarray
-    units: np.ndarray  # of these words
-    of: np.ndarray  # class of each unit: words of the start, endings, one of each class, the end
-    log_next: np.ndarray  # [class before, class], log10
-    log_total: np.ndarray  # log10 of the smoothed words of each class
+    classes: np.ndarray  # of these words
+    endings: np.ndarray  # the class of unseen words of each ending
     ends: int  # training texts
     tokens: int
     distinct: int
     least: int  # words of this count or more are held
+    log_next: np.ndarray | None = None  # [class before, class], log10
+    log_total: np.ndarray | None = None  # log10 of the smoothed words of each class
 
 
-def _unit(words: np.ndarray, units: np.ndarray, hashes: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The unit of each word, and where it is among ``words`` (-1: nowhere)."""
+def _find(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where each word is among the sorted ``words``; -1: nowhere."""
     if not len(words):
-        return WORDS + endings, np.full(len(hashes), -1)
+        return np.full(len(hashes), -1, dtype=np.int64)
     at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    at = np.where(words[at] == hashes, at, -1)
-    own = np.where(at >= 0, units[at], -1)
-    return np.where(own >= 0, own, WORDS + endings), at
+    return np.where(words[at] == hashes, at, -1)
 
 
-def _sequences(rows: np.ndarray, units: np.ndarray, n: int, end: int = WORDS + ENDINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, unit before and unit of each token of ``n`` texts, ends included;
-    what comes before the first is an end."""
+def _sequences(rows: np.ndarray, of: np.ndarray, n: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, unit (or class) before and own unit of each token of ``n`` texts,
+    ends included; what comes before the first is an end."""
     row = np.concatenate([rows, np.arange(n)])
     order = np.argsort(row, kind="stable")
-    row, now = row[order], np.concatenate([units, np.full(n, end)])[order]
+    row, now = row[order], np.concatenate([of, np.full(n, end)])[order]
     before = np.concatenate([[end], now[:-1]])
     return row, before, now
 
 
 def bigrams(docs: DataFrame, words: np.ndarray, units: np.ndarray, text_col: str = "text") -> np.ndarray:
-    """Counts of neighbouring units over all texts; their number is fixed."""
+    """Counts of neighbouring units over all texts, a bounded table: the units
+    of ``words``, those of endings for all others, and the end as the last."""
     n_units = WORDS + ENDINGS + 1
     held = docs.sparkSession.sparkContext.broadcast((words, units))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, units = held.value
         table = np.zeros(n_units * n_units, dtype=np.int64)
         for batch in batches:
             for first, last, data, starts, lens, row, hashes in words_of(batch["text"]):
-                unit, _ = _unit(*held.value, hashes, _endings(data, starts, lens))
-                _, before, now = _sequences(row, unit, last - first)
+                at = _find(words, hashes)
+                unit = np.where(at >= 0, units[at] if len(units) else 0, WORDS + _endings(data, starts, lens))
+                _, before, now = _sequences(row, unit, last - first, n_units - 1)
                 keys, n = np.unique(before * n_units + now, return_counts=True)
                 table[keys] += n
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["pair", "n"])
 
-    found = docs.selectExpr(f"`{text_col}` as text").mapInArrow(rows, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(n_units * n_units, dtype=np.int64)
+    return _table(docs.selectExpr(f"`{text_col}` as text").mapInArrow(rows, "pair int, n bigint"), n_units)
+
+
+def _table(pairs: DataFrame, n: int) -> np.ndarray:
+    found = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(n * n, dtype=np.int64)
     table[found["pair"].to_numpy()] = found["n"].to_numpy()
-    return table.reshape(n_units, n_units)
+    return table.reshape(n, n)
 
 
-def _beside(docs: DataFrame, words: np.ndarray, classes: np.ndarray, endings: np.ndarray | None, both: bool, text_col: str) -> DataFrame:
-    """word and packed counts of the classes beside it, as tasks have gathered
-    them; where the word beside has no class here (it is not held, and
-    ``endings`` has none for it) a row has that word as ``other``, and its side.
-    Without ``both`` of the classes before a word only the ends are counted:
-    the others are known from the classes after."""
-    held = docs.sparkSession.sparkContext.broadcast((words, classes, endings))
-    schema = pa.schema([("word", pa.int64()), ("other", pa.int64()), ("side", pa.int32()), ("packed", pa.binary())])
+#: The words of one part of a task's: hash, ending, how many classes beside it, and each of these with its count.
+BLOCK = "part int, words binary, endings binary, sizes binary, beside binary, times binary"
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, classes, endings = held.value
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            word, beside, n = (np.concatenate([k[i] for k in kept]) for i in range(3))
-            order = np.lexsort((beside, word))
-            word, beside, n = word[order], beside[order], n[order]
-            first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (beside[1:] != beside[:-1])]) if len(word) else np.zeros(0, dtype=np.int64)
-            return word[first], beside[first], np.add.reduceat(n, first) if len(first) else n
-
-        def out(word, beside, n) -> pa.RecordBatch:
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, dtype=np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(word[first].view(np.int64)), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int32()), _packed(beside, n, np.r_[first, len(word)])], schema=schema
-            )
+def _runs(word: np.ndarray, beside: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal (word, class beside it) added up, in order of both."""
+    order = np.lexsort((beside, word))
+    word, beside, times = word[order], beside[order], times[order]
+    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (beside[1:] != beside[:-1])]) if len(word) else np.zeros(0, dtype=np.int64)
+    return word[first], beside[first], np.add.reduceat(times, first) if len(first) else times
+
+
+def _beside(docs: DataFrame, words: np.ndarray, classes: np.ndarray, word_endings: np.ndarray, endings: np.ndarray, parts: int, text_col: str) -> DataFrame:
+    """How often each class is beside each word, as each task has gathered it:
+    one row a part of the words."""
+    held = docs.sparkSession.sparkContext.broadcast((words, classes, word_endings, endings))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, classes, word_endings, endings = held.value
+        # Of held words the place among them stands for the word; of the others the hash.
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        rare: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, back = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
+            return keys, np.bincount(back, weights=np.concatenate([k[1] for k in kept])).astype(np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, times = merged() if kept else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+            word, beside, ending = words[keys >> 8] if len(keys) else np.zeros(0, dtype=np.uint64), keys & 255, word_endings[keys >> 8] if len(keys) else keys
+            if rare:
+                every, classed, ones, of = (np.concatenate([r[k] for r in rare]) for k in range(4))
+                w, b, n = _runs(every, classed, ones)
+                some, at = np.unique(every, return_index=True)
+                e = of[at][np.searchsorted(some, w)]
+                word, beside, times, ending = np.concatenate([word, w]), np.concatenate([beside, b]), np.concatenate([times, n]), np.concatenate([ending, e])
+            part = (word % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[order], np.arange(parts + 1))
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                some = order[bounds[k] : bounds[k + 1]]
+                w = word[some]
+                first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                size = np.diff(np.append(first, len(w)))
+                binary = [w[first].astype("<u8"), ending[some][first].astype("u1"), size.astype("u1"), beside[some].astype("u1"), times[some].astype("<u4")]
+                yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), *(pa.array([x.tobytes()], type=pa.binary()) for x in binary)], names=["part", "words", "endings", "sizes", "beside", "times"])
+            kept.clear()
+            rare.clear()
 
         for batch in batches:
             for _, _, data, starts, lens, row, hashes in words_of(batch["text"]):
                 if not len(hashes):
                     continue
-                at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
-                there = words[at] == hashes if len(words) else np.zeros(len(hashes), dtype=bool)
-                of = np.full(len(hashes), -1) if endings is None else endings[_endings(data, starts, lens)]
-                of[there] = classes[at[there]]
+                at, ending = _find(words, hashes), _endings(data, starts, lens)
+                of = np.where(at >= 0, classes[at] if len(words) else 0, endings[ending])
                 first, last = np.r_[True, row[1:] != row[:-1]], np.r_[row[1:] != row[:-1], True]
                 after = np.where(last, CLASSES, np.r_[of[1:], CLASSES])
-                before = np.where(first, CLASSES, np.r_[CLASSES, of[:-1]])
-                counted = first if not both else before >= 0
-                keys, back = np.unique(hashes, return_inverse=True)
-                pairs = np.concatenate([(back * 256 + after)[after >= 0], (back * 256 + SIDE + before)[counted]])
-                pairs, n = np.unique(pairs, return_counts=True)
-                kept.append((keys[pairs >> 8], (pairs & 255).astype(np.uint8), n))
-                a, b = np.flatnonzero(after < 0), np.flatnonzero((before < 0) & both)
-                if len(a) or len(b):
-                    word, other = np.concatenate([hashes[a], hashes[b]]), np.concatenate([hashes[a + 1], hashes[b - 1]])
-                    side = np.repeat(np.array([0, SIDE], dtype=np.int32), [len(a), len(b)])
-                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(other.view(np.int64)), pa.array(side), pa.nulls(len(side), pa.binary())], schema=schema)
+                before = np.where(first, CLASSES, np.r_[CLASSES, of[:-1]]) + SIDE
+                there = at >= 0
+                kept.append(np.unique(np.concatenate([at[there] << 8 | after[there], at[there] << 8 | before[there]]), return_counts=True))
+                other = ~there
+                word, beside, e = np.tile(hashes[other], 2), np.concatenate([after[other], before[other]]), np.tile(ending[other], 2)
+                rare.append((word, beside, np.ones(len(word), dtype=np.int64), e))
                 if sum(len(k[0]) for k in kept) > 2 * GATHERED:
-                    kept = [merged()]
-                    if len(kept[0][0]) > GATHERED:
-                        yield out(*kept.pop())
-        if kept:
-            yield out(*merged())
-
-    return docs.selectExpr(f"`{text_col}` as text").mapInArrow(rows, "word bigint, other bigint, side int, packed binary")
-
-
-def _packed(beside: np.ndarray, n: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Counts as one binary value of each range of them."""
-    entries = np.empty(len(n), dtype=PACKED)
-    entries["beside"], entries["n"] = beside, n
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * PACKED.itemsize).astype(np.int32).tobytes()), pa.py_buffer(entries.tobytes())])
-
-
-def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The row of each packed count, and the counts; null counts as none."""
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
-    return np.repeat(np.arange(len(column)), np.diff(offsets) // PACKED.itemsize), data.view(PACKED)
-
-
-def _dropped(table: DataFrame) -> None:
-    """Frees the disk of a stored table that is not read again."""
-    jvm, files = table.sparkSession._jvm, table.inputFiles()
-    if files:
-        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+                    kept[:] = [merged()]
+                if sum(len(k[0]) for k in kept) + sum(len(r[0]) for r in rare) > 4 * GATHERED:
+                    yield from out()
+        yield from out()
 
+    return docs.selectExpr(f"`{text_col}` as text").mapInArrow(rows, BLOCK)
 
-NEIGHBOURS = "word bigint, n bigint, ending int, class int, packed binary"
 
+def moved(beside: DataFrame, table: np.ndarray, words: np.ndarray, classes: np.ndarray, endings: np.ndarray) -> DataFrame:
+    """word, n, ending and class of every word: the class in which the classes
+    beside it are likeliest, where its own class counts without it; ties keep
+    the lower class.  ``beside`` holds all rows of a part together."""
+    held = beside.sparkSession.sparkContext.broadcast((table.astype(np.float64), words, classes, endings))
 
-def neighbours(docs: DataFrame, classed: DataFrame, words: np.ndarray, classes: np.ndarray, least: int, endings: np.ndarray | None, both: bool, text_col: str = "text") -> DataFrame:
-    """``classed`` (word, n, ending, class) with the counts of the classes
-    beside each word, over all of ``docs``."""
-    gathered = stored(_beside(docs, words, classes, endings, both, text_col), "beside")
-    no = lambda kind: F.lit(None).cast(kind)
-    parts = gathered.where("other is null").select("word", no("bigint").alias("n"), no("int").alias("ending"), no("int").alias("class"), no("int").alias("beside"), "packed")
-    if endings is None:
-        rest = classed.where(F.col("n") < least).select(F.col("word").alias("other"), "class")
-        found = gathered.where("other is not null").select("word", "other", "side").join(rest, "other")
-        # Summed before words meet: a frequent word is beside many others.
-        found = found.groupBy("word", (F.col("side") + F.col("class")).alias("beside")).agg(F.count("*").alias("n"))
-        parts = parts.unionByName(found.select("word", "n", no("int").alias("ending"), no("int").alias("class"), "beside", no("binary").alias("packed")))
-    parts = parts.unionByName(classed.select("word", "n", "ending", "class", no("int").alias("beside"), no("binary").alias("packed")))
+    def best(table, own, row, beside, times) -> np.ndarray:
+        logs, size = np.log(table + TRANSITION_PRIOR), table.sum(axis=1)
+        total = np.log(size + SIDE * TRANSITION_PRIOR)
+        counts = np.zeros((len(own), 2 * SIDE))
+        counts[row, beside] = times
+        after, before = counts[:, :SIDE], counts[:, SIDE:]
+        n = after.sum(axis=1)
+        gain = after @ logs[:CLASSES].T + before @ logs[:, :CLASSES] - 2 * n[:, None] * total[:CLASSES]
+        without = np.where(beside < SIDE, table[own[row], beside % SIDE], table[beside % SIDE, own[row]]) - times
+        alone = np.bincount(row, weights=times * np.log(np.maximum(without, 0) + TRANSITION_PRIOR), minlength=len(own))
+        gain[np.arange(len(own)), own] = alone - 2 * n * np.log(np.maximum(size[own] - n, 0) + SIDE * TRANSITION_PRIOR)
+        return gain.argmax(axis=1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["word", "n", "ending", "class", "packed"]
-
-        def merged(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
-            word, n, ending, of, beside, packed = (table[c].combine_chunks() for c in ("word", "n", "ending", "class", "beside", "packed"))
-            w = word.to_numpy()
-            first = np.r_[True, w[1:] != w[:-1]]
-            run = np.cumsum(first) - 1
-            row, entries = _entries(packed)
-            single = np.flatnonzero(beside.is_valid().to_numpy(zero_copy_only=False))
-            keys = np.concatenate([run[row] * 256 + entries["beside"], run[single] * 256 + beside.fill_null(0).to_numpy()[single]])
-            keys, back = np.unique(keys, return_inverse=True)
-            times = np.zeros(len(keys), dtype=np.int64)
-            np.add.at(times, back, np.concatenate([entries["n"], n.fill_null(0).to_numpy()[single]]))
-            head = np.flatnonzero(of.is_valid().to_numpy(zero_copy_only=False))
-            assert len(head) == first.sum()
-            bounds = np.searchsorted(keys, np.arange(len(head) + 1) * 256)
-            return pa.RecordBatch.from_arrays([c.take(pa.array(head)).cast(t) for c, t in ((word, pa.int64()), (n, pa.int64()), (ending, pa.int32()), (of, pa.int32()))] + [_packed(keys & 255, times, bounds)], names=names)
-
-        # A word's rows are neighbours, perhaps in two batches or more.
-        left: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([left, table]) if left is not None else table
-            if not len(table):
-                continue
-            w = table["word"].to_numpy()
-            cut = int(np.searchsorted(w, w[-1]))
-            if cut:
-                yield merged(table.slice(0, cut))
-            left = table.slice(cut)
-        if left is not None and len(left):
-            yield merged(left)
-
-    out = stored(parts.repartition("word").sortWithinPartitions("word").mapInArrow(rows, NEIGHBOURS), "neighbours")
-    _dropped(gathered)
-    return out
-
-
-def class_bigrams(beside: DataFrame, ends: int) -> np.ndarray:
-    """Counts of neighbouring classes, the end of a text as the last class."""
+        table, words, classes, endings = held.value
+        now, kept, seen = None, [], []
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if not kept:
+                return
+            word, beside, times = _runs(*(np.concatenate([k[i] for k in kept]) for i in range(3)))
+            every, at = np.unique(np.concatenate([s[0] for s in seen]), return_index=True)
+            ending = np.concatenate([s[1] for s in seen])[at].astype(np.int64)
+            row = np.searchsorted(every, word)
+            place = _find(words, every)
+            own = np.where(place >= 0, classes[place] if len(words) else 0, endings[ending])
+            n = np.bincount(row, weights=np.where(beside < SIDE, times, 0), minlength=len(every)).astype(np.int64)
+            for k in range(0, len(every), 20_000):
+                some = slice(*np.searchsorted(row, [k, k + 20_000]))
+                of = best(table, own[k : k + 20_000], row[some] - k, beside[some].astype(np.int64), times[some])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (every[k : k + 20_000].view(np.int64), n[k : k + 20_000], ending[k : k + 20_000].astype(np.int32), of.astype(np.int32))], names=["word", "n", "ending", "class"]
+                )
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SIDE * SIDE, dtype=np.int64)
         for batch in batches:
-            row, entries = _entries(batch["packed"])
-            of, beside = batch["class"].to_numpy()[row].astype(np.int64), entries["beside"].astype(np.int64)
-            right, start = beside < SIDE, beside == SIDE + CLASSES
-            np.add.at(table, of[right] * SIDE + beside[right], entries["n"][right])
-            np.add.at(table, CLASSES * SIDE + of[start], entries["n"][start])
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["pair", "n"])
+            for r in batch.to_pylist():
+                if r["part"] != now:
+                    yield from end()
+                    now, kept, seen = r["part"], [], []
+                word, size = np.frombuffer(r["words"], dtype="<u8"), np.frombuffer(r["sizes"], dtype="u1")
+                kept.append((np.repeat(word, size), np.frombuffer(r["beside"], dtype="u1"), np.frombuffer(r["times"], dtype="<u4").astype(np.int64)))
+                seen.append((word, np.frombuffer(r["endings"], dtype="u1")))
+                if sum(len(k[0]) for k in kept) > 2 * GATHERED and len(kept) > 1:
+                    kept = [_runs(*(np.concatenate([k[i] for k in kept]) for i in range(3)))]
+                    word, at = np.unique(np.concatenate([s[0] for s in seen]), return_index=True)
+                    seen = [(word, np.concatenate([s[1] for s in seen])[at])]
+        yield from end()
 
-    table = np.zeros(SIDE * SIDE, dtype=np.int64)
-    for r in beside.select("class", "packed").mapInArrow(rows, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        table[r.pair] = r.n
-    table[-1] = ends - table[CLASSES * SIDE : -1].sum()  # texts without words
-    return table.reshape(SIDE, SIDE)
+    return beside.mapInArrow(rows, CLASSED)
 
 
-def likelihood(table: np.ndarray) -> float:
-    """The log likelihood of class bigrams, but for what no move changes."""
-    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
-    return f(table) - f(table.sum(axis=0)) - f(table.sum(axis=1))
+CLASSED = "word bigint, n bigint, ending int, class int"
 
 
-def moved(beside: DataFrame, table: np.ndarray) -> DataFrame:
-    """Each word with the class in which the classes beside it are likeliest,
-    where its own class counts without it; ties keep the lower class."""
-    table = table.astype(np.float64)
+def _dropped(table: DataFrame) -> None:
+    """Frees the disk of a stored table that is not read again."""
+    jvm, files = table.sparkSession._jvm, table.inputFiles()
+    if files:
+        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = np.log(table + TRANSITION_PRIOR)
-        size = table.sum(axis=1)
-        total = np.log(size + SIDE * TRANSITION_PRIOR)
-        for batch in batches:
-            row, entries = _entries(batch["packed"])
-            own = batch["class"].to_numpy()
-            counts = np.zeros((batch.num_rows, 2 * SIDE))
-            counts[row, entries["beside"]] = entries["n"]
-            after, before = counts[:, :SIDE], counts[:, SIDE:]
-            n = after.sum(axis=1)
-            gain = after @ logs[:CLASSES].T + before @ logs[:, :CLASSES] - 2 * n[:, None] * total[:CLASSES]
-            f = lambda x: np.log(np.maximum(x, 0) + TRANSITION_PRIOR)
-            alone = np.zeros(len(n))
-            np.add.at(alone, row, entries["n"] * f(np.where(entries["beside"] < SIDE, table[own[row], entries["beside"] % SIDE], table[entries["beside"] % SIDE, own[row]]) - entries["n"]))
-            gain[np.arange(len(n)), own] = alone - 2 * n * np.log(size[own] - n + SIDE * TRANSITION_PRIOR)
-            best = gain.argmax(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], batch["ending"], pa.array(best)], names=["word", "n", "ending", "class"])
-
-    return stored(beside.mapInArrow(rows, "word bigint, n bigint, ending int, class int"), "classes")
 
+def cluster(docs: DataFrame, text_col: str = "text") -> tuple[ClassModel, DataFrame]:
+    """The classes of all words of ``docs``: a model without transitions, and
+    the table of all words (word, n, ending, class).
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[ClassModel, DataFrame]:
-    """The model of all of ``docs``, and the table of all words: word, n,
-    class and, as ``ending``, the unit of that class after the first WORDS.
-    To the driver come at most HELD words, the unit bigrams of the start, and
-    the class bigrams of each sweep; a sweep after the first that does not
-    raise the likelihood is not used."""
+    To the driver come at most HELD + WORDS words and the unit bigrams of the
+    start.  All words move at once, by the classes of the start; a second sweep
+    made held-out texts less likely.
+    """
     counts = stored(word_counts(docs, text_col), "word-counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent, least = most_frequent(counts, "n", HELD)
-    frequent = frequent.toArrow()
-    words, n = (frequent[c].to_numpy() for c in ("word", "n"))
+    top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    _, least = most_frequent(counts, "n", HELD)
+    # The words of the start are held whatever their counts.
+    is_held = (F.col("n") >= least) | F.col("word").isin(top)
+    frequent = counts.where(is_held).toArrow()
+    words, n, word_endings = (frequent[c].to_numpy() for c in ("word", "n", "ending"))
     words = words.view(np.uint64)
     order = np.argsort(words)
-    words, n = words[order], n[order]
-    units = np.full(len(words), -1, dtype=np.int64)
-    top = np.lexsort((words, -n))[:WORDS]
-    units[top] = np.arange(len(top))
+    words, n, word_endings = words[order], n[order], word_endings[order].astype(np.int64)
+    units = WORDS + word_endings
+    units[np.searchsorted(words, np.array(top, dtype=np.int64).view(np.uint64))] = np.arange(len(top))
     seed = bigrams(docs, words, units, text_col)
     of = exchange(seed, CLASSES)
     ends = int(seed[-1].sum())
-
-    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, unit_of = words[np.sort(top)], units[np.sort(top)]
-        for batch in batches:
-            unit, _ = _unit(seeds, unit_of, batch["word"].to_numpy().view(np.uint64), batch["ending"].to_numpy().astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], batch["ending"], pa.array(of[unit].astype(np.int32))], names=["word", "n", "ending", "class"])
-
-    def held(classed: DataFrame) -> np.ndarray:
-        found = classed.where(F.col("n") >= least).select("word", "class").toArrow()
-        return found["class"].to_numpy()[np.argsort(found["word"].to_numpy().view(np.uint64))].astype(np.int64)
-
-    classed = stored(counts.select("word", "n", "ending").mapInArrow(started, "word bigint, n bigint, ending int, class int"), "classes")
-    k = np.eye(SIDE)[of]
-    table = (k.T @ seed @ k).astype(np.int64)
-    endings = of[WORDS : WORDS + ENDINGS]
-    beside = neighbours(docs, classed, words, held(classed), least, endings, True, text_col)
-    for sweep in range(SPREADS):
-        after = moved(beside, table)
-        _dropped(beside)
-        beside = neighbours(docs, after, words, held(after), least, None, sweep + 1 < SPREADS, text_col)
-        found = class_bigrams(beside, ends)
-        if sweep and likelihood(found) <= likelihood(table):
-            break
-        classed, table = after, found
-
-    transitions = table + TRANSITION_PRIOR
-    log_next = np.log10(transitions / transitions.sum(axis=1, keepdims=True))
-    totals = np.zeros(SIDE)
-    totals[CLASSES] = ends + 1
-    most = np.zeros(ENDINGS)
-    endings = endings.copy()
-    for r in classed.groupBy("ending", "class").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).orderBy("ending", "class").collect():
-        totals[r["class"]] += r.n + r.kinds
-        if r.kinds > most[r.ending]:  # an unseen word is like most words of its ending
-            most[r.ending], endings[r.ending] = r.kinds, r["class"]
-    of = np.concatenate([of[:WORDS], endings, np.arange(CLASSES), [CLASSES]])
-    units = WORDS + ENDINGS + held(classed)
-    model = ClassModel(words, n, units, of, log_next, np.log10(totals + 1), ends, tokens + ends, distinct + (1 if ends else 0), least)
-    return model, classed.select("word", "n", (F.lit(ENDINGS) + F.col("class")).alias("ending"), "class")
-
-
-SCORED = "doc_id bigint, extra boolean, n_tokens bigint, known bigint, logs double, classes double, rare array<bigint>, sequence binary"
+    member = np.eye(SIDE)[of]
+    table, endings, classes = member.T @ seed @ member, of[WORDS : WORDS + ENDINGS], of[units]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MERGERS, -(-distinct // MERGED) + tokens // (100 * MERGED)))
+    beside = _beside(docs, words, classes, word_endings, endings, parts, text_col).repartition(parts, "part").sortWithinPartitions("part")
+    classed = stored(moved(beside, table, words, classes, endings), "classes")
+    _dropped(counts)
+    found = classed.where(is_held).select("word", "class").toArrow()
+    classes = found["class"].to_numpy()[np.argsort(found["word"].to_numpy().view(np.uint64))].astype(np.int64)
+    # An unseen word is like most words of its ending.
+    kinds, endings = np.zeros(ENDINGS), endings.copy()
+    for r in classed.groupBy("ending", "class").count().orderBy("ending", "class").collect():
+        if r["count"] > kinds[r.ending]:
+            kinds[r.ending], endings[r.ending] = r["count"], r["class"]
+    return ClassModel(words, n, classes, endings, ends, tokens + ends, distinct + (1 if ends else 0), least), classed
+
+
+ENCODED = "doc_id bigint, extra boolean, n_tokens bigint, known bigint, logs double, rare array<bigint>, sequence binary"
 #: In a sequence, what marks a word that is not held; the rest is the class of its ending.
 RARE = 128
 
 
-def _rescored(m: ClassModel, sequence: pa.Array, places: pa.ListArray, classes: np.ndarray) -> np.ndarray:
-    """Log probabilities of class sequences in which the classes of some of
-    the words that are not held, by their place among these, have been found."""
-    n = len(sequence)
-    lens = np.diff(np.frombuffer(sequence.buffers()[1], dtype=np.int64)[sequence.offset : sequence.offset + n + 1])
-    of = np.frombuffer(b"".join(sequence.to_pylist()), dtype=np.uint8).astype(np.int64)
-    row = np.repeat(np.arange(n), lens)
-    rare = np.flatnonzero(of >= RARE)
-    of[rare] -= RARE
-    start = np.searchsorted(row[rare], np.arange(n))
-    size = np.diff(places.offsets.to_numpy())
-    of[rare[np.repeat(start, size) + places.flatten().to_numpy()]] = classes
-    r, before, now = _sequences(row, of, n, CLASSES)
-    return np.bincount(r, weights=m.log_next[before, now] - m.log_total[now], minlength=n)
-
-
-def score(docs: DataFrame, model: ClassModel, counts: DataFrame, extra: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, extra (passed through), n_tokens, n_known, train_tokens,
-    base_score and score of each row: log10 probabilities of the whole text
-    under smoothed word counts alone, and under the class model.
-
-    A null text counts as empty: its end alone.  Repeated rows are scored
-    each.  Without any training text every word is unknown.  Other columns
-    play no part.
-    """
+def encode(docs: DataFrame, model: ClassModel, classed: DataFrame, extra: Column, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text as the sequence of its words' classes (one byte each), in a
+    written table: doc_id, extra (passed through), n_tokens, known, logs (of
+    counts + 1) and sequence."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: ClassModel = held.value
+        logs_of = np.log10(m.counts + 1.0)
         for batch in batches:
             for first, last, data, starts, lens, row, hashes in words_of(batch["text"]):
                 n = last - first
-                unit, at = _unit(m.words, m.units, hashes, _endings(data, starts, lens))
+                at = _find(m.words, hashes)
                 there = at >= 0
-                logs = np.bincount(row[there], weights=np.log10(m.counts[at[there]] + 1.0), minlength=n) + math.log10(m.ends + 1)
-                known = np.bincount(row[there], minlength=n) + (1 if m.ends else 0)
-                tokens = np.bincount(row, minlength=n) + 1
-                of = m.of[unit]
-                r, before, now = _sequences(row, of, n, CLASSES)
-                classes = np.bincount(r, weights=m.log_next[before, now] - m.log_total[now], minlength=n)
-                rare = hashes[~there].view(np.int64)
-                n_rare = tokens - 1 - np.bincount(row[there], minlength=n)
-                ends = np.concatenate([[0], np.cumsum(n_rare)])
-                # Where words are joined, the classes are needed once more.
-                bounds = np.concatenate([[0], np.cumsum(np.where(n_rare > 0, tokens - 1, 0))]).astype(np.int32)
-                marked = (of + np.where(there, 0, RARE))[(n_rare > 0)[row]].astype(np.uint8)
+                of = m.endings[_endings(data, starts, lens)] + RARE
+                of[there] = m.classes[at[there]]
+                logs = np.bincount(row[there], weights=logs_of[at[there]], minlength=n) + math.log10(m.ends + 1)
+                n_known, n_words = np.bincount(row[there], minlength=n), np.bincount(row, minlength=n)
+                ends = np.concatenate([[0], np.cumsum(n_words - n_known)]).astype(np.int32)
+                bounds = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["doc_id"].slice(first, n), batch["extra"].slice(first, n), pa.array(tokens), pa.array(known), pa.array(logs), pa.array(classes),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rare)),
-                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(marked.tobytes())]),
+                        batch["doc_id"].slice(first, n), batch["extra"].slice(first, n), pa.array(n_words + 1), pa.array(n_known + (1 if m.ends else 0)), pa.array(logs),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[~there].view(np.int64))),
+                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(of.astype(np.uint8).tobytes())]),
                     ],
-                    names=["doc_id", "extra", "n_tokens", "known", "logs", "classes", "rare", "sequence"],
+                    names=["doc_id", "extra", "n_tokens", "known", "logs", "rare", "sequence"],
                 )
 
-    out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), extra.alias("extra"), F.col(text_col).alias("text")).mapInArrow(rows, SCORED)
-    out = stored(out.withColumn("row", F.monotonically_increasing_id()), "scored")
+    out = docs.select((F.lit(None) if id_col is None else F.col(id_col)).cast("bigint").alias("doc_id"), extra.alias("extra"), F.col(text_col).alias("text")).mapInArrow(rows, ENCODED)
+    out = stored(out.withColumn("row", F.monotonically_increasing_id()), "sequences")
     words = out.select("row", F.posexplode("rare").alias("place", "word"))
-    found = words.join(counts.where(F.col("n") < model.least).select("word", "n", "class"), "word")
+    found = words.join(classed.where(F.col("n") < model.least).select("word", "n", "class"), "word")
     rest = found.groupBy("row").agg(
         F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"), F.count("*").alias("more_known"), F.collect_list(F.struct("place", "class")).alias("found")
     )
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch["found"]
+            sequence, found = batch["sequence"].cast(pa.large_binary()), batch["found"]
+            n = len(sequence)
+            offsets = np.frombuffer(sequence.buffers()[1], dtype=np.int64)[sequence.offset : sequence.offset + n + 1]
+            data = sequence.buffers()[2]
+            of = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]].copy() if data is not None else np.zeros(0, dtype=np.uint8)
+            rare = np.flatnonzero(of >= RARE)
+            of[rare] -= RARE
             there = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-            classes = batch["classes"].to_numpy().copy()
             if len(there):
                 some = found.take(pa.array(there))
-                pairs = some.flatten()
-                places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some.value_lengths().to_numpy())]).astype(np.int32)), pairs.field("place"))
-                sequence = batch["sequence"].take(pa.array(there)).cast(pa.large_binary())
-                classes[there] = _rescored(held.value, sequence, places, pairs.field("class").to_numpy().astype(np.int64))
-            logs = pa.array(batch["logs"].to_numpy() + classes)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "extra", "n_tokens", "n_known", "train_tokens", "base_score")), logs], names=["doc_id", "extra", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    return out.drop("rare").join(rest, "row", "left").select(
-        "doc_id", "extra", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(math.log10(model.tokens + model.distinct + 1))).alias("base_score"), logs.alias("logs"), "classes", "sequence", "found",
-    ).mapInArrow(again, "doc_id bigint, extra boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+                pairs, size = some.flatten(), some.value_lengths().to_numpy()
+                start = np.searchsorted(rare, offsets[:-1][there] - offsets[0])
+                of[rare[np.repeat(start, size) + pairs.field("place").to_numpy()]] = pairs.field("class").to_numpy()
+            bounds = (offsets - offsets[0]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in ("doc_id", "extra", "n_tokens", "known", "logs")), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(of.tobytes())])],
+                names=["doc_id", "extra", "n_tokens", "known", "logs", "sequence"],
+            )
+
+    # Both sides grow with the documents: the same way at every size.
+    both = out.drop("rare").join(rest.hint("merge"), "row", "left").select(
+        "doc_id", "extra", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("known"), (F.col("logs") + F.coalesce("more_logs", F.lit(0.0))).alias("logs"), "sequence", "found"
+    )
+    done = stored(both.mapInArrow(whole, "doc_id bigint, extra boolean, n_tokens bigint, known bigint, logs double, sequence binary"), "class-sequences")
+    _dropped(out)
+    return done
+
+
+def _read(sequence: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, class before and class of each token of class sequences."""
+    sequence = sequence.cast(pa.large_binary())
+    n = len(sequence)
+    offsets = np.frombuffer(sequence.buffers()[1], dtype=np.int64)[sequence.offset : sequence.offset + n + 1]
+    data = sequence.buffers()[2]
+    of = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return _sequences(np.repeat(np.arange(n), np.diff(offsets)), of.astype(np.int64), n, CLASSES)
+
+
+def fit(model: ClassModel, classed: DataFrame, encoded: DataFrame) -> ClassModel:
+    """``model`` with the transitions of its training texts, given encoded."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SIDE * SIDE, dtype=np.int64)
+        for batch in batches:
+            _, before, now = _read(batch["sequence"])
+            table += np.bincount(before * SIDE + now, minlength=SIDE * SIDE)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["pair", "n"])
+
+    transitions = _table(encoded.select("sequence").mapInArrow(rows, "pair int, n bigint"), SIDE) + TRANSITION_PRIOR
+    totals = np.zeros(SIDE)
+    totals[CLASSES] = model.ends + 1
+    for r in classed.groupBy("class").agg((F.sum("n") + F.count("*")).alias("n")).collect():
+        totals[r["class"]] = r.n
+    return replace(model, log_next=np.log10(transitions / transitions.sum(axis=1, keepdims=True)), log_total=np.log10(totals + 1))
+
+
+def train(docs: DataFrame, text_col: str = "text") -> tuple[ClassModel, DataFrame]:
+    """The model of all of ``docs``, and the table of all their words (word, n,
+    ending, class)."""
+    model, classed = cluster(docs, text_col)
+    encoded = encode(docs, model, classed, F.lit(True), None, text_col)
+    return fit(model, classed, encoded), classed
+
+
+SCORED = "doc_id bigint, extra boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def score_encoded(encoded: DataFrame, model: ClassModel) -> DataFrame:
+    """What :func:`score` returns, of texts that are encoded."""
+    held = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: ClassModel = held.value
+        steps, all_tokens = m.log_next - m.log_total, math.log10(m.tokens + m.distinct + 1)
+        for batch in batches:
+            row, before, now = _read(batch["sequence"])
+            n = batch.num_rows
+            logs = batch["logs"].to_numpy()
+            score = logs + np.bincount(row, weights=steps[before, now], minlength=n)
+            base = logs - batch["n_tokens"].to_numpy() * all_tokens
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in ("doc_id", "extra", "n_tokens", "known")), pa.array(np.full(n, m.tokens)), pa.array(base), pa.array(score)],
+                names=["doc_id", "extra", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return encoded.mapInArrow(rows, SCORED)
+
+
+def score(docs: DataFrame, model: ClassModel, classed: DataFrame, extra: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, extra (passed through), n_tokens, n_known, train_tokens,
+    base_score and score of each row: log10 probabilities of the whole text
+    under smoothed word counts alone, and under the class model.
+
+    A null text counts as empty: its end alone.  A text is scored whole,
+    however long; a task holds the words of a slice of texts, or of one long
+    one.  Repeated rows are scored each; equal texts score alike.  Without any
+    training text every word is unknown; an empty table gives no row.  Other
+    columns play no part.
+    """
+    return score_encoded(encode(docs, model, classed, extra, id_col, text_col), model)
+
+
+def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`score` of all of ``docs``, learned from those that are not
+    ``held_out`` (as ``extra``); every text is encoded once for both."""
+    model, classed = cluster(docs.where(~held_out), text_col)
+    encoded = encode(docs, model, classed, held_out, id_col, text_col)
+    return score_encoded(encoded, fit(model, classed, encoded.where("not extra")))

@@ -71,8 +71,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by the class model of six folds of seven."""
     docs = _table(spark, sf_dir, "documents")
     held_out = language_id.in_fold(F.col("doc_id"), 7, 2)
-    model, counts = lm_scoring.train(docs.where(~held_out))
-    return lm_scoring.score(docs, model, counts, held_out).withColumnRenamed("extra", "held_out")
+    return lm_scoring.train_and_score(docs, held_out).withColumnRenamed("extra", "held_out")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,11 +239,9 @@ def test_lm_scoring(spark, monkeypatch, held):
     assert sorted((r.doc_id, r.extra, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 for r in got)
     # Probabilities of all words, one unknown word of each class included, add up to one.
-    of_words = collections.Counter()
+    of_words = collections.Counter({lm_scoring.CLASSES: model.ends + 1})
     for r in counts.collect():
-        unit = model.units[np.flatnonzero(model.words == np.uint64(r.word % 2**64))[0]] if np.uint64(r.word % 2**64) in model.words else -1
-        of_words[model.of[unit if unit >= 0 else lm_scoring.WORDS + r.ending]] += r.n + 1
-    of_words[model.of[-1]] += model.ends + 1
+        of_words[r["class"]] += r.n + 1
     for before in range(len(model.log_next)):
         total = sum(10 ** (model.log_next[before, c] - model.log_total[c]) * (of_words[c] + 1) for c in range(len(model.log_next)))
         assert abs(total - 1) < 1e-9
@@ -257,11 +255,9 @@ def test_lm_scoring_without_training(spark):
     assert lm_scoring.score(docs(spark, []), model, counts, F.lit(True)).isEmpty()
 
 
-def classes_of(model, counts):
+def classes_of(counts):
     """The class of each word of the training text, by hash."""
-    held = dict(zip(model.words.tolist(), model.units.tolist(), strict=True))
-    unit = lambda r: held.get(r.word % 2**64, -1)
-    return {r.word % 2**64: int(model.of[unit(r) if unit(r) >= 0 else lm_scoring.WORDS + r.ending]) for r in counts.collect()}
+    return {r.word % 2**64: r["class"] for r in counts.collect()}
 
 
 @functools.cache
@@ -282,7 +278,7 @@ def test_all_words_are_classed_by_context(spark, monkeypatch, held):
         words = [*r.sample(kind[:8], 5), kind[8 + k // 2 % 32]]
         rows.append((100 + k, texts[k % 2].format(*words), "en", "a"))
     model, counts = lm_scoring.train(docs(spark, rows))
-    of = classes_of(model, counts)
+    of = classes_of(counts)
     # One ending, two kinds of words: the rare ones, not among the WORDS most frequent, follow the frequent ones of their kind.
     first, second = ({of[hash_of(w)] for w in words[8:]} for words in (one, two))
     assert not held or not first & second
@@ -300,7 +296,7 @@ def test_all_words_are_classed_by_context(spark, monkeypatch, held):
     ending = int(lm_scoring._endings(np.frombuffer(b"xyz", dtype=np.uint8), np.array([0]), np.array([3]))[0])
     for i, t, *_ in given:
         h = [hash_of(w) for w in plain_words(t)]
-        seen = [64, *(of.get(x, model.of[lm_scoring.WORDS + ending]) for x in h), 64]
+        seen = [64, *(of.get(x, model.endings[ending]) for x in h), 64]
         want = sum(math.log10(n.get(x, 0) + 1) for x in h) + math.log10(model.ends + 1)
         want += sum(model.log_next[x, y] - model.log_total[y] for x, y in zip(seen, seen[1:], strict=False))
         assert abs(got[i] - want) < 1e-6
