@@ -36,7 +36,7 @@ MERGED, MERGERS = 50_000, 100_000
 #: The most words, beside those of the start, whose counts and classes are broadcast (24 bytes each).
 HELD = 1 << 19
 #: Distinct words (or words beside a class) a task gathers before it passes them on.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 #: Classes beside a word: the class after it, or SIDE + the class before it; the last class is the end of a text.
 SIDE = CLASSES + 1
 #: Smoothing of class transitions.
@@ -219,18 +219,21 @@ def _beside(docs: DataFrame, words: np.ndarray, classes: np.ndarray, word_ending
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             keys, back = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
-            return keys, np.bincount(back, weights=np.concatenate([k[1] for k in kept])).astype(np.int64)
+            return keys, np.bincount(back, weights=np.concatenate([k[1] for k in kept])).astype(np.uint32)
 
         def out() -> Iterator[pa.RecordBatch]:
-            keys, times = merged() if kept else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-            word, beside, ending = words[keys >> 8] if len(keys) else np.zeros(0, dtype=np.uint64), keys & 255, word_endings[keys >> 8] if len(keys) else keys
+            keys, times = merged() if kept else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32))
+            kept.clear()
+            word, beside, ending = (words[keys >> 8], keys.astype(np.uint8), word_endings[keys >> 8]) if len(keys) else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint8))
+            del keys
             if rare:
                 every, classed, ones, of = (np.concatenate([r[k] for r in rare]) for k in range(4))
                 w, b, n = _runs(every, classed, ones)
                 some, at = np.unique(every, return_index=True)
                 e = of[at][np.searchsorted(some, w)]
                 word, beside, times, ending = np.concatenate([word, w]), np.concatenate([beside, b]), np.concatenate([times, n]), np.concatenate([ending, e])
-            part = (word % np.uint64(parts)).astype(np.int64)
+                rare.clear()
+            part = (word % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
             for k in np.flatnonzero(np.diff(bounds)).tolist():
@@ -238,10 +241,8 @@ def _beside(docs: DataFrame, words: np.ndarray, classes: np.ndarray, word_ending
                 w = word[some]
                 first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
                 size = np.diff(np.append(first, len(w)))
-                binary = [w[first].astype("<u8"), ending[some][first].astype("u1"), size.astype("u1"), beside[some].astype("u1"), times[some].astype("<u4")]
+                binary = [w[first].astype("<u8"), ending[some][first], size.astype("u1"), beside[some], times[some].astype("<u4")]
                 yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), *(pa.array([x.tobytes()], type=pa.binary()) for x in binary)], names=["part", "words", "endings", "sizes", "beside", "times"])
-            kept.clear()
-            rare.clear()
 
         for batch in batches:
             for _, _, data, starts, lens, row, hashes in words_of(batch["text"]):
@@ -253,10 +254,11 @@ def _beside(docs: DataFrame, words: np.ndarray, classes: np.ndarray, word_ending
                 after = np.where(last, CLASSES, np.r_[of[1:], CLASSES])
                 before = np.where(first, CLASSES, np.r_[CLASSES, of[:-1]]) + SIDE
                 there = at >= 0
-                kept.append(np.unique(np.concatenate([at[there] << 8 | after[there], at[there] << 8 | before[there]]), return_counts=True))
+                keys, times = np.unique(np.concatenate([at[there] << 8 | after[there], at[there] << 8 | before[there]]), return_counts=True)
+                kept.append((keys, times.astype(np.uint32)))
                 other = ~there
-                word, beside, e = np.tile(hashes[other], 2), np.concatenate([after[other], before[other]]), np.tile(ending[other], 2)
-                rare.append((word, beside, np.ones(len(word), dtype=np.int64), e))
+                word, beside, e = np.tile(hashes[other], 2), np.concatenate([after[other], before[other]]).astype(np.uint8), np.tile(ending[other], 2).astype(np.uint8)
+                rare.append((word, beside, np.ones(len(word), dtype=np.uint32), e))
                 if sum(len(k[0]) for k in kept) > 2 * GATHERED:
                     kept[:] = [merged()]
                 if sum(len(k[0]) for k in kept) + sum(len(r[0]) for r in rare) > 4 * GATHERED:
@@ -352,8 +354,8 @@ def cluster(docs: DataFrame, text_col: str = "text") -> tuple[ClassModel, DataFr
     words, n, word_endings = (frequent[c].to_numpy() for c in ("word", "n", "ending"))
     words = words.view(np.uint64)
     order = np.argsort(words)
-    words, n, word_endings = words[order], n[order], word_endings[order].astype(np.int64)
-    units = WORDS + word_endings
+    words, n, word_endings = words[order], n[order], word_endings[order].astype(np.uint8)
+    units = WORDS + word_endings.astype(np.int64)
     units[np.searchsorted(words, np.array(top, dtype=np.int64).view(np.uint64))] = np.arange(len(top))
     seed = bigrams(docs, words, units, text_col)
     of = exchange(seed, CLASSES)
