@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -166,13 +167,39 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(docs(spark, []), path).isEmpty()
 
 
-def test_chunks_compose():
-    machine = token_counts.transducer(tokenizer("byte_bpe_50k.json"))
+def library_counts(path, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    return [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+@pytest.mark.parametrize(("chunk", "stretch"), [(4096, 1 << 20), (1, 1 << 20), (2, 7), (3, 40), (7, 1000), (50, 130)])
+def test_state_maps_compose(chunk, stretch):
+    path = tokenizer("byte_bpe_50k.json")
+    machine = token_counts.transducer(path)
     r = random.Random(5)
-    for _ in range(200):
-        text = "".join(r.choice("aes t'mn\n  .9é") for _ in range(r.randrange(1, 80)))
-        size = r.randrange(1, 9)
-        assert machine.scan([text[k : k + size] for k in range(0, len(text), size)]) == machine.plain([text])[0]
+    texts = ODD + ["aaaa'sss''s" * 9, "=-" * 90, "ab" * 150, "ÃÂ" * 100] + ["".join(r.choice(a) for _ in range(r.randrange(1, 90))) for a in ("aes t'mn\n  .9é", "ab", "-= ", "thequickbrown", "中é😀 a") for _ in range(30)]
+    assert machine.counts(texts, chunk, stretch) == library_counts(path, texts)
+
+
+def test_map_holds_every_state():
+    machine = token_counts.transducer(tokenizer("byte_bpe_50k.json"))
+    # Within a piece the state at a cut is open: the map of a chunk answers for whatever the text before leads to.
+    one = machine.state_maps([("x" * machine.around[0], "thequickbrown", "fox")])[0]
+    assert len(one) > 1 and all(place <= 0 for place, _ in one) and (0, -1) not in one
+    # Where a piece ends, all states become one.
+    assert list(machine.state_maps([("x" * machine.around[0], "thequick brown", " ")])[0].values()) == [{(0, -1): n} for to in machine.state_maps([("x" * machine.around[0], "thequick brown", " ")])[0].values() for n in to.values()]
+
+
+def test_one_long_piece_goes_to_several_tasks(spark):
+    r = random.Random(6)
+    path = tokenizer("byte_bpe_50k.json")
+    rows = [(1, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5_000_000)), "en", "a"), (1, "-" * 3_000_000, "en", "a"), (2, "a<|endoftext|>" * 100_000, "en", "a"), (None, "b", "en", "a")]
+    began = time.time()
+    got = [tuple(x) for x in token_counts.count_tokens(docs(spark, rows), path).collect()]
+    assert time.time() - began < 180
+    assert sorted(got, key=str) == sorted(((i, len(t), n) for (i, t, *_), n in zip(rows, library_counts(path, [t for _, t, *_ in rows]), strict=True)), key=str)
 
 
 def test_packing(spark):
