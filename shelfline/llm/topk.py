@@ -1,16 +1,19 @@
 """Exact top-k search by distributed histogram selection.
 
-Vectors lie in blocks of rows.  Every query block meets every candidate block
-(the stated query set against all rows, in blocks); a task scores such a pair
-by one matrix product.  Rather than sort scores, each round adds up global
-histograms of every query's scores and narrows the range that holds the k-th
-value, until the range is one value; the last pass keeps what is above it, and
-ties at it by the smaller id.
+Vectors lie in blocks of rows, in the narrowest integers that hold them.  A
+cell is a group of candidate blocks and a group of query blocks; the cells
+cover the stated query set against all rows.  A task holds a cell's candidates
+and lets its query blocks pass by, one matrix product at a time, so that what
+is shipped is a block once a cell, not once a pair.  Rather than sort scores,
+each round adds up global histograms of every query's scores and narrows the
+range that holds the k-th value, until the range is one value; the last pass
+keeps what is above it, and ties at it by the smaller id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +25,13 @@ from shelfline.llm.common import stored
 
 #: Rows of a block of candidates, and of queries; a task holds a few matrices of their scores.
 BLOCK = 1024
-#: Query blocks whose histograms a task adds up before it passes them on.
-ADDED = 32
-#: Ranges that a round divides the live range of a query into.
-BINS = 64
+#: Blocks of candidates in a cell, and of queries, at most.
+CELL = 64
+#: Ranges that a round divides the live range of a query into, as a power of two.
+BITS = 10
+BINS = 1 << BITS
+#: The most tasks of a round.
+TASKS = 100_000
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
@@ -39,44 +45,65 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: float) -> D
     )
 
 
+BLOCKS = "block int, dim int, ids binary, wide int, vals binary"
+
+
 def _blocks(vectors: DataFrame, n: int) -> DataFrame:
-    """block, ids and values (little-endian int64 bytes): rows are dealt to
-    ``n`` blocks by a hash of their id, within vectors of one length."""
+    """Rows dealt to ``n`` blocks by a hash of their id, within vectors of one
+    length: ids (little-endian int64), and values of ``wide`` bytes each."""
+    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = StructType.fromDDL("block int, dim int, ids binary, vals binary")
+    schema = StructType.fromDDL(BLOCKS)
 
     def pack(key, table):
         v = table["v"].combine_chunks()
         ids, flat = table["vec_id"].to_numpy(), v.flatten().to_numpy()
-        return pa.table({"block": [key[0].as_py()], "dim": [key[1].as_py()], "ids": [ids.astype("<i8").tobytes()], "vals": [flat.astype("<i8").tobytes()]}).cast(pa.schema([("block", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vals", pa.binary())]))
+        low, high = int(flat.min(initial=0)), int(flat.max(initial=0))
+        wide = next(w for w in (1, 2, 4, 8) if -(1 << (8 * w - 1)) <= low and high < 1 << (8 * w - 1))
+        row = {"block": key[0].as_py(), "dim": key[1].as_py(), "ids": ids.astype("<i8").tobytes(), "wide": wide, "vals": flat.astype(f"<i{wide}").tobytes()}
+        return pa.Table.from_pylist([row], schema=to_arrow_schema(schema))
 
     dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn("dim", F.size("v"))
     return dealt.groupBy("block", "dim").applyInArrow(pack, schema)
 
 
-def _matrix(row: dict, ids: str, vals: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(row[ids], dtype="<i8")
-    return i, np.frombuffer(row[vals], dtype="<i8").reshape(len(i), dim)
-
-
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact inner products: in floating point where no sum can leave its
-    integers, else as integers; half as wide where they fit."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    integers, else as integers."""
+    top = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
     if top < 2**24:
-        return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int32)
+        return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if top < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
-
-
-def _pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each query block beside each candidate block of its dimension."""
-    there = stored(queries, "query-blocks")
-    per = there.groupBy("dim").agg(F.collect_set("block").alias("qblocks"))
-    c = candidates.withColumnsRenamed({"ids": "cids", "vals": "cvals", "block": "cblock"}).join(per, "dim").withColumn("block", F.explode("qblocks")).drop("qblocks")
-    return c.join(there, ["dim", "block"])
+    return q.astype(np.int64) @ c.astype(np.int64).T
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Stored blocks of queries and candidates, and how they meet in cells."""
+
+    queries: DataFrame
+    candidates: DataFrame
+    owners: DataFrame  # dim, block and query_id
+    n_q: int
+    n_c: int
+
+    def cells(self, ranges: DataFrame) -> DataFrame:
+        """All blocks of each cell (dim, cg, qg): its candidates, then its
+        queries with their ranges (query_id, low, need)."""
+        tasks = int(self.queries.sparkSession.sparkContext.defaultParallelism)
+        # Small tables make smaller cells, so that all tasks have some.
+        per_q = min(CELL, self.n_q)
+        per_c = max(1, min(CELL, self.n_c * -(-self.n_q // per_q) // tasks))
+        qgs, cgs = -(-self.n_q // per_q), -(-self.n_c // per_c)
+        held = self.owners.join(ranges, "query_id").groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("query_id", "low", "need"))).alias("ranges"))
+        group = lambda n: F.floor(F.col("block") / n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        of_c = self.candidates.select("dim", group(per_c).alias("cg"), every(qgs).alias("qg"), F.lit(0).alias("kind"), "block", "ids", "wide", "vals", F.lit(None).alias("ranges"))
+        of_q = self.queries.join(held, ["dim", "block"]).select("dim", every(cgs).alias("cg"), group(per_q).alias("qg"), F.lit(1).alias("kind"), "block", "ids", "wide", "vals", "ranges")
+        of_c = of_c.withColumn("ranges", F.col("ranges").cast(of_q.schema["ranges"].dataType))
+        return of_c.unionByName(of_q).repartition(min(qgs * cgs, TASKS), "dim", "cg", "qg").sortWithinPartitions("dim", "cg", "qg", "kind", "block")
 
 
 def top_k(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -89,15 +116,14 @@ def top_k(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vec_col: str
     query's are no candidates of it.  An empty table, or one without queries,
     gives no row.  Other columns play no part.
     """
-    spark = df.sparkSession
     vectors = integer_vectors(df, id_col, vec_col, scale)
     vectors = stored(vectors.groupBy("vec_id").agg(F.min("v").alias("v")), "int-vectors")
     chosen = vectors.where(is_query(F.col("vec_id")))
     n_all, n_query = vectors.count(), chosen.count()
     n_q, n_c = -(-max(n_query, 1) // BLOCK), -(-max(n_all, 1) // BLOCK)
-    pairs = _pairs(_blocks(chosen, n_q), _blocks(vectors, n_c)).select("dim", "block", "ids", "vals", "cblock", "cids", "cvals")
-    # A few pairs a task, those of one query block side by side.
-    pairs = stored(pairs.repartition(min(-(-n_q * n_c // 8), 20_000), "block", "cblock").sortWithinPartitions("block", "cblock"), "block-pairs")
+    queries = stored(_blocks(chosen, n_q), "query-blocks")
+    owners = stored(queries.select("dim", "block", "ids").mapInArrow(_ids_of, "dim int, block int, query_id bigint"), "query-owners")
+    blocks = Blocks(queries, stored(_blocks(vectors, n_c), "candidate-blocks"), owners, n_q, n_c)
     # A score's size is at most the product of the norms; the range starts there, a power of BINS wide.
     norm = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0] or 0.0
     rounds = 1
@@ -105,16 +131,8 @@ def top_k(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vec_col: str
         rounds += 1
     ranges = chosen.select(F.col("vec_id").alias("query_id"), F.lit(-(BINS**rounds) // 2).cast("bigint").alias("low"), F.lit(k).cast("bigint").alias("need"))
     for left in range(rounds - 1, -1, -1):
-        ranges = stored(_narrow(pairs, ranges, BINS**left), "score-ranges")
-    return _select(spark, pairs, ranges, k)
-
-
-def _with_ranges(pairs: DataFrame, ranges: DataFrame, n_rows: bool = False) -> DataFrame:
-    """Pairs of blocks with the ranges of the block's queries beside them."""
-    owner = pairs.select("dim", "block", "ids").dropDuplicates(["dim", "block"])
-    blocks = owner.mapInArrow(_ids_of, "dim int, block int, query_id bigint").join(ranges, "query_id")
-    packed = blocks.groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("query_id", "low", "need"))).alias("ranges"))
-    return pairs.join(packed, ["dim", "block"])
+        ranges = stored(_narrow(blocks, ranges, BITS * left), "score-ranges")
+    return _select(blocks, ranges, k)
 
 
 def _ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,78 +144,85 @@ def _ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Query ids, range starts, needs, candidate ids and scores of each pair
-    of blocks; a query's own row scores below any range."""
+#: The score of a query's own row, below all others.
+OWN = np.iinfo(np.int64).min
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Query ids, range starts and needs of each query block, and its scores
+    with each of the cell's candidate blocks."""
+    cell, held = None, []
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            ids, q = _matrix(row, "ids", "vals", row["dim"])
-            cids, c = _matrix(row, "cids", "cvals", row["dim"])
-            order = np.argsort(ids, kind="stable")
-            ids, q = ids[order], q[order]
-            held = {r["query_id"]: (r["low"], r["need"]) for r in row["ranges"]}
-            there = np.array([x in held for x in ids.tolist()], dtype=bool)
-            ids, q = ids[there], q[there]
-            if not len(ids):
+            if (row["dim"], row["cg"], row["qg"]) != cell:
+                cell, held = (row["dim"], row["cg"], row["qg"]), []
+            ids = np.frombuffer(row["ids"], dtype="<i8")
+            values = np.frombuffer(row["vals"], dtype=f"<i{row['wide']}").reshape(len(ids), row["dim"])
+            order = np.argsort(ids)
+            ids, values = ids[order], values[order]
+            if row["kind"] == 0:
+                held.append((ids, values))
                 continue
-            low, need = np.array([held[x] for x in ids.tolist()], dtype=np.int64).T
-            scores = _scores(q, c)
-            own = np.isin(cids, ids).nonzero()[0]
-            scores[np.searchsorted(ids, cids[own]), own] = np.iinfo(scores.dtype).min
-            yield ids, low, need, cids, scores
+            asked, low, need = np.array([(r["query_id"], r["low"], r["need"]) for r in row["ranges"]], dtype=np.int64).T
+            values = values[np.searchsorted(ids, asked)]
+
+            def met(ids=asked, values=values, held=held):
+                for cids, c in held:
+                    scores = _scores(values, c)
+                    at = np.minimum(np.searchsorted(ids, cids), len(ids) - 1)
+                    own = np.flatnonzero(ids[at] == cids)
+                    scores[at[own], own] = OWN
+                    yield cids, scores
+
+            if held:
+                yield asked, low, need, met()
+
 
+def _narrow(blocks: Blocks, ranges: DataFrame, shift: int) -> DataFrame:
+    """One round: histograms of BINS bins of ``2 ** shift`` over each live
+    range; the bin that holds the k-th score is the next range.  A query with
+    fewer than k scores ends at its lowest bin and keeps them all.
 
-def _narrow(pairs: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
-    """One round: histograms of BINS bins of ``width`` over each live range;
-    the bin that holds the k-th score is the next range.  A query with fewer
-    than k scores ends at its lowest bin and keeps them all."""
+    A cell passes on a query's bins from the top as far as they hold the
+    scores needed; what is below cannot hold the k-th of all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for ids, table in tables.values():
-                at = np.flatnonzero(table)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at // BINS]), pa.array((at % BINS).astype(np.int32)), pa.array(table[at])], names=["query_id", "bin", "n"])
-            tables.clear()
-
-        for ids, low, _, _, scores in _scored(batches):
-            _, table = tables.setdefault(ids.tobytes(), (ids, np.zeros(len(ids) * BINS, dtype=np.int64)))
-            none = np.iinfo(scores.dtype).min
-            for k in range(len(ids)):
+        for ids, low, need, met in _scored(batches):
+            table = np.zeros((len(ids), BINS), dtype=np.int64)
+            first = np.arange(len(ids))[:, None] * BINS
+            for _, scores in met:
                 # Scores above the range were counted in an earlier round.
-                bins = (scores[k][scores[k] != none].astype(np.int64) - low[k]) // width
-                table[k * BINS : (k + 1) * BINS] += np.bincount(bins[(bins >= 0) & (bins < BINS)], minlength=BINS)
-            if len(tables) >= ADDED:
-                yield from out()
-        yield from out()
+                bins = (np.where(scores == OWN, low[:, None] - 1, scores) - low[:, None]) >> shift
+                table += np.bincount((bins + first)[(bins >= 0) & (bins < BINS)], minlength=table.size).reshape(table.shape)
+            above = np.cumsum(table[:, ::-1], axis=1)[:, ::-1] - table
+            q, b = np.nonzero((table > 0) & (above < need[:, None]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(b.astype(np.int32)), pa.array(table[q, b])], names=["query_id", "bin", "n"])
 
-    hist = _with_ranges(pairs, ranges).mapInArrow(count, "query_id bigint, bin int, n bigint").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+    hist = blocks.cells(ranges).mapInArrow(count, "query_id bigint, bin int, n bigint").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
     down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
     seen = ranges.join(hist, "query_id").withColumn("upto", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)))
     all_n = Window.partitionBy("query_id")
-    lowest = F.min("bin").over(all_n)
-    hit = seen.withColumn("total", F.sum("n").over(all_n)).withColumn("lowest", lowest).where(
+    hit = seen.withColumn("total", F.sum("n").over(all_n)).withColumn("lowest", F.min("bin").over(all_n)).where(
         ((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need"))) | ((F.col("total") < F.col("need")) & (F.col("bin") == F.col("lowest")))
     )
-    return hit.select("query_id", (F.col("low") + F.col("bin").cast("bigint") * F.lit(width).cast("bigint")).alias("low"), (F.col("need") - (F.col("upto") - F.col("n"))).alias("need"))
+    low = F.col("low") + F.shiftleft(F.col("bin").cast("bigint"), shift)
+    return hit.select("query_id", low.alias("low"), (F.col("need") - (F.col("upto") - F.col("n"))).alias("need"))
 
 
-def _select(spark, pairs: DataFrame, ranges: DataFrame, k: int) -> DataFrame:
-    """What is above the k-th score, and the smallest ids at it; a pair of
-    blocks passes on at most ``need`` ties a query, which are exact as more of
-    one block can never be among them."""
+def _select(blocks: Blocks, ranges: DataFrame, k: int) -> DataFrame:
+    """What is above the k-th score, and the smallest ids at it; of a pair of
+    blocks at most ``need`` ties a query go on, which is exact as more of one
+    block can never be among them."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, low, need, cids, scores in _scored(batches):
-            order = np.argsort(cids, kind="stable")
-            cids, scores = cids[order], scores[:, order]
-            ties = scores == low[:, None]
-            ties &= np.cumsum(ties, axis=1) <= need[:, None]
-            q, c = np.nonzero((scores > low[:, None]) | ties)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(cids[c]), pa.array(scores[q, c].astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-    found = _with_ranges(pairs, ranges).mapInArrow(keep, "query_id bigint, vec_id bigint, score bigint")
+        for ids, low, need, met in _scored(batches):
+            for cids, scores in met:
+                ties = scores == low[:, None]
+                ties &= np.cumsum(ties, axis=1) <= need[:, None]
+                q, c = np.nonzero((scores > low[:, None]) | ties)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(cids[c]), pa.array(scores[q, c])], names=["query_id", "vec_id", "score"])
+
+    found = blocks.cells(ranges).mapInArrow(keep, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
