@@ -65,19 +65,24 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 def place(df: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SIZE, weights: Sequence[float] | None = None) -> DataFrame:
     """``df`` with ``slot`` and ``shard`` (int) of each row's key.
 
-    Equal keys, repeated rows included, get the same shard; columns of these
-    two names in ``df`` are replaced; an empty table stays empty.  The table
-    of ``size`` rows is broadcast: it is as small for any input.
+    Equal keys, repeated rows included, get the same shard, null ones that of
+    the empty text; keys of any length are hashed whole.  Columns of these two
+    names in ``df`` are replaced, also where one is the key; other columns
+    stay; an empty table stays empty.  The table of ``size`` rows is broadcast:
+    it is as small for any input.
     """
     table = df.sparkSession.createDataFrame(
         list(enumerate(lookup_table(shards, size, weights).tolist())), "slot int, shard int"
     )
-    keyed = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), size))
-    return keyed.join(F.broadcast(table), "slot").select(*[c for c in keyed.columns if c != "slot"], "slot", "shard")
+    keyed = df.withColumn("__slot", slot_of(F.col(key), size)).drop("slot", "shard").withColumnRenamed("__slot", "slot")
+    return keyed.join(F.broadcast(table), "slot").select(*[F.col(f"`{c}`") for c in keyed.columns if c != "slot"], "slot", "shard")
 
 
 def write_sharded(df: DataFrame, key: str, shards: Sequence[str], path: str, files_per_shard: int = 8) -> None:
     """Writes ``df`` as Parquet, one folder a shard; a shard's rows are dealt
-    to ``files_per_shard`` tasks, so no shard becomes one task."""
-    placed = place(df, key, shards).withColumn("__file", F.pmod(F.xxhash64(F.col(key)), F.lit(files_per_shard)))
+    to ``files_per_shard`` tasks, so no shard becomes one task, nor does a hot
+    key.  Every row is written, repeated ones and null keys too, with its
+    columns and ``slot`` (see :func:`place`); an empty table writes no row.
+    """
+    placed = place(df.withColumn("__file", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if df.schema[c].dataType.typeName() != "map"]), F.lit(files_per_shard))), key, shards)
     placed.repartition(len(shards) * files_per_shard, "shard", "__file").drop("__file").write.partitionBy("shard").parquet(path)

@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 
 from shelfline.llm.common import stored
 
-#: Captures in one archive file; bounds what a reading task holds.
-FILE_CAPTURES = 500
+#: Captures in one archive file whose payloads have at most SMALL bytes; where
+#: they have up to 8, 64, ... times that, a file has so many fewer, one at
+#: least.  So a file has 64 MB about, or one capture.
+FILE_CAPTURES, SMALL = 500, 1 << 17
+#: Bytes that a reading task unpacks at once.
+STEP = 1 << 20
 #: The two line ends that close every record.
 RECORD_END = "\r\n\r\n"
 RECORD = "file string, place bigint, warc_type string, record_id string, concurrent_to string, refers_to string, uri string, date string, payload_digest string, payload_bytes bigint, digest_ok boolean, http_status int, headers map<string,string>, payload binary"
@@ -29,15 +33,16 @@ RECORD = "file string, place bigint, warc_type string, record_id string, concurr
 def with_payload_digest(df: DataFrame, name: str, payload: Column) -> DataFrame:
     """``df`` with the bare upper-case base32 SHA-1 of a binary column, by
     column functions: each group of five bits of the digest is one letter."""
-    bits = F.concat(*[F.lpad(F.conv(F.substring("__sha1", 1 + 5 * k, 5), 16, 2), 20, "0") for k in range(8)])
-    letter = lambda k: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.substring(F.col("__bits"), k * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
-    letters = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
-    return df.withColumn("__sha1", F.sha1(payload)).withColumn("__bits", bits).withColumn(name, letters).drop("__sha1", "__bits")
+    numbers = {f"__n{k}": F.conv(F.substring("__sha1", 1 + 10 * k, 10), 16, 10).cast("bigint") for k in range(4)}
+    five = lambda k: F.shiftright(F.col(f"__n{k // 8}"), 35 - k % 8 * 5).bitwiseAND(31).cast("int") + 1
+    letters = F.concat(*[F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), five(k), F.lit(1)) for k in range(32)])
+    return df.withColumn("__sha1", F.sha1(payload)).withColumns(numbers).withColumn(name, letters).drop("__sha1", *numbers)
 
 
-def _urn(kind: str, number: Column) -> Column:
-    """A stable record id from the capture's number and the kind of record."""
-    h = F.md5(F.concat(F.lit(kind + ":"), F.coalesce(number.cast("string"), F.lit("null"))).cast("binary"))
+def _urn(kind: str, number: Column, sha1: Column) -> Column:
+    """A stable record id from the kind of record, and the page's number and
+    payload: repeated numbers of other payloads have ids of their own."""
+    h = F.md5(F.concat(F.lit(kind + ":"), F.coalesce(number.cast("string"), F.lit("null")), F.lit(":"), sha1).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
@@ -56,7 +61,11 @@ def dedup_plan(pages: DataFrame, least_bytes: int, id_col: str = "page_id", payl
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     keyed = stored(pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.sha1(payload).alias("sha1"), F.length(payload).alias("n")), "payload-digests")
     last = stored(keyed.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("response_id")), "payload-groups")
-    return keyed.join(last, "sha1", "left").select("page_id", "sha1", F.when(F.col("n") >= least_bytes, F.col("response_id")).otherwise(F.col("page_id")).alias("response_id"))
+    return keyed.join(last, "sha1", "left").select("page_id", "sha1", F.when(F.col("n") >= least_bytes, F.col("response_id")).otherwise(F.col("page_id")).alias("response_id"), "n")
+
+
+def _size_class(n: Column) -> Column:
+    return F.when(n <= SMALL, 0).otherwise(F.ceil(F.log(n / SMALL) / F.log(F.lit(8.0)))).cast("int")
 
 
 def write_captures(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
@@ -65,34 +74,40 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
 
     A null payload counts as empty, a null URL as ``about:blank``; control
     characters in a URL become spaces.  Of repeated rows of one page_id all
-    become responses or revisits alike.  Other columns play no part; an empty
-    table writes no record.
+    become responses or revisits alike.  A payload is written whole, however
+    long.  Other columns play no part; an empty table writes no record.
     """
-    plan = stored(dedup_plan(pages, least_bytes, id_col, payload_col).select(F.col("page_id").alias("__id"), F.col("sha1").alias("__sha1"), "response_id").distinct(), "capture-plan")
-    rows = pages.select(
+    plan = stored(dedup_plan(pages, least_bytes, id_col, payload_col).select(F.col("page_id").alias("__id"), F.col("sha1").alias("__sha1"), "response_id", _size_class(F.col("n")).alias("__class")).distinct(), "capture-plan")
+    for size_class in sorted(r[0] for r in plan.select("__class").distinct().collect()) or [0]:
+        _write_class(pages, plan.where(F.col("__class") == size_class), path, size_class, id_col, url_col, payload_col)
+
+
+def _write_class(pages: DataFrame, plan: DataFrame, path: str, size_class: int, id_col: str, url_col: str, payload_col: str) -> None:
+    length = F.octet_length(F.coalesce(F.col(payload_col), F.lit("")))
+    rows = pages.where(_size_class(length) == size_class).select(
         F.col(id_col).cast("bigint").alias("page_id"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("about:blank")), r"[\x00-\x1F\x7F]", " ").alias("uri"),
     ).join(plan.hint("merge"), F.col("page_id").eqNullSafe(F.col("__id")) & (F.sha1(F.col("payload").cast("binary")) == F.col("__sha1")))
-    rows = with_payload_digest(rows, "payload_digest", F.col("payload").cast("binary"))
-    number, uri = F.col("page_id"), F.col("uri")
+    rows = with_payload_digest(rows.withColumnRenamed("__sha1", "sha1"), "payload_digest", F.col("payload").cast("binary"))
+    number, uri, sha1 = F.col("page_id"), F.col("uri"), F.col("sha1")
     revisit = ~F.col("page_id").eqNullSafe(F.col("response_id"))
-    response_id = _urn("response", number)
+    response_id = _urn("response", number, sha1)
     path_of = F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
     request = F.concat(F.lit("GET "), F.when(path_of == "", "/").otherwise(path_of), F.lit(" HTTP/1.1\r\nHost: "), F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("\r\n\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload"), F.lit("\r\n\r\n"))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"))
     fields = F.concat(F.lit("page-id: "), F.coalesce(number.cast("string"), F.lit("null")), F.lit("\r\n"))
     to = F.concat(F.lit("WARC-Concurrent-To: "), response_id)
-    refers = F.when(revisit, F.concat_ws("\r\n", F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), F.concat(F.lit("WARC-Refers-To: "), _urn("response", F.col("response_id")))))
+    refers = F.when(revisit, F.concat_ws("\r\n", F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), F.concat(F.lit("WARC-Refers-To: "), _urn("response", F.col("response_id"), sha1))))
     main = _record(F.when(revisit, "revisit").otherwise("response"), response_id, uri, [digest, refers], "application/http; msgtype=response", F.when(revisit, http).otherwise(F.concat(http, "payload")))
     records = F.array(
-        _record(F.lit("request"), _urn("request", number), uri, [to], "application/http; msgtype=request", request),
+        _record(F.lit("request"), _urn("request", number, sha1), uri, [to], "application/http; msgtype=request", request),
         main,
-        _record(F.lit("metadata"), _urn("metadata", number), uri, [to], "application/warc-fields", fields),
+        _record(F.lit("metadata"), _urn("metadata", number, sha1), uri, [to], "application/warc-fields", fields),
     )
     (
         rows.select(F.array_join(records, RECORD_END).alias("value"))
-        .write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_CAPTURES).text(path)
+        .write.mode("append").option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_CAPTURES // 8**size_class)).text(path)
     )
 
 
@@ -100,14 +115,22 @@ def _sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _unzipped(data: bytes) -> bytes:
-    """An archive's bytes, its gzip members joined (one a record, or one a file)."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
+def _unzipped(data: bytes) -> Iterator[bytes]:
+    """An archive's bytes in blocks, its gzip members joined (one a record, or
+    one a file)."""
+    view, at = memoryview(data), 0
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), STEP):
+            yield bytes(view[at : at + STEP])
+        return
+    while data[at : at + 2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        out.append(z.decompress(data) + z.flush())
-        data = z.unused_data
-    return b"".join(out) if out else data
+        while not z.eof and at < len(data):
+            given = view[at : at + STEP]
+            out = z.decompress(given, STEP)
+            at += len(given) - len(z.unused_data if z.eof else z.unconsumed_tail)
+            yield out
+        yield z.flush()
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -125,22 +148,43 @@ def _fields(head: bytes) -> dict[str, str]:
     return found
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of one archive, by their Content-Length; bytes between
-    records that begin none are skipped, a record cut off at the end too."""
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        fields = _fields(data[data.find(b"\r\n", at) + 2 : end])
+def parse(blocks: Iterator[bytes] | bytes) -> Iterator[dict]:
+    """The records of one archive, given in blocks, by their Content-Length;
+    bytes between records that begin none are skipped, a record cut off at the
+    end too.  No more is held than a record and a block."""
+    source = iter([blocks] if isinstance(blocks, bytes) else blocks)
+    data, passed = bytearray(), 0
+
+    def more() -> bool:
+        block = next(source, None)
+        data.extend(block or b"")
+        return block is not None
+
+    def drop(n: int) -> None:
+        nonlocal passed
+        passed += n
+        del data[:n]
+
+    while True:
+        at = data.find(b"WARC/1.")
+        if at < 0:
+            drop(max(0, len(data) - 6))
+            if not more():
+                return
+            continue
+        drop(at)
+        while (end := data.find(b"\r\n\r\n")) < 0:
+            if not more():
+                return
+        fields = _fields(bytes(data[data.find(b"\r\n") + 2 : end]))
         if not fields.get("content-length", "").isdigit():
-            at = end
+            drop(end)
             continue
         size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            return
+        while len(data) < end + 4 + size:
+            if not more():
+                return
+        block = bytes(data[end + 4 : end + 4 + size])
         status = length = None
         payload = block
         if "msgtype=response" in fields.get("content-type", "") or "msgtype=request" in fields.get("content-type", ""):
@@ -153,12 +197,12 @@ def parse(data: bytes) -> Iterator[dict]:
         kind, said = fields.get("warc-type"), fields.get("warc-payload-digest", "").rpartition(":")[2] or None
         digest = _sha1(payload) if kind == "response" else said
         yield {
-            "place": at, "warc_type": kind, "record_id": fields.get("warc-record-id"), "concurrent_to": fields.get("warc-concurrent-to"),
+            "place": passed, "warc_type": kind, "record_id": fields.get("warc-record-id"), "concurrent_to": fields.get("warc-concurrent-to"),
             "refers_to": fields.get("warc-refers-to"), "uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"),
             "payload_digest": digest, "payload_bytes": len(payload) if kind == "response" or length is None else length,
             "digest_ok": digest == said if said else None, "http_status": status, "headers": list(fields.items()), "payload": payload,
         }
-        at = end + 4 + size
+        drop(end + 4 + size)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

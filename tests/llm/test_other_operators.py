@@ -46,6 +46,7 @@ def test_warc_round_trip(spark):
         if r.warc_type == "response":
             assert bytes(r.payload) == payload and r.digest_ok and r.http_status == 200
     files = spark.read.format("binaryFile").load(path).where("length > 0").collect()
+    assert len(files) > 1  # the long payload is in files of its size
     assert all(gzip.decompress(f.content).startswith(b"WARC/1.1\r\n") for f in files)
 
 
@@ -79,6 +80,21 @@ def test_warc_reads_other_archives(spark):
     assert len(got) == 1 and got[0].request is None and len(got[0].metadata) == 1
 
 
+def test_records_are_parsed_in_small_blocks(monkeypatch):
+    record = lambda n: f"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: {n}\r\n\r\n".encode() + bytes(random.Random(n).choices(b"WARC/1.\r\n", k=n)) + b"\r\n\r\n"
+    sizes = [0, 5, 3000, 17, 900]
+    plain = b"junk WARC/" + b"".join(record(n) for n in sizes)
+    want = [(r["place"], r["payload"]) for r in warc.parse(plain)]
+    assert [len(payload) for _, payload in want] == sizes
+    for step in (1, 7, 1000):
+        monkeypatch.setattr(warc, "STEP", step)
+        zipped = gzip.compress(plain[:40]) + b"".join(gzip.compress(plain[k : k + 1500]) for k in range(40, len(plain), 1500))
+        for data in (plain, gzip.compress(plain), zipped):
+            assert [(r["place"], r["payload"]) for r in warc.parse(warc._unzipped(data))] == want
+        # What is cut off within a record ends the archive before it.
+        assert [r["payload"] for r in warc.parse(warc._unzipped(gzip.compress(plain)[:-40]))] == [payload for _, payload in want][: len(sizes) - 1]
+
+
 def test_warc_query(spark):
     got = queries.op7_warc_assembly(spark, SMALL).collect()
     table = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
@@ -160,6 +176,12 @@ def test_placing(spark):
     place = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
     assert sorted(map(str, ((r.doc_id, r.slot, r.shard) for r in got))) == sorted(map(str, ((i, place(i), int(lookup[place(i)])) for i, *_ in rows)))
     assert sharding.place(table.limit(0), "doc_id", queries.SHARDS).isEmpty()
+    # A key by one of the two names is read before it is replaced.
+    for key in ("slot", "shard"):
+        named = spark.createDataFrame([("k1", "z"), (None, "z"), ("k" * 100_000, "z")], f"{key} string, other string")
+        got = sharding.place(named, key, queries.SHARDS).collect()
+        want = [int(lookup[int(hashlib.md5((k or "").encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE]) for k, _ in named.collect()]
+        assert sorted(r.shard for r in got) == sorted(want) and got[0].other == "z"
 
 
 def test_write_sharded(spark, tmp_path):
@@ -167,6 +189,9 @@ def test_write_sharded(spark, tmp_path):
     sharding.write_sharded(table, "doc_id", queries.SHARDS[:4], f"file://{tmp_path}/out")
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert back.count() == table.count() and back.select("shard").distinct().count() == 4
+    edge = spark.createDataFrame([(None, "x", 1), (None, "x", 1), ("a", None, None)], "shard string, slot string, `a.b` int")
+    sharding.write_sharded(edge, "shard", queries.SHARDS[:4], f"file://{tmp_path}/edge")
+    assert spark.read.parquet(f"file://{tmp_path}/edge").count() == 3
 
 
 def test_pipeline(spark):
