@@ -8,6 +8,7 @@ per digest, checked by a sort-merge anti-join, and what is new is appended.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,26 +30,70 @@ def text_sha256(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
+#: Digests that a bucket of a new or rewritten index holds, about; fewest buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 16
+#: Batches after which the index is rewritten, a sorted file a bucket.
+BATCHES = 16
+
+
 class DigestIndex:
-    """Digests seen so far, in a bucketed and sorted table at ``path``.
+    """Digests seen so far, in a bucketed and sorted table under ``path``.
 
     The folder outlives the session: opening it again finds what earlier
-    batches wrote.
+    batches wrote.  The number of buckets goes with the size of the first
+    batch, or is as given, and is recorded with the index; opening it with
+    another one is refused.  Every batch adds a sorted file a bucket; after
+    BATCHES of them the index is rewritten in a folder of its own, with buckets
+    for its size by then.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
-        self.spark, self.buckets = spark, buckets
-        self.path = path or shared_dir(spark, "digest-index")
-        self.table = "digest_index_" + hashlib.md5(self.path.encode()).hexdigest()
-        spark.sql(
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.path = spark, path or shared_dir(spark, "digest-index")
+        self.state, self.buckets, self.table, self.batches = 0, buckets, None, 0
+        log = f"{self.path}/_state"
+        at = spark._jvm.org.apache.hadoop.fs.Path(log)
+        if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+            last = spark.read.parquet(log).orderBy(F.desc("state")).first()
+            if buckets not in (None, last.buckets):
+                raise ValueError(f"the index has {last.buckets} buckets, not {buckets}")
+            self.state, self.buckets, self.batches = last.state, last.buckets, last.batches
+            self._open(last.folder)
+
+    def _open(self, folder: str) -> None:
+        """The table of one folder of the index; the buckets say where its digests are."""
+        self.folder = folder
+        self.table = "digest_index_" + hashlib.md5(f"{self.path}/{folder}".encode()).hexdigest()
+        self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{folder}'"
+        )
+
+    def _record(self) -> None:
+        self.state += 1
+        row = [(self.state, self.folder, self.buckets, self.batches)]
+        self.spark.createDataFrame(row, "state bigint, folder string, buckets int, batches int").coalesce(1).write.mode("append").parquet(f"{self.path}/_state")
+
+    def _append(self, rows: DataFrame) -> None:
+        (
+            rows.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+            .write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.table)
         )
 
     def rows(self) -> DataFrame:
+        if self.table is None:
+            return self.spark.createDataFrame([], "digest binary, keep_id bigint")
         self.spark.catalog.refreshTable(self.table)
         return self.spark.table(self.table)
 
+    def compact(self) -> None:
+        """Rewrites the index: one sorted file a bucket, buckets for its size.
+        The old folder stays for who still reads it."""
+        rows = self.rows()
+        self.buckets, self.batches = max(LEAST_BUCKETS, -(-rows.count() // BUCKET_ROWS)), 1
+        self._open(f"rows-{uuid.uuid4().hex}")
+        self._append(rows)
+        self._record()
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Adds a batch; returns doc_id, digest (binary), keep_id,
         group_size and kept of each of its rows.
@@ -67,11 +112,15 @@ class DigestIndex:
             .agg(F.min("doc_id").alias("first_id"), F.sum("same").alias("group_size"), F.max("same").alias("same")),
             "digest-groups",
         )
+        if self.batches >= BATCHES:
+            self.compact()
+        if self.table is None:
+            self.buckets = self.buckets or max(LEAST_BUCKETS, -(-groups.count() // BUCKET_ROWS))
+            self._open("rows")
+        self.batches += 1
+        self._record()
         fresh = groups.join(self.rows().hint("merge"), "digest", "left_anti").select("digest", F.col("first_id").alias("keep_id"))
-        (
-            fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest")
-            .write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.table)
-        )
+        self._append(fresh)
         # One row a digest on the right; a hot text's rows on the left are split by AQE's skew handling.
         known = stored(groups.join(self.rows().hint("merge"), "digest").select("digest", "keep_id", "first_id", "group_size", "same"), "known-digests")
         out = keyed.join(known, "digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("first_id").eqNullSafe(F.col("keep_id")))

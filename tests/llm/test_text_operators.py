@@ -138,6 +138,29 @@ def test_exact_dedup(spark):
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in again.collect()} == {(900, 3, 1, False), (901, 901, 2, True), (902, 901, 2, False)}
     assert index.rows().groupBy("digest").count().where("count > 1").isEmpty()
     assert index.add(docs(spark, [])).isEmpty()
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, index.path, 8)
+    assert exact_dedup.DigestIndex(spark, index.path).buckets == 4
+
+
+def test_index_of_many_batches_is_rewritten(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BATCHES", 2)
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(exact_dedup, "LEAST_BUCKETS", 1)
+    index = exact_dedup.DigestIndex(spark)
+    assert index.rows().isEmpty()
+    seen, buckets = {}, []
+    for batch in range(6):
+        rows = [(10 * batch + k, f"text {(batch * 7 + k * k) % 23}", "en", "a") for k in range(5)]
+        got = {r.doc_id: (r.keep_id, r.kept) for r in index.add(docs(spark, rows)).collect()}
+        for i, t, *_ in rows:
+            seen.setdefault(t, i)
+        assert got == {i: (seen[t], seen[t] == i) for i, t, *_ in rows}
+        buckets.append(index.buckets)
+        index = exact_dedup.DigestIndex(spark, index.path)
+    assert buckets == sorted(buckets) and buckets[-1] > buckets[0]
+    files = {f.rsplit("/", 1)[0] for f in index.rows().inputFiles()}
+    assert len(files) == 1 and index.rows().count() == len(seen)
 
 
 def test_keep_first(spark):
