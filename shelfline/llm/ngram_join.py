@@ -158,6 +158,12 @@ class Order:
         return out
 
 
+    def frequency(self, grams: np.ndarray) -> np.ndarray:
+        """How often n-grams are known to be there; 0: not among the frequent ones."""
+        at = self.find(grams)
+        return np.where(at >= 0, self.seen[at], 0) if len(self.seen) else np.zeros(len(grams), dtype=np.int64)
+
+
 def _memberships(docs: DataFrame, rule: Rule, order) -> DataFrame:
     """grp, doc and grams: the groups in which documents with a common n-gram
     of their prefixes meet, each named by its smallest document, and how many
@@ -328,13 +334,14 @@ class PrefixTree:
             node, at = child, at + same
 
 
-def _join(docs: np.ndarray, sets: list[np.ndarray], rule: Rule) -> tuple[list[int], list[int], np.ndarray]:
+def _join(docs: np.ndarray, sets: list[np.ndarray], rule: Rule, known: Order) -> tuple[list[int], list[int], np.ndarray]:
     """Links that connect each component of a group, and the component of
-    each set."""
+    each set.  In the trie stands first what is last in the global order: the
+    n-grams that most sets share."""
     order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), docs[k]))
-    grams, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    grams, back = np.unique(np.concatenate(sets), return_inverse=True)
     rank = np.empty(len(grams), dtype=np.int64)
-    rank[np.lexsort((grams, -count))] = np.arange(len(grams))  # what most sets share comes first
+    rank[np.lexsort((grams, known.frequency(grams)))] = np.arange(len(grams))[::-1]
     ranks = np.split(rank[back], np.cumsum([len(s) for s in sets])[:-1])
     tree = PrefixTree(rule, len(grams))
     a, b = [], []
@@ -395,8 +402,19 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
     width = min(bits // 8, 1 << 16)
     table = np.zeros((bits // 8 // width, width), dtype=np.uint8)
-    for row in wanted.select("doc").coalesce(8).mapInArrow(fill, "at int, bits binary").toLocalIterator():
-        table[row["at"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, page in zip(batch["at"].to_pylist(), batch["bits"], strict=True):
+                page = np.frombuffer(page.as_buffer(), dtype=np.uint8)
+                pages[at] = pages[at] | page if at in pages else page.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int32()), pa.array([page.tobytes() for page in pages.values()], pa.binary())], names=["at", "bits"])
+
+    # Pages of all tasks are put together by page: the driver gets each once.
+    pages = wanted.select("doc").mapInArrow(fill, "at int, bits binary").repartition("at").mapInArrow(joined, "at int, bits binary")
+    for row in pages.toLocalIterator():
+        table[row["at"]] = np.frombuffer(row["bits"], dtype=np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(table.reshape(-1))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,7 +432,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(rows, "doc bigint, grams array<bigint>")
 
 
-def _linked(placed: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _linked(placed: DataFrame, sets: DataFrame, rule: Rule, order) -> DataFrame:
     """Joins each part (grp, part) of ``placed`` (with doc, pivot and
     watched) by a trie.  Rows: links (a, b), and of the watched parts the
     members outside the pivot's component (grp, part, a)."""
@@ -427,7 +445,7 @@ def _linked(placed: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             # Of rows that share an id, one set counts.
             docs = np.array([d for d, _ in held], dtype=np.int64)
             if len(docs) > 1:
-                a, b, part = _join(docs, [g for _, g in held], rule)
+                a, b, part = _join(docs, [g for _, g in held], rule, order.value)
                 grp, number, pivot, watched = now
                 out = docs[part != part[np.flatnonzero(docs == pivot)[0]]].tolist() if watched and (docs == pivot).any() else docs.tolist() if watched else []
                 yield pa.RecordBatch.from_arrays(
@@ -497,7 +515,8 @@ def join_groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: s
     first = stored(every.where("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "set-groups")
     rep = stored(every.join(first.drop("copies"), "digest", "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "representatives")
 
-    met = _memberships(texts, rule, docs.sparkSession.sparkContext.broadcast(order))
+    order = docs.sparkSession.sparkContext.broadcast(order)
+    met = _memberships(texts, rule, order)
     # Copies have the same n-grams in the same groups.
     met = stored(met.join(rep, "doc").groupBy("grp", F.col("rep").alias("doc")).agg(F.max("grams").alias("grams"), F.max("n").alias("n")), "met")
     members = stored(_members(met, rule), "members")
@@ -508,7 +527,7 @@ def join_groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: s
     placed = members.join(groups, "grp").select("grp", "doc", "pivot", F.explode(part).alias("part"), (F.col("parts") > 1).alias("watched"))
     placed = stored(placed, "placed")
     sets = _sets_of(texts, placed.select("doc").distinct(), rule)
-    found = stored(_linked(placed, sets, rule), "links")
+    found = stored(_linked(placed, sets, rule, order), "links")
     links = found.where("b is not null").select("a", "b")
     rest = found.where("b is null").select("grp", F.col("a").alias("doc")).distinct()
     if not rest.isEmpty():
@@ -521,7 +540,7 @@ def join_groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: s
         probe = probe.select("grp", "doc", "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "chunk", "parts")
         second = own.unionByName(probe).select("grp", "doc", "pivot", (F.col("chunk") * F.col("parts") + F.col("part")).cast("int").alias("part"), F.lit(False).alias("watched")).distinct()
         second = stored(second, "placed-again")
-        again = _linked(second, _sets_of(texts, second.select("doc").distinct(), rule), rule)
+        again = _linked(second, _sets_of(texts, second.select("doc").distinct(), rule), rule, order)
         links = links.unionByName(again.where("b is not null").select("a", "b"))
     comp = stored(components(links), "components")
     return (

@@ -93,7 +93,9 @@ def test_prefix_tree_finds_every_component():
         r = random.Random(seed)
         base = [sorted(r.sample(range(60), r.randrange(5, 40))) for _ in range(3)]
         sets = [np.array(sorted(set(b) - set(r.sample(b, r.randrange(0, 4))) | set(r.sample(range(60), r.randrange(0, 3)))), dtype=np.uint64) for b in base for _ in range(6)]
-        a, b, part = ngram_join._join(np.arange(len(sets)), sets, rule)
+        some = np.array(sorted(r.sample(range(60), 20)), dtype=np.uint64)
+        known = ngram_join.Order(some, np.array([r.randrange(4, 9) for _ in some]), some.astype(np.int64))
+        a, b, part = ngram_join._join(np.arange(len(sets)), sets, rule, known)
         parent = list(range(len(sets)))
 
         def find(i, parent=parent):
