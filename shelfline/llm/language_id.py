@@ -70,15 +70,16 @@ class Languages:
         # Per bucket relative to the likeliest language: mixtures compare alike, sums stay in range.
         self.likelihood = np.ascontiguousarray((table / table.max(axis=0, initial=1e-300)).T)
 
-    def infer(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def infer(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text the number of the predicted language (-1: none, as there
-        is no letter or nothing was learned) and its share, weighted over the
-        language sets by their penalised likelihood."""
+        is no letter or nothing was learned), its share weighted over the
+        language sets by their penalised likelihood, and its proportion in the
+        chosen set alone."""
         n_lang, n = len(self.names), len(texts)
-        best, share = np.full(n, -1), np.zeros(n)
+        best, share, own = np.full(n, -1), np.zeros(n), np.zeros(n)
         rows, buckets = _trigrams(texts)
         if not len(rows) or not n_lang:
-            return best, share
+            return best, share, own
         table = np.bincount(rows * BUCKETS + buckets, minlength=n * BUCKETS)
         keys = np.flatnonzero(table)
         count, like, row = table[keys].astype(np.float64), self.likelihood[keys % BUCKETS], keys // BUCKETS
@@ -115,7 +116,8 @@ class Languages:
         held = np.array([s[np.arange(len(there)), predicted] for s in shares])
         best[there] = predicted
         share[there] = np.clip((weight * held).sum(axis=0) / weight.sum(axis=0), 0.0, 1.0)
-        return best, share
+        own[there] = chosen.max(axis=1)
+        return best, share, own
 
     @staticmethod
     def _em(like, count, local, begins, size, within) -> tuple[np.ndarray, np.ndarray]:
@@ -164,8 +166,9 @@ def identify(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col
     """doc_id, lang_pred and score (0 to 1) of each row, from its text alone.
 
     A null text or one without a letter gets ``und`` and 0, as do all where
-    nothing was learned.  Ties go to the language first by name.  Repeated
-    rows get a row each; other columns play no part.
+    nothing was learned.  Ties go to the language first by name.  A text is
+    read whole, however long.  Repeated rows get a row each, null ids stay
+    null, an empty table gives no row; other columns play no part.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -174,7 +177,7 @@ def identify(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col
         names = np.array([*languages.names, UNKNOWN], dtype=object)
         for batch in batches:
             for first, last, texts in _texts(batch["text"]):
-                best, share = languages.infer(texts)
+                best, share, _ = languages.infer(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(first, last - first), pa.array(names[best], type=pa.string()), pa.array(share)], names=["doc_id", "lang_pred", "score"]
                 )
@@ -183,9 +186,12 @@ def identify(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col
 
 
 def keep_identified(docs: DataFrame, model: Languages, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns as they are, in which one language has at
-    least the share ``least``: texts without letters and those that mix
-    languages evenly go."""
+    """The rows of ``docs``, columns as they are, in which one language of the
+    chosen set has at least the proportion ``least``.  Texts without letters go,
+    null ones too, and those that mix languages without a main one; a text whose
+    chosen set is one language stays, however short and doubtful.  Null ids and
+    repeated rows stay as they are, texts are read whole, an empty table stays
+    empty; where nothing was learned nothing stays."""
     from pyspark.sql.types import StructField, StructType
 
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -195,8 +201,8 @@ def keep_identified(docs: DataFrame, model: Languages, least: float = 0.5, id_co
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
             for first, last, texts in _texts(batch.column(place)):
-                best, share = held.value.infer(texts)
-                keep[first:last] = (best >= 0) & (share >= least)
+                best, _, own = held.value.infer(texts)
+                keep[first:last] = (best >= 0) & (own >= least)
             yield batch.filter(pa.array(keep))
 
     schema = StructType([StructField(f.name, f.dataType, True) for f in docs.schema.fields])
