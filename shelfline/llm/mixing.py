@@ -83,6 +83,11 @@ def weights(totals: DataFrame, alpha: float, budget: float | None = None) -> Dat
     return out.withColumn("epochs", F.greatest(F.col("quota") / F.col("tokens"), F.lit(1.0) if budget is None else F.lit(0.0)))
 
 
+def _before(column: str, order) -> Column:
+    """The sum over the rows before, in a window's order."""
+    return F.coalesce(F.sum(column).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def mix(
     docs: DataFrame, max_epochs: float | None = 1.5, entropy: float | None = None, budget: float | None = None,
     seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -112,13 +117,17 @@ def mix(
     # Epochs of a block, permuted; a source has n_blocks of them at most, however many documents it has.
     epochs = by_block.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens")).join(plan, "source")
     epochs = epochs.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.round("epochs", 9)).cast("int") - 1, F.lit(0)))))
-    order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "source", "block"), "block")
-    before = F.coalesce(F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # The permutation in two levels, so that no task has all blocks of a source: 4096 ranges of its hash, then the blocks of a range.
+    epochs = epochs.withColumn("at", F.xxhash64(F.lit(seed), "epoch", "source", "block")).withColumn("range", F.shiftright("at", 52))
+    ranges = epochs.groupBy("source", "epoch", "range").agg(F.sum("block_tokens").alias("range_tokens"))
+    ranges = ranges.withColumn("range_start", _before("range_tokens", Window.partitionBy("source", "epoch").orderBy("range"))).drop("range_tokens")
+    epochs = epochs.join(ranges, ["source", "epoch", "range"])
+    before = F.col("range_start") + _before("block_tokens", Window.partitionBy("source", "epoch", "range").orderBy("at", "block"))
     reach = (F.col("tokens") * F.col("epochs")).cast("double")
     epochs = epochs.withColumn("block_start", F.col("epoch") * F.col("tokens") + before).where(F.col("block_start") < reach - F.lit(1e-6))
     inside = Window.partitionBy("source", "block", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "doc_id"), "doc_id")
     used = by_block.join(epochs.select("source", "block", "epoch", "block_start", "tokens", "epochs", "weight"), ["source", "block"])
-    start = F.col("block_start") + F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.col("block_start") + _before("n_tokens", inside)
     return (
         used.withColumn("start", start).where(F.col("start") < reach - F.lit(1e-6))
         .select("doc_id", "source", F.col("epoch").cast("int").alias("epoch"), "n_tokens", "same_rows", (F.col("start") / reach).alias("mix_key"), "weight")
