@@ -184,6 +184,12 @@ def _runs(lengths) -> tuple[tuple[int, int], ...]:
 
 def solve(counts: np.ndarray, size: int = SEQUENCE) -> list[Pattern]:
     """Patterns that use up ``counts[length]`` pieces of each length."""
+    fixed, rest = reduce(counts, size)
+    return fixed + _best_fit(rest, size)
+
+
+def reduce(counts: np.ndarray, size: int) -> tuple[list[Pattern], np.ndarray]:
+    """Patterns that are in some best solution, and the counts that remain."""
     counts = counts.astype(np.int64).copy()
     found: list[Pattern] = []
     again = True
@@ -199,7 +205,7 @@ def solve(counts: np.ndarray, size: int = SEQUENCE) -> list[Pattern]:
                     counts[part] -= times
                 found.append((_runs(chosen), times))
                 again = True
-    return found + _best_fit(counts, size)
+    return found, counts
 
 
 def _best_fit(counts: np.ndarray, size: int) -> list[Pattern]:

@@ -8,12 +8,14 @@ import hashlib
 import math
 import random
 import re
+import struct
 import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from shelfline.llm import exact_dedup, language_id, lm_scoring, mixing, ngram_join, packing, token_counts
@@ -269,6 +271,35 @@ def test_solution_is_close_to_the_best():
         assert bins <= math.ceil(least * 11 / 9) + 1
 
 
+def fewest(lengths, size):
+    """The least number of sequences: over all sets of pieces, sequences used and room taken in the last."""
+    best = [(0, size)] + [(len(lengths) + 1, 0)] * (2 ** len(lengths) - 1)
+    for chosen in range(1, 2 ** len(lengths)):
+        for k, length in enumerate(lengths):
+            if chosen >> k & 1:
+                n, used = best[chosen ^ 1 << k]
+                best[chosen] = min(best[chosen], (n, used + length) if used + length <= size else (n + 1, length))
+    return best[-1][0]
+
+
+def test_packing_against_the_optimum():
+    spent = least = 0
+    for seed in range(150):
+        r = np.random.default_rng(seed)
+        size = int(r.integers(6, 30))
+        lengths = r.integers(1, size + 1, int(r.integers(1, 10))).tolist()
+        counts = np.bincount(lengths, minlength=size + 1)
+        want = fewest(lengths, size)
+        fixed, rest = packing.reduce(counts, size)
+        # What the reduction fixes is in some best solution.
+        left = [length for length, n in enumerate(rest.tolist()) for _ in range(n)]
+        assert sum(times for _, times in fixed) + fewest(left, size) == want, (lengths, size)
+        bins = sum(times for _, times in packing.solve(counts, size))
+        assert want <= bins <= want + 1, (lengths, size)
+        spent, least = spent + bins, least + want
+    assert spent <= 1.01 * least
+
+
 def brute_base(train, texts):
     counts = collections.Counter(w for t in train for w in [*plain_words(t), None])
     total, kinds = sum(counts.values()), len(counts)
@@ -389,7 +420,71 @@ def test_language_id(spark):
     mixed = model.infer([one["de"][:1500] + " " + one["es"][:1500], one["de"]])
     assert 0.3 < mixed[1][0] < 0.7 and model.names[mixed[0][1]] == "de" and mixed[1][1] > 0.9
     kept = language_id.keep_identified(table, model)
-    assert kept.columns == table.columns and kept.count() > 0.95 * table.count()
+    assert kept.columns == table.columns
+    # What goes has no letter, or no language with half of it; each is named.
+    gone = table.join(kept.select("doc_id"), "doc_id", "left_anti").collect()
+    best, _, own = model.infer([r.text or "" for r in gone])
+    assert [r.doc_id for r, b, o in zip(gone, best, own, strict=True) if b >= 0 and o >= 0.5] == []
+    plain = [r.doc_id for r in gone if any(c.isalpha() for c in r.text or "")]
+    assert len(plain) <= 1, plain
+    # Short texts in one language stay, whatever the doubt which one it is.
+    short = docs(spark, [(1, "A.", "en", "a"), (2, "no", "en", "a"), (3, "12 !", "en", "a"), (4, None, "en", "a"), (None, "ok", "en", "a")])
+    assert sorted(map(str, (r.doc_id for r in language_id.keep_identified(short, model).collect()))) == ["1", "2", "None"]
+
+
+def plain_inference(model, text):
+    """Expectation-maximisation and set choice for one text, in plain Python."""
+    _, buckets = language_id._trigrams([text])
+    seen = sorted(collections.Counter(buckets.tolist()).items())
+    if not seen:
+        return -1, 0.0, 0.0
+    like = {b: model.likelihood[b].tolist() for b, _ in seen}
+    langs, size = range(len(model.names)), sum(n for _, n in seen)
+
+    def em(within):
+        theta = [1 / len(within) if k in within else 0.0 for k in langs]
+        for _ in range(language_id.ROUNDS):
+            new = [0.0] * len(theta)
+            for b, n in seen:
+                z = sum(like[b][k] * theta[k] for k in langs)
+                for k in langs:
+                    new[k] += n * like[b][k] * theta[k] / z
+            theta = [x / size for x in new]
+        return theta, sum(n * math.log(sum(like[b][k] * theta[k] for k in langs)) for b, n in seen)
+
+    single = [sum(n * math.log(like[b][k]) for b, n in seen) for k in langs]
+    cost = math.log(size + 1) / 2
+    mixture, fit = em(set(langs))
+    top = max(langs, key=lambda k: (single[k], -k))
+    chosen, value = [float(k == top) for k in langs], single[top]
+    sets = [([float(k == j) for k in langs], single[j]) for j in langs]
+    order = sorted(langs, key=lambda k: (-mixture[k], k))
+    for m in range(2, len(order) + 1):
+        if fit - cost <= value:
+            break
+        theta, gained = em(set(order[:m]))
+        gained -= cost * (m - 1)
+        sets.append((theta, gained))
+        if gained > value:
+            chosen, value = theta, gained
+    best = max(langs, key=lambda k: (chosen[k], -k))
+    highest = max(v for _, v in sets)
+    weights = [math.exp(v - highest) for _, v in sets]
+    return best, sum(w * p[best] for w, (p, _) in zip(weights, sets, strict=True)) / sum(weights), chosen[best]
+
+
+def test_language_inference_against_plain_python(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.learn(table)
+    by_lang = {r.lang: r.text for r in table.where("n_chars between 900 and 3000 and lang is not null").dropDuplicates(["lang"]).collect()}
+    texts = [r.text or "" for r in table.where("n_chars < 1500").orderBy("doc_id").limit(60).collect()] + ["", "A.", "no", "12", "ok ok"]
+    langs = sorted(by_lang)
+    texts += [by_lang[a][:300] + " " + by_lang[b][:n] for a in langs for b in langs for n in (60, 300) if a != b]
+    texts.append(" ".join(by_lang[lang][:200] for lang in langs))
+    best, share, own = model.infer(texts)
+    for k, text in enumerate(texts):
+        want = plain_inference(model, text)
+        assert (best[k], round(share[k], 6), round(own[k], 6)) == (want[0], round(want[1], 6), round(want[2], 6)), text
 
 
 def test_language_id_learns_nothing(spark):
@@ -430,6 +525,56 @@ def test_mixing(spark):
     assert collections.Counter((r.doc_id, r.source or "") for r in out.collect()) == {k: n * counts[k] for k, n in epochs.items()}
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of values (format, value); a text has no format."""
+    seed = 42
+    for kind, value in values:
+        seed = xxhash.xxh64(struct.pack(kind, value) if kind else value.encode(), seed).intdigest()
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def brute_mix(rows, most, seed, block_docs):
+    """Every use of a document, by reading the permuted blocks one after another."""
+    sizes = collections.Counter()
+    for i, t, _, s in rows:
+        sizes[s or "", i] += max(1, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")))
+    tokens = collections.Counter()
+    for (s, _), n in sizes.items():
+        tokens[s] += n
+    top = max(tokens.values())
+    low, high = 0.0, 1.0
+    for _ in range(30):
+        a = (low + high) / 2
+        spread = [(n / top) ** (a - 1) for n in tokens.values()]
+        low, high = (a, high) if max(spread) / min(spread) > most else (low, a)
+    raised = {s: (n / top) ** high for s, n in tokens.items()}
+    z, need = sum(raised.values()), max(tokens[s] / raised[s] for s in tokens)
+    n_blocks = max(1, len(sizes) // block_docs)
+    out = {}
+    for s, n in tokens.items():
+        epochs = max(raised[s] * need / n, 1.0)
+        reach, at = n * epochs, 0
+        blocks = collections.defaultdict(list)
+        for (source, i), size in sizes.items():
+            if source == s:
+                blocks[spark_hash(("<i", seed), ("", s), ("<q", i)) % n_blocks].append((i, size))
+        for epoch in range(max(math.ceil(round(epochs, 9)), 1)):
+            for b in sorted(blocks, key=lambda b: (spark_hash(("<i", seed), ("<i", epoch), ("", s), ("<q", b)), b)):
+                for i, size in sorted(blocks[b], key=lambda d: (spark_hash(("<i", seed), ("<i", epoch), ("<q", d[0])), d[0])):
+                    if at < reach - 1e-6:
+                        out[i, s, epoch] = (size, round(at / reach, 6), round(raised[s] / z, 6))
+                    at += size
+    return out
+
+
+@pytest.mark.parametrize(("most", "seed", "block_docs"), [(1.5, 17, 1000), (2.0, 3, 4), (3.5, 17, 1)])
+def test_mixing_against_brute_force(spark, monkeypatch, most, seed, block_docs):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", block_docs)
+    rows = [r for r in sample() if r[0] is not None]
+    got = {(r.doc_id, r.source, r.epoch): (r.n_tokens, round(r.mix_key, 6), round(r.weight, 6)) for r in mixing.mix(docs(spark, rows), max_epochs=most, seed=seed).collect()}
+    assert got == brute_mix(rows, most, seed, block_docs)
+
+
 def test_mixing_to_an_entropy(spark):
     table = spark.createDataFrame([(f"s{k}", 10 ** (k + 1)) for k in range(4)], "source string, tokens bigint")
     share = np.array([10.0 ** (k + 1) for k in range(4)])
