@@ -3,6 +3,9 @@ and read again as the next one's documents.
 
 A stage takes (spark, docs, sf_dir), works on all rows of docs and returns
 their columns, but the last, which returns the packed pieces.
+
+In all stages texts are read whole, however long, columns that a stage does
+not name pass through as they are, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,29 +25,39 @@ MAX_EPOCHS = 1.5
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with one main language; the model learns from four folds of
-    five of the labelled ones."""
+    five of the labelled ones.  Null and empty texts, and those without a
+    letter, go.  Null ids and repeated rows stay; ties go to the language first
+    by name."""
     model = language_id.learn(docs.where(~language_id.in_fold(F.col("doc_id"), 5, 0)))
     return language_id.keep_identified(docs, model, LEAST_SHARE)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, by a new digest index."""
+    """One document of each text, by a new digest index: that of the smallest
+    id, one with a null id only where no other has the text, and of repeated
+    rows one.  Null texts equal empty ones."""
     return exact_dedup.keep_first(docs)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8)."""
+    """One document of each group of near copies (five words, 0.8), that of
+    the smallest id.  Empty and null texts are near none.  Rows that share an
+    id stay or go together; rows with a null id stay."""
     return ngram_join.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, those of scarce sources again as far as the
-    mix asks for it."""
+    mix asks for it.  A null source is the one with the empty name; rows that
+    share id and source are used together, null ids too; an empty or null text
+    counts one token; ties go to the smaller id."""
     return mixing.mixed(docs, max_epochs=MAX_EPOCHS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents packed into sequences of 2048 tokens."""
+    """The documents packed into sequences of 2048 tokens; each row, repeated
+    ones and null ids too, has pieces of its own.  A null text counts as empty;
+    pieces of equal length are dealt in any order."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 

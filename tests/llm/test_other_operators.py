@@ -221,6 +221,24 @@ def test_pipeline(spark):
     assert len(set(clean) & set(kept)) >= 0.95 * len(clean)
 
 
+def test_pipeline_at_the_edges(spark, tmp_path):
+    import corpus_pipeline
+    from tests.llm.test_text_operators import docs, sample
+
+    docs(spark, []).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).isEmpty()
+    long = " ".join(f"wort{k}" for k in range(300_000))
+    rows = [*sample(), (None, "a text without an id, of its own", "en", None), (None, None, None, None), (200, long, "de", "b"), (200, long, "de", "b"), (12, "another text of the same id", "en", "b")]
+    docs(spark, rows).write.parquet(str(tmp_path / "edge/documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "edge")).collect()
+    kept = {r.doc_id for r in got}
+    assert None in kept and 200 in kept and not kept & {0, 1, 2, 81} and kept <= {i for i, *_ in rows}
+    # Of exact copies the smallest id stays, and of the repeated long text one row, read as often as its source is.
+    assert not kept & {4, 80} and 3 in kept
+    epochs = {r.start for r in got if r.doc_id == 200}
+    assert sum(r.doc_id == 200 for r in got) % len(epochs) == 0 and max(collections.Counter(r.start for r in got if r.doc_id == 200).values()) <= 2
+
+
 def test_registered(spark):
     assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
