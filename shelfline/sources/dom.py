@@ -16,10 +16,11 @@ _PART = re.compile(r'([\w-]+|\*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:(\*?)="([^"]*
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "classes", "children", "parent", "_below")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.classes, self._below = attrs.get("class", "").split(), None
 
     def text(self) -> str:
         return "".join(c if isinstance(c, str) else c.text() for c in self.children)
@@ -42,8 +43,11 @@ class Node:
             node = node.parent
 
     def select(self, selector: str) -> list[Node]:
-        chains = _compiled(selector)
-        return [n for n in self.walk() if any(_fits(n, chain) for chain in chains)]
+        """The elements below that a selector names; the tree is taken as
+        complete from the first call on."""
+        if self._below is None:
+            self._below = list(self.walk())
+        return [n for n in self._below if _any_fits(n, _compiled(selector))]
 
 
 @cache
@@ -57,16 +61,22 @@ def _is(node: Node, compound: list[tuple]) -> bool:
             return False
         if ident and node.attrs.get("id") != ident:
             return False
-        if cls and cls not in node.attrs.get("class", "").split():
+        if cls and cls not in node.classes:
             return False
         if attr and (attr not in node.attrs or (value and ((value not in node.attrs[attr]) if part else node.attrs[attr] != value))):
             return False
     return True
 
 
+def _any_fits(node: Node, chains: list[list[list[tuple]]]) -> bool:
+    for chain in chains:
+        if _is(node, chain[-1]) and (len(chain) == 1 or _fits(node, chain)):
+            return True
+    return False
+
+
 def _fits(node: Node, chain: list[list[tuple]]) -> bool:
-    if not _is(node, chain[-1]):
-        return False
+    """Whether the ancestors of a node that meets the last part meet the others."""
     rest = list(chain[:-1])
     for up in node.above():
         if not rest:

@@ -227,12 +227,14 @@ def _amazon(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _other(nodes: DataFrame, name: str, host: str, title: Column, price: Column, own_price: Column, counts: dict[str, Column], spans: dict[str, Column], image: Column, any_image: Column, ident, ad: dict[str, Column]) -> DataFrame:
-    """What the second and third shop have in common."""
+def _other(nodes: DataFrame, name: str, host: str, title: Column, price: Column, own_price: Column, numbers: dict[str, tuple[list[str], Column]], counts: dict[str, str], spans: dict[str, str], image: Column, any_image: Column, ident, ad: dict[str, Column]) -> DataFrame:
+    """What the second and third shop have in common.
+
+    ``numbers`` are worked out once for the nodes named with them; ``counts``
+    and ``spans`` say which of them a count's own nodes and the spans give."""
     of = lambda names, value: F.when(F.col("name").isin(names), _positive(value))
-    columns = {f"#{k}": of([k], counts[k]) for k in counts} | {f"#{k}_span": of(["span"], spans[k]) for k in spans} | {"#price": of(["price"], price)}
-    nodes = nodes.withColumns(columns)
-    price, counts, spans = F.col("`#price`"), {k: F.col(f"`#{k}`") for k in counts}, {k: F.col(f"`#{k}_span`") for k in spans}
+    nodes = nodes.withColumns({f"#{k}": of(names, value) for k, (names, value) in numbers.items()} | {"#price": of(["price"], price)})
+    price, counts, spans = F.col("`#price`"), {k: F.col(f"`#{n}`") for k, n in counts.items()}, {k: F.col(f"`#{n}`") for k, n in spans.items()}
     href = trim(_attr("href"))
     stars = F.regexp_extract(_text(), r"(\d+(?:\.\d+)?)", 1).try_cast("double")
     source = F.coalesce(F.nullif(_attr("src"), F.lit("")), F.nullif(_attr("data-src"), F.lit("")))
@@ -271,8 +273,8 @@ def _flipkart(nodes: DataFrame) -> DataFrame:
     image = F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src"))
     good = ~image.rlike("(?i)^data:|sprites|icons|logo|placeholder") & image.rlike(r"(?i)rukminim2\.flixcart\.com|flipkart\.com/images")
     return _other(
-        nodes, "Flipkart", "https://www.flipkart.com", title, numbers.price_text(_text()), _positive(rupees), {"ratings": ratings, "reviews": ratings}, {"ratings": ratings, "reviews": reviews},
-        good, ~_attr("src").rlike("(?i)^data:"), urls.flipkart_id, _advert("sponsored", ["sponsored", "ad", "advertisement"]),
+        nodes, "Flipkart", "https://www.flipkart.com", title, numbers.price_text(_text()), _positive(rupees), {"rated": (["ratings", "reviews", "span"], ratings), "reviewed": (["span"], reviews)},
+        {"ratings": "rated", "reviews": "rated"}, {"ratings": "rated", "reviews": "reviewed"}, good, ~_attr("src").rlike("(?i)^data:"), urls.flipkart_id, _advert("sponsored", ["sponsored", "ad", "advertisement"]),
     )
 
 
@@ -286,8 +288,8 @@ def _meesho(nodes: DataFrame) -> DataFrame:
     image = F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src"))
     good = ~image.rlike("(?i)^data:|sprites|icons|logo|placeholder|default") & image.rlike(r"(?i)meesho\.com")
     return _other(
-        nodes, "Meesho", "https://www.meesho.com", title, numbers.price_text(_text()), last, {"ratings": count("rating", True), "reviews": count("review", False)},
-        {"ratings": count("rating", False), "reviews": count("review", False)}, good, ~_attr("src").rlike("(?i)^data:|sprites|icons|logo|placeholder"), urls.meesho_id,
+        nodes, "Meesho", "https://www.meesho.com", title, numbers.price_text(_text()), last, {"bare": (["ratings"], count("rating", True)), "rated": (["span"], count("rating", False)), "reviewed": (["reviews", "span"], count("review", False))},
+        {"ratings": "bare", "reviews": "reviewed"}, {"ratings": "rated", "reviews": "reviewed"}, good, ~_attr("src").rlike("(?i)^data:|sprites|icons|logo|placeholder"), urls.meesho_id,
         _advert("sponsored|promoted", ["sponsored", "ad", "promoted", "advertisement"]) | {"gold": _text().rlike("(?i)meesho gold")},
     )
 
