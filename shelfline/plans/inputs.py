@@ -118,3 +118,38 @@ SELECT p_partkey AS page_id, p_size, p_name,
       '</span><span class="RatingsCount">', CAST(p_size AS STRING), '.5K Ratings</span>', CASE WHEN p_size % 10 = 0 THEN '<b class="GoldBadge">Meesho Gold</b>' ELSE '' END, '<img data-src="https://images.meesho.com/', CAST(p_partkey AS STRING), '.webp"></div></body>') END AS html
 FROM {{part}}
 """
+
+#: Cards whose fields lie in other places than usual: a kind of card each.
+CARD_KINDS = """
+SELECT p_partkey AS page_id, p_size, p_name, CASE WHEN p_partkey % 12 < 4 THEN 'https://www.amazon.in/s?k=x' WHEN p_partkey % 12 < 8 THEN 'https://www.flipkart.com/search?q=x' ELSE 'https://www.meesho.com/search?q=x' END AS url,
+  concat(CASE WHEN p_partkey % 12 < 4 THEN '<div data-component-type="s-search-result">' WHEN p_partkey % 12 < 8 THEN '<div data-id="f">' ELSE '<div data-id="m"><a href="/shirt/p/abc123"></a>' END, CASE p_partkey % 12
+    WHEN 0 THEN concat('<span class="a-size-base-plus a-color-base a-text-normal"> Sponsored  ', p_name, ' plus</span><span class="a-price"><span class="a-price-whole">1,', lpad(CAST(p_size AS STRING), 3, '0'),
+      '</span></span><i class="a-icon-star"><span class="a-icon-alt">4.1 out of 5 stars</span></i><a href="/x#customerReviews"><span>3,', lpad(CAST(p_size AS STRING), 3, '0'), '</span></a>')
+    WHEN 1 THEN concat('<div><h2><span>TV 42</span></h2><i> with a stand and ', p_name, '</i></div><span class="a-price" data-a-strike="true"><span class="a-offscreen">₹9,999</span></span><span class="a-price-whole">2,', lpad(CAST(p_size AS STRING), 3, '0'),
+      '</span><i aria-label="3.5 out of 5 stars"></i>')
+    WHEN 2 THEN concat('<h2><span>', p_name, ' wide screen set</span><div>9,999 ratings</div></h2><div>', CAST(p_size * 100 AS STRING),
+      ' reviews</div><i class="a-icon-star-small"><span class="a-icon-alt">6.5 out of 5 stars</span></i><i class="a-icon-star-medium"><span class="a-icon-alt">4</span></i>')
+    WHEN 3 THEN '<h2><span>Sponsored</span></h2>'
+    WHEN 4 THEN concat('<div class="xproduct-title"> ', p_name, '   x </div><span class="mainprice">(₹1,', lpad(CAST(p_size AS STRING), 3, '0'), ')</span><b class="big-rating">4.2 stars</b><span class="rating-count">', CAST(p_size AS STRING),
+      ' Ratings</span><span class="review-count">', CAST(p_size + 1 AS STRING), ' Ratings</span>')
+    WHEN 5 THEN concat('<a>12345</a><a>abcd</a><a>', p_name, ' by link</a><span>', CAST(p_size AS STRING), ' Ratings</span><span>', CAST(p_size + 1 AS STRING), ' Reviews</span><i>Only ₹ 2,', lpad(CAST(p_size AS STRING), 3, '0'), ' today</i>')
+    WHEN 6 THEN concat('<i class="_2cLu-l">ab</i><i class="_2cLu-l">', p_name, '</i><i class="_1vC4OE">₹0</i><span class="lowprice">₹', CAST(p_size + 700 AS STRING), '</span><i class="_1nLEql">9 out</i><b class="user-rating">3</b><span>₹5 off 10 ratings</span><span>5% of 10 reviews</span>')
+    WHEN 7 THEN '<a>1234567</a>'
+    WHEN 8 THEN concat('<h4>₹99</h4><h4>', p_name, ' kurti set</h4><div class="sellingPrice">₹', CAST(p_size + 200 AS STRING), '</div>')
+    WHEN 9 THEN concat('<span class="ItemName">12345</span><span class="itemname">', p_name, '</span><i>₹500 ₹ ', CAST(p_size + 300 AS STRING), ' ₹0</i>')
+    WHEN 10 THEN concat('<p>plain text</p><i data-testid="productTitle"> ', p_name, '  saree</i><span class="oldMRP">₹ 1,', lpad(CAST(p_size AS STRING), 3, '0'), '</span>')
+    ELSE '<h3>12</h3><h2>₹ 20</h2>' END, '</div>') AS html
+FROM {part}
+"""
+
+#: The third shop's pages and their links to a next page: a kind each.
+NEXT_LINKS = """
+SELECT p_partkey AS page_id, 'https://www.meesho.com/search?q=x' AS url, CASE p_partkey % 6
+  WHEN 0 THEN concat('<a href="/first">1</a><a rel="next" href="/search?page=', CAST(p_size AS STRING), '">Next</a>')
+  WHEN 1 THEN concat('<a rel="next" href="/x" aria-disabled="true">Next</a><button class="nextBtn" href="/pl/', CAST(p_size AS STRING), '">→</button>')
+  WHEN 2 THEN concat('<a class="Nextlink" href="https://other.example/2">Next</a><a href="https://www.meesho.com/search?page=', CAST(p_size AS STRING), '"> NEXT PAGE </a>')
+  WHEN 3 THEN '<a href="/z">Next one</a>'
+  WHEN 4 THEN concat('<a rel="next">Next</a><a href="/q?page=', CAST(p_size AS STRING), '">next</a>')
+  ELSE '<a rel="next" href="/a">Onward</a>' END AS html
+FROM {part}
+"""

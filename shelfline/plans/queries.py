@@ -617,16 +617,73 @@ def escape_html(spark, sf):
     return _products(spark, sf).select("ordinal", formatting.escape_html(F.col("title")).alias("safe"))
 
 
-@query()
+def _safe_sql(c: str) -> str:
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        c = f"replace({c}, '{mark}', '{entity}')"
+    return c
+
+
+_CARD_ROWS = f"SELECT * EXCLUDE (score, category, overlap, exact, penalty) FROM ({relevance_sql(_VALID, _Q)}) WHERE category <> 'LOW' AND NOT sponsored"
+_CARD = f"""SELECT rank, '<div class="product-card" data-rank="' || rank || '"><div class="product-rank"><div class="rank-badge rank-' || CASE WHEN rank <= 3 THEN rank::VARCHAR ELSE 'default' END
+  || '" aria-hidden="true">#' || rank || '</div><span class="sr-only">Rank ' || rank || '</span></div>'
+  || CASE WHEN image <> '' THEN '<div class="product-image"><img src="' || {_safe_sql("image")} || '" alt="' || {_safe_sql("title")} || '" loading="lazy"></div>' ELSE '<div class="product-image product-image-empty" aria-hidden="true">📦</div>' END
+  || '<div class="product-info"><div class="product-title">' || {_safe_sql("title")} || '</div>'
+  || CASE WHEN price IS NULL THEN '<div class="product-price unavailable">Price unavailable</div>' ELSE '<div class="product-price">₹' || {_indian_sql("price")} || '</div>' END
+  || CASE WHEN feedback_volume IS NULL THEN '<div class="review-count unavailable">Review count unavailable</div>' ELSE '<div class="review-count">' || {_indian_sql("feedback_volume::DOUBLE")} || ' customer feedback</div>' END
+  || CASE WHEN rating > 0 THEN '<div class="product-rating"><span class="rating-stars" aria-hidden="true">★</span><span class="rating-value">' || format('{{:.1f}}', rating) || ' average rating</span></div>' ELSE '' END
+  || coalesce('<div class="product-price-insight">' || CASE WHEN price = lowest THEN 'Lowest priced' WHEN floor(average - price + 0.5) > 0 THEN '₹' || {_indian_sql("floor(average - price + 0.5)")} || ' below average'
+       WHEN floor(average - price + 0.5) < 0 THEN '₹' || {_indian_sql("-floor(average - price + 0.5)")} || ' above average' END || '</div>', '')
+  || '</div><div class="product-actions">' || coalesce('<a class="view-btn" href="' || {_safe_sql("coalesce(nullif(url, ''), nullif(canonical_url, ''))")} || '" target="_blank" rel="noopener noreferrer">View on ' || {_safe_sql("source")} || '</a>', '') || '</div></div>' AS html
+  FROM ({ranked_sql(_CARD_ROWS)}) r, (SELECT lowest, average FROM ({stats_sql(_CARD_ROWS)})) s WHERE rank <= 4"""
+
+
+@query(_CARD)
 def page_cards(spark, sf):
     return pipeline.cards(_products(spark, sf), 1, QUERY)
 
 
+_GROUPED = "SELECT *, CASE WHEN ordinal % 11 = 0 THEN -1 ELSE ordinal % 100 END AS grp FROM"
+_CELL = """'<div class="price-cell"><span class="price-label">{}</span><span class="price-value">₹' || {} || '</span></div>'"""
+
+
+@query(f"""SELECT grp, CASE WHEN has_prices THEN '<div class="price-row">' || {" || ".join(_CELL.format(n.capitalize(), _indian_sql(n)) for n in ("lowest", "average", "highest"))} || '</div>'
+  ELSE '<div class="price-insights-unavailable">Price insights unavailable</div>' END AS html FROM ({stats_sql(f"{_GROUPED} ({PRODUCTS})", "grp")})""")
+def price_insights_html(spark, sf):
+    stats = insights.price_stats(_products(spark, sf).withColumn("grp", F.when(F.col("ordinal") % 11 == 0, -1).otherwise(F.col("ordinal") % 100)), ["grp"])
+    return stats.select("grp", formatting.stats_html(F.col("has_prices"), F.col("lowest"), F.col("average"), F.col("highest")).alias("html"))
+
+
+@query(f"""SELECT ordinal, CASE WHEN used = floor(used) THEN CAST(used AS BIGINT)::VARCHAR ELSE format('{{:.1f}}', used) END || '%' AS line FROM (
+  SELECT ordinal, floor(u * 10 + 0.5) / 10 AS used FROM (SELECT ordinal, CASE WHEN {SQL_PRICE_OK} AND ordinal % 50 > 0 THEN price / (ordinal % 50 * 37.0::DOUBLE) * 100 END AS u FROM ({PRODUCTS})))""")
+def budget_utilization_text(spark, sf):
+    return _products(spark, sf).select("ordinal", insights.utilization_text(F.col("price"), ((F.col("ordinal") % 50) * 37.0).cast("double")).alias("line"))
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'rank-1' WHEN 1 THEN 'rank-2' WHEN 2 THEN 'rank-3' ELSE 'rank-default' END AS class FROM part")
+def rank_classes(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), ranking.rank_class(F.col("p_partkey") % 6 + 1).alias("class"))
+
+
+_TYPED = "CASE id % 4 WHEN 0 THEN ' a ' WHEN 1 THEN '  red   shoes ' WHEN 2 THEN NULL ELSE 'ok' END"
+
+
+@query(f"""SELECT id, CASE WHEN length(trim({_TYPED})) >= 2 THEN {_squeezed(_TYPED)} ELSE coalesce({_value_sql("k")}, {_value_sql("q")}, {_value_sql("search")}, {_ANY}) END AS query FROM ({_URLS})""")
+def typed_search_query(spark, sf):
+    return rows(spark, sf, inputs.PAGE_URLS).select("id", urls.search_query_of(F.expr(_TYPED), F.col("url")).alias("query"))
+
+
 @query(rf"SELECT id, regexp_replace(raw, 'rs\.?', '', 'i') AS dropped FROM ({duck(inputs.PRICE_TEXTS)})")
 def drop_first_match(spark, sf):
     return rows(spark, sf, inputs.PRICE_TEXTS).select("id", drop_first(F.col("raw"), r"rs\.?").alias("dropped"))
 
 
+def _made(spark, sf, sql: str) -> DataFrame:
+    """Pages made of parts.  Few parts lie in one file, so they are dealt to
+    all cores before the pages are made of them; read pages are not shuffled."""
+    part = table(spark, sf, "part")
+    return spark.sql(sql, part=part.repartition(spark.sparkContext.defaultParallelism, "p_partkey"))
+
+
 _PAGES = duck(inputs.SHOP_PAGES)
 _NO = "lpad(page_id::VARCHAR, 9, '0')"
 
@@ -640,7 +697,7 @@ _NO = "lpad(page_id::VARCHAR, 9, '0')"
   upper(CASE page_id % 3 WHEN 0 THEN 'B' || {_NO} WHEN 1 THEN 'acc' || page_id ELSE lpad(page_id::VARCHAR, 4, 'z') END) AS product_id, p_size % 10 = 0 AS sponsored,
   CASE page_id % 3 WHEN 0 THEN 'Amazon' WHEN 1 THEN 'Flipkart' ELSE 'Meesho' END AS source FROM (SELECT i.*, p_type FROM ({_PAGES}) i JOIN part ON p_partkey = page_id)""")
 def html_products(spark, sf):
-    found = sites.extract_products(rows(spark, sf, inputs.SHOP_PAGES))
+    found = sites.extract_products(_made(spark, sf, inputs.SHOP_PAGES))
     return found.select("ordinal", "title", "price", "rating", "rating_count", "review_count", "image", "url", "canonical_url", "product_id", "sponsored", "source")
 
 
@@ -648,7 +705,27 @@ def html_products(spark, sf):
   CASE page_id % 3 WHEN 0 THEN 'https://www.amazon.in/s?k=bolts&page=2' WHEN 1 THEN 'https://www.flipkart.com/search?q=red&page=2' END AS next_page_url,
   CASE page_id % 3 WHEN 0 THEN CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'bolts' END WHEN 1 THEN 'red bolts' ELSE 'bolts x' END AS search_query FROM ({_PAGES})""")
 def html_scan(spark, sf):
-    return sites.scan_pages(rows(spark, sf, inputs.SHOP_PAGES))
+    return sites.scan_pages(_made(spark, sf, inputs.SHOP_PAGES))
+
+
+_KIND = "CASE page_id % 12 "
+
+
+@query(f"""SELECT page_id * 1048576 AS ordinal, {_squeezed(_KIND + "WHEN 0 THEN p_name || ' plus' WHEN 1 THEN 'TV 42 with a stand and ' || p_name WHEN 2 THEN p_name || ' wide screen set9,999 ratings' WHEN 4 THEN p_name || ' x' WHEN 5 THEN p_name || ' by link' WHEN 8 THEN p_name || ' kurti set' WHEN 10 THEN p_name || ' saree' ELSE p_name END")} AS title,
+  {_KIND} WHEN 0 THEN 1000 + p_size WHEN 1 THEN 2000 + p_size WHEN 4 THEN 1000 + p_size WHEN 5 THEN 2000 + p_size WHEN 6 THEN 700 + p_size WHEN 8 THEN 200 + p_size WHEN 9 THEN 300 + p_size WHEN 10 THEN 1000 + p_size END::DOUBLE AS price,
+  {_KIND} WHEN 0 THEN 4.1 WHEN 1 THEN 3.5 WHEN 2 THEN 4 WHEN 4 THEN 4.2 WHEN 6 THEN 3 END::DOUBLE AS rating,
+  {_KIND} WHEN 0 THEN 3000 + p_size WHEN 1 THEN 2000 + p_size WHEN 2 THEN 100 * p_size WHEN 4 THEN p_size WHEN 5 THEN p_size END::DOUBLE AS rating_count,
+  {_KIND} WHEN 4 THEN p_size + 1 WHEN 5 THEN p_size + 1 END::DOUBLE AS review_count
+  FROM ({duck(inputs.CARD_KINDS)}) WHERE page_id % 12 NOT IN (3, 7, 11)""")
+def html_card_kinds(spark, sf):
+    """Every tier of the fields; cards 3, 7 and 11 have no title."""
+    return sites.extract_products(_made(spark, sf, inputs.CARD_KINDS)).select("ordinal", "title", "price", "rating", "rating_count", "review_count")
+
+
+@query("""SELECT p_partkey AS page, CASE p_partkey % 6 WHEN 0 THEN 'https://www.meesho.com/search?page=' || p_size WHEN 1 THEN 'https://www.meesho.com/pl/' || p_size WHEN 2 THEN 'https://www.meesho.com/search?page=' || p_size
+  WHEN 4 THEN 'https://www.meesho.com/q?page=' || p_size END AS next_page_url FROM part""")
+def html_next_links(spark, sf):
+    return sites.scan_pages(_made(spark, sf, inputs.NEXT_LINKS)).select("page", "next_page_url")
 
 
 def _nodes(spark, sf, *picks):

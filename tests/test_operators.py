@@ -159,7 +159,7 @@ def test_crawl(spark):
     assert crawl.pages == 3 and crawl.query == "widget" and not crawl.read("https://www.amazon.in/s?k=widget#x")
 
 
-@pytest.mark.parametrize("name", ["ranked_products", "full_pipeline", "price_stats", "canonical_page_url"])
+@pytest.mark.parametrize("name", ["ranked_products", "full_pipeline", "price_stats", "canonical_page_url", "page_cards", "html_card_kinds", "html_next_links", "price_insights_html", "typed_search_query"])
 def test_queries_against_duckdb(spark, name):
     import duckdb
 
