@@ -74,8 +74,9 @@ def place(df: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SIZE
     table = df.sparkSession.createDataFrame(
         list(enumerate(lookup_table(shards, size, weights).tolist())), "slot int, shard int"
     )
-    keyed = df.withColumn("__slot", slot_of(F.col(key), size)).drop("slot", "shard").withColumnRenamed("__slot", "slot")
-    return keyed.join(F.broadcast(table), "slot").select(*[F.col(f"`{c}`") for c in keyed.columns if c != "slot"], "slot", "shard")
+    others = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
+    keyed = df.select(*others, slot_of(F.col(key), size).alias("slot"))
+    return keyed.join(F.broadcast(table), "slot").select(*others, "slot", "shard")
 
 
 def write_sharded(df: DataFrame, key: str, shards: Sequence[str], path: str, files_per_shard: int = 8) -> None:
@@ -84,5 +85,6 @@ def write_sharded(df: DataFrame, key: str, shards: Sequence[str], path: str, fil
     key.  Every row is written, repeated ones and null keys too, with its
     columns and ``slot`` (see :func:`place`); an empty table writes no row.
     """
-    placed = place(df.withColumn("__file", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if df.schema[c].dataType.typeName() != "map"]), F.lit(files_per_shard))), key, shards)
-    placed.repartition(len(shards) * files_per_shard, "shard", "__file").drop("__file").write.partitionBy("shard").parquet(path)
+    placed = place(df, key, shards)
+    hashed = [F.col(f"`{f.name}`") for f in placed.schema.fields if f.dataType.typeName() != "map"]
+    placed.repartition(len(shards) * files_per_shard, "shard", F.pmod(F.xxhash64(*hashed), F.lit(files_per_shard))).write.partitionBy("shard").parquet(path)

@@ -176,6 +176,7 @@ def test_placing(spark):
     place = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
     assert sorted(map(str, ((r.doc_id, r.slot, r.shard) for r in got))) == sorted(map(str, ((i, place(i), int(lookup[place(i)])) for i, *_ in rows)))
     assert sharding.place(table.limit(0), "doc_id", queries.SHARDS).isEmpty()
+    assert sharding.place(table.withColumn("__slot", F.lit("own")), "doc_id", queries.SHARDS).first()["__slot"] == "own"
     # A key by one of the two names is read before it is replaced.
     for key in ("slot", "shard"):
         named = spark.createDataFrame([("k1", "z"), (None, "z"), ("k" * 100_000, "z")], f"{key} string, other string")
