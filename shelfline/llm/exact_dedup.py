@@ -12,7 +12,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shelfline.llm.common import shared_dir, stored
 
@@ -105,13 +104,11 @@ class DigestIndex:
         (same id and text) one is kept.  Only ``id_col`` and ``text_col`` are
         read.  An empty batch adds and returns nothing.
         """
-        keyed = stored(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(text_sha256(F.col(text_col))).alias("digest")), "digests")
-        groups = stored(
-            keyed.groupBy("digest", "doc_id").agg(F.count("*").alias("same"))
-            .groupBy("digest")
-            .agg(F.min("doc_id").alias("first_id"), F.sum("same").alias("group_size"), F.max("same").alias("same")),
-            "digest-groups",
-        )
+        read = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(text_sha256(F.col(text_col))).alias("digest"))
+        # The number of a row, once written, tells repeated rows apart.
+        keyed = stored(read.withColumn("row", F.monotonically_increasing_id()), "digests")
+        first_row = F.coalesce(F.min_by("row", "doc_id"), F.min("row"))
+        groups = stored(keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), first_row.alias("first_row"), F.count("*").alias("group_size")), "digest-groups")
         if self.batches >= BATCHES:
             self.compact()
         if self.table is None:
@@ -122,13 +119,9 @@ class DigestIndex:
         fresh = groups.join(self.rows().hint("merge"), "digest", "left_anti").select("digest", F.col("first_id").alias("keep_id"))
         self._append(fresh)
         # One row a digest on the right; a hot text's rows on the left are split by AQE's skew handling.
-        known = stored(groups.join(self.rows().hint("merge"), "digest").select("digest", "keep_id", "first_id", "group_size", "same"), "known-digests")
-        out = keyed.join(known, "digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("first_id").eqNullSafe(F.col("keep_id")))
-        columns = ["doc_id", "digest", "keep_id", "group_size", "kept"]
-        if groups.where("same > 1").isEmpty():
-            return out.select(columns)
-        again = out.where("same > 1").withColumn("__n", F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy("kept")))
-        return out.where("same = 1").select(columns).unionByName(again.withColumn("kept", F.col("kept") & (F.col("__n") == 1)).select(columns))
+        known = stored(groups.join(self.rows().hint("merge"), "digest").select("digest", "keep_id", "first_id", "first_row", "group_size"), "known-digests")
+        kept = (F.col("row") == F.col("first_row")) & F.col("first_id").eqNullSafe(F.col("keep_id"))
+        return keyed.join(known, "digest").select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
 def keep_first(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

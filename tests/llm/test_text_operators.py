@@ -142,6 +142,10 @@ def test_exact_dedup(spark):
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in again.collect()} == {(900, 3, 1, False), (901, 901, 2, True), (902, 901, 2, False)}
     assert index.rows().groupBy("digest").count().where("count > 1").isEmpty()
     assert index.add(docs(spark, [])).isEmpty()
+    # Of rows repeated over many tasks one stays, of those with a null id too.
+    many = docs(spark, [(950, "hot", "en", "a")] * 40 + [(None, "hot", "en", "a")] * 5 + [(None, "colder", "en", "a")] * 5).repartition(6)
+    stay = [(r.doc_id, r.keep_id, r.group_size) for r in index.add(many).collect() if r.kept]
+    assert sorted(stay, key=str) == [(950, 950, 45), (None, None, 5)]
     with pytest.raises(ValueError):
         exact_dedup.DigestIndex(spark, index.path, 8)
     assert exact_dedup.DigestIndex(spark, index.path).buckets == 4
