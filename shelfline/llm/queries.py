@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import exact_dedup, language_id, lm_scoring, mixing, ngram_join, packing, sharding, token_counts, topk, warc
+from shelfline.llm import exact_dedup, language_id, lm_scoring, mixing, ngram_join, packing, sharding, token_counts, topk, vector_codes, warc
 from shelfline.llm.common import shared_dir, stored
 
 #: Shards that op10 places documents on.
@@ -145,6 +145,45 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, by 16 codebooks of 64 entries."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql() -> str:
+    """Every part against every entry; two rounds move the entries."""
+    assigned = """
+n{r} AS (
+  SELECT x.vec_id, x.part, x.v, min(struct_pack(d := list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := b.entry)) AS best
+  FROM parts x JOIN b{r} b ON b.part = x.part GROUP BY x.vec_id, x.part, x.v
+)"""
+    moved = """
+b{s} AS (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN (
+    SELECT part, e AS entry, list(c ORDER BY k) AS v FROM (
+      SELECT part, best.e AS e, k, CAST(floor(sum(v[k])::DOUBLE / count(*)) AS BIGINT) AS c FROM n{r}, (SELECT unnest(range(1, (SELECT max(len(v)) FROM parts) + 1)) AS k) GROUP BY ALL
+    ) GROUP BY ALL
+  ) m ON m.part = b.part AND m.entry = b.entry
+)"""
+    rounds = ",".join(assigned.format(r=r) + "," + moved.format(r=r, s=r + 1) for r in range(2))
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS v FROM kept, (SELECT unnest(range(0, 16)) AS part)
+), b0 AS (
+  SELECT p.part, f.entry, p.v FROM parts p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64) f ON f.vec_id = p.vec_id
+),{rounds},{assigned.format(r=2)}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM n2 GROUP BY vec_id
+), books AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS h FROM b2
+)
+SELECT c.vec_id, code, error, (sum(error) OVER (PARTITION BY k.label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM coded c JOIN kept k ON k.vec_id = c.vec_id, books
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -157,8 +196,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_token_counts": op9_token_counts,
         "op10_sharding": op10_sharding,
+        "op11_vector_codes": op11_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_warc_assembly": OP7_SQL, "op8_exact_top_k": OP8_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_warc_assembly": OP7_SQL, "op8_exact_top_k": OP8_SQL, "op11_vector_codes": _op11_sql()}
