@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import exact_dedup, language_id, lm_scoring, mixing, ngram_join, packing, sharding, token_counts, topk, vector_codes, warc
+from shelfline.llm import divergence, exact_dedup, language_id, lm_scoring, mixing, ngram_join, packing, sharding, token_counts, topk, vector_codes, warc
 from shelfline.llm.common import shared_dir, stored
 
 #: Shards that op10 places documents on.
@@ -184,6 +184,43 @@ FROM coded c JOIN kept k ON k.vec_id = c.vec_id, books
 """
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language diverge, in terms of 30 documents and more."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), words AS (SELECT id, lang, source, unnest(t) AS term FROM d
+), kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 30
+), v AS (SELECT l.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept k ON k.lang = l.lang GROUP BY ALL
+), g AS (SELECT DISTINCT lang, source FROM d
+), c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL
+), per AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), gp AS (
+  SELECT p.*, 1 + (1000000000 * (n + 5)::HUGEINT) // (t.total + 5 * v.v) AS p FROM per p
+  JOIN (SELECT lang, source, sum(n) AS total FROM per GROUP BY ALL) t ON t.lang = p.lang AND t.source = p.source JOIN v ON v.lang = p.lang
+), lq AS (
+  SELECT a.lang, a.term, 1 + (1000000000 * (a.n + 5)::HUGEINT) // (t.total + 5 * v.v) AS q FROM (SELECT lang, term, sum(n) AS n FROM per GROUP BY ALL) a
+  JOIN (SELECT lang, sum(n) AS total FROM per GROUP BY ALL) t ON t.lang = a.lang JOIN v ON v.lang = a.lang
+), vecs AS (SELECT lang, source, list(p::BIGINT ORDER BY term) AS ps FROM gp GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    coalesce(list_sum(list_transform(list_zip(x.ps, y.ps), lambda z: abs(z[1] - z[2]))), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN vecs x ON x.lang = a.lang AND x.source = a.source LEFT JOIN vecs y ON y.lang = b.lang AND y.source = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, (p.p - q.q)::BIGINT FROM gp p JOIN lq q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+) WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -197,8 +234,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_sharding": op10_sharding,
         "op11_vector_codes": op11_vector_codes,
+        "op12_source_divergence": op12_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_warc_assembly": OP7_SQL, "op8_exact_top_k": OP8_SQL, "op11_vector_codes": _op11_sql()}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_warc_assembly": OP7_SQL, "op8_exact_top_k": OP8_SQL, "op11_vector_codes": _op11_sql(), "op12_source_divergence": OP12_SQL}
