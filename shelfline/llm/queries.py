@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import divergence, exact_dedup, language_id, lm_scoring, mixing, ngram_join, packing, sharding, token_counts, topk, vector_codes, warc
+from shelfline.llm import divergence, exact_dedup, language_id, lm_scoring, mixing, ngram_join, packing, pii, sharding, token_counts, topk, vector_codes, warc
 from shelfline.llm.common import shared_dir, stored
 
 #: Shards that op10 places documents on.
@@ -221,6 +221,11 @@ SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (
 """
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data in every document."""
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -235,6 +240,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": op10_sharding,
         "op11_vector_codes": op11_vector_codes,
         "op12_source_divergence": op12_source_divergence,
+        "op13_personal_data": op13_personal_data,
     }
 
 
