@@ -302,7 +302,7 @@ def _estimate(kind: np.ndarray, votes: np.ndarray, n: np.ndarray) -> SpanModel:
             of = kind == k
             w = np.stack([n[of] * (1 - p[of]), n[of] * p[of]])
             for b in (0, 1):
-                those = w[:, base[of] == b]
+                those = w[:, (base[of] == b) & ~no[of, 1]]  # the disproved are no matter of chance
                 prior[k, b] = (those[1].sum() + DOUBT[b]) / (those.sum() + sum(DOUBT))
             said, denied = w @ yes[of], w @ no[of]
             rates[k] = ((said + np.array([[bad], [good]])) / (said + denied + good + bad)).T
