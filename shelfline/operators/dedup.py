@@ -35,6 +35,11 @@ def completeness() -> Column:
     )
 
 
+def merit() -> Column:
+    """What makes the better of two rows of a key: organic, complete, first."""
+    return F.struct((~F.coalesce(F.col("is_sponsored"), F.lit(False))).alias("organic"), completeness().alias("points"), (-F.col("ordinal")).alias("order"))
+
+
 def deduplicate(df: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """One whole row a key (and ``within``): an organic one before a sponsored,
     then the more complete, then the first.  It takes the ordinal of the
@@ -43,9 +48,8 @@ def deduplicate(df: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     A keyed reduce, so copies are combined before the shuffle and no key
     needs its rows together.
     """
-    better = F.struct(~F.coalesce(F.col("is_sponsored"), F.lit(False)), completeness(), -F.col("ordinal"))
     rest = [c for c in df.columns if c != "ordinal" and c not in within]
-    best = F.max_by(F.struct(*rest), better).alias("best")
+    best = F.max_by(F.struct(*rest), merit()).alias("best")
     grouped = df.groupBy(*within, product_key().alias("__key")).agg(F.min("ordinal").alias("ordinal"), best)
     parts = {"ordinal": F.col("ordinal")} | {c: F.col(c) for c in within} | {c: F.col(f"best.{c}") for c in rest}
     return grouped.select(*[parts[c].alias(c) for c in df.columns])

@@ -24,7 +24,11 @@ from shelfline.schema import raw_products
 
 def candidates(raw: DataFrame, query: str | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
     """The rows that are ranked."""
-    unique = deduplicate(raw_products(raw))
+    return filtered(deduplicate(raw_products(raw)), query, low, high)
+
+
+def filtered(unique: DataFrame, query: str | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Those of products without duplicates that are ranked."""
     return organic(in_budget(relevant(validate(unique), query), low, high))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,10 @@ from shelfline.functions.js import drop_first
 from shelfline.functions.lexicon import ACCESSORIES, AUDIO_BY_LENGTH, GROUP_OF, MESSAGES, STOPWORDS
 from shelfline.operators import dedup, filters, insights, ranking
 from shelfline.plans import inputs, pipeline
+from shelfline.plans.storage import shared_dir, stored
 from shelfline.schema import raw_products
 from shelfline.sources import nodes, sites
-from shelfline.streaming import incremental
+from shelfline.streaming import incremental, settle
 
 QUERY = "wireless ear phones under 1500"
 CASE_QUERY = "red widget case"
@@ -765,11 +767,47 @@ def stream_ranked(spark, sf):
     return incremental.rank_files(spark, copies).select("ordinal", "rank", "feedback_volume")
 
 
-@query("""SELECT user_id, started, least(started + INTERVAL 60 HOUR, coalesce(last + INTERVAL 12 HOUR, started + INTERVAL 60 HOUR)) AS settled, grown FROM (
+#: Copies in the batches of a stream: first some that no ranking takes, then the others.
+_ARRIVAL = "CASE WHEN ordinal % 9 = 0 THEN CASE WHEN ordinal % 2 = 0 THEN 0 ELSE 3 END ELSE 1 + ordinal % 2 END"
+
+
+def _after_batch(k: int) -> str:
+    so_far = f"SELECT * FROM ({COPIES_RAW}) WHERE {_ARRIVAL} <= {k}"
+    return f"SELECT {k} AS batch, ordinal, rank, feedback_volume FROM ({ranked_sql(f'SELECT * FROM ({valid_sql(dedup_sql(so_far))}) WHERE NOT sponsored')})"
+
+
+@query(" UNION ALL ".join(_after_batch(k) for k in range(4)))
+def stream_rankings(spark, sf):
+    """The ranking after every batch of a stream; the first holds no product
+    that can be ranked, the last none that adds to it."""
+    copies = rows(spark, sf, inputs.COPIES).transform(raw_products)
+    batches = [copies.where(F.expr(_ARRIVAL) == k) for k in range(4)]
+    found = incremental.rank_batches(spark, batches)
+    each = [r.select(F.lit(k).alias("batch"), "ordinal", "rank", "feedback_volume") for k, r in enumerate(found)]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+_SETTLED = """SELECT user_id, started, least(started + INTERVAL 60 HOUR, coalesce(last + INTERVAL 12 HOUR, started + INTERVAL 60 HOUR)) AS settled, grown FROM (
   SELECT user_id, started, max(ts) FILTER (WHERE rn > 1 AND NOT late) AS last, count(*) FILTER (WHERE rn > 1 AND NOT late) AS grown FROM (
     SELECT *, bool_or(gap OR ts > started + INTERVAL 60 HOUR) OVER (PARTITION BY user_id, run ORDER BY ts ROWS UNBOUNDED PRECEDING) AS late FROM (
       SELECT *, first_value(ts) OVER w AS started, row_number() OVER w AS rn, coalesce(row_number() OVER w > 2 AND ts > lag(ts) OVER w + INTERVAL 12 HOUR, false) AS gap FROM (
         SELECT *, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM events) WHERE run > 0
-      WINDOW w AS (PARTITION BY user_id, run ORDER BY ts))) GROUP BY user_id, started)""")
+      WINDOW w AS (PARTITION BY user_id, run ORDER BY ts))) GROUP BY user_id, started)"""
+
+
+@query(_SETTLED)
 def settle_times(spark, sf):
     return incremental.settle_times(table(spark, sf, "events"), "user_id", "ts", F.col("event_type") == "view", "12 HOURS", "60 HOURS")
+
+
+@query(_SETTLED)
+def stream_settle_times(spark, sf):
+    """The same on a stream: four batches by time, each event up to a day out of order."""
+    events = table(spark, sf, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    hours = F.timestamp_diff("HOUR", F.lit(first).cast("timestamp"), F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(24))
+    whole = max(1, int((last - first).total_seconds() // 3600) + 24) if first else 1
+    number = F.least(F.floor(hours * 4 / whole), F.lit(3)).cast("int")
+    dealt = stored(events.withColumn("__batch", number), "dealt-events")
+    batches = [dealt.where(F.col("__batch") == k).drop("__batch") for k in range(4)]
+    return settle.settle_batches(spark, batches, shared_dir(spark, "settle"), "user_id", "ts", F.col("event_type") == "view", "12 HOURS", "60 HOURS", "2 DAYS")

@@ -1,8 +1,8 @@
 """Pages that arrive one after another.
 
-Ranking is never incremental: what arrives is appended to the raw rows and the
-whole pipeline runs over their union, so a late page can hold the first rank.
-What fails or adds nothing leaves earlier results as they are.
+Ranks are never patched: they are those of all rows so far, so a late page can
+hold the first rank.  What fails or adds nothing leaves earlier results as
+they are.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from shelfline.plans.pipeline import rank_products
 from shelfline.plans.storage import shared_dir, stored
 from shelfline.schema import raw_products
 from shelfline.sources.sites import extract_products, scan_pages
+from shelfline.streaming.state import RankState
 
 
 @dataclass
@@ -79,33 +80,54 @@ class Crawl:
 def rank_stream(stream: DataFrame, folder: str, **options) -> DataStreamWriter:
     """Ranks a stream of raw product rows after each batch.
 
-    A batch is written under its number, so one that is tried again replaces
-    itself; the ranking of all batches goes to a folder of that number, and an
-    empty one is not written: the last good one stays (:func:`last_ranking`).
+    A batch reads the state by key (:class:`RankState`) and itself, no earlier
+    batch.  Its changes are written under its number, so one that is tried
+    again replaces itself; the ranking after it goes to a folder of that
+    number, and an empty one is not written: the last good one stays
+    (:func:`last_ranking`).
     """
-    raw, ranked = f"{folder}/raw", f"{folder}/ranked"
+    ranked, state = f"{folder}/ranked", RankState(stream.sparkSession, f"{folder}/state", **options)
     # What there is before any batch: no row, but the columns of a ranking.
     none = stream.sparkSession.createDataFrame([], stream.schema)
     rank_products(none, **options).write.mode("overwrite").parquet(f"{ranked}/batch=-1")
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{raw}/batch={number}")
-        every = batch.sparkSession.read.schema(batch.schema).option("basePath", raw).parquet(f"{raw}/batch=*")
-        result = stored(rank_products(every, **options), "stream-ranked")
+        state.merge(batch, number)
+        result = stored(state.ranked(number), "stream-ranked")
         if not result.isEmpty():
             result.write.mode("overwrite").parquet(f"{ranked}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/progress")
 
 
-def last_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    """The last ranking of :func:`rank_stream` that has rows; no row, with the
-    columns of one, where there was none."""
+def last_ranking(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame:
+    """The last ranking of :func:`rank_stream` that has rows, or the last up to
+    a batch; no row, with the columns of one, where there was none."""
     every = spark.read.option("basePath", f"{folder}/ranked").parquet(f"{folder}/ranked/batch=*")
+    if upto is not None:
+        every = every.where(F.col("batch") <= upto)
     last = every.agg(F.max("batch")).first()[0]
     return every.where(F.col("batch") == F.lit(last)).drop("batch")
 
 
+def rank_batches(spark: SparkSession, batches: list[DataFrame], **options) -> list[DataFrame]:
+    """Runs :func:`rank_stream` over batches that arrive one after another;
+    the last good ranking after each of them."""
+    folder = shared_dir(spark, "stream")
+    arriving, out = f"{folder}/arriving", []
+    batches[0].limit(0).write.parquet(arriving)
+    query = rank_stream(spark.readStream.schema(batches[0].schema).parquet(arriving), folder, **options).start()
+    try:
+        for batch in batches:
+            batch.write.mode("append").parquet(arriving)
+            query.processAllAvailable()
+            seen = query.lastProgress["batchId"] if query.lastProgress else -1
+            out.append(last_ranking(spark, folder, seen))
+    finally:
+        query.stop()
+    return out
+
+
 def rank_files(spark: SparkSession, stream: DataFrame, **options) -> DataFrame:
     """Runs :func:`rank_stream` over what is there, and gives the last ranking;
     a stream without a file gives no row."""
