@@ -63,3 +63,10 @@ def either(*columns: Column) -> Column:
 def decoded(c: Column) -> Column:
     """Percent-decoded with ``+`` as a space; as it is where malformed."""
     return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is named:
+    a lambda variable is no alias that the optimiser could write out, and
+    stays one where the whole is pushed into a filter."""
+    return F.element_at(F.transform(F.array(value), body), 1)

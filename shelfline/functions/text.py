@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.functions.js import LEFT, RIGHT, WHITE, WHITE_IN, squeeze
+from shelfline.functions.js import LEFT, RIGHT, WHITE, WHITE_IN, let, squeeze
 from shelfline.functions.lexicon import ACCESSORIES, AUDIO_BY_LENGTH, AUDIO_QUERY, GROUP_OF, PHRASES, STOPWORDS, singular
 
 #: What a query says about a budget: a keyword and an amount, or an amount of money.
@@ -152,36 +152,74 @@ def with_relevance(df: DataFrame, query: str | None, title: str = "title", name:
 
     def scored(text: Column, n: Column) -> Column:
         points = 3 * n["overlap"] + n["bonus"] + F.when(n["exact"], 10).otherwise(0) - 3 * n["penalty"]
-        return _let(points, lambda score: judged(text, n, score))
+        return let(points, lambda score: judged(text, n, score))
 
     def judged(text: Column, n: Column, score: Column) -> Column:
-        overlap, penalty, exact = n["overlap"], n["penalty"], n["exact"]
-        ratio = overlap / F.lit(len(groups))
-        stray = F.lit(not q.for_accessory) & (penalty > 0)
-        found = (
-            F.when(exact, F.when(stray, "LOW").otherwise("HIGH"))
-            .when((overlap == 0) | (stray & (score < 6)) | ((penalty > 0) & (ratio < 0.6)), "LOW")
-            .when((ratio >= 0.75) | (score >= 6), "HIGH")
-            .when((ratio >= 0.4) | (score >= 3), "MEDIUM")
-            .otherwise("LOW")
-        )
+        ratio = n["overlap"] / F.lit(len(groups))
+        found = _category(n, score, ratio, F.lit(not q.for_accessory))
         if q.for_audio:
-            found = _let(found, lambda c: F.when((c == "LOW") & (audio_terms(text) >= 2), "HIGH").otherwise(c))
-        return _verdict(score, found, overlap, ratio, exact, penalty, F.lit(q.text))
+            found = let(found, lambda c: F.when((c == "LOW") & (audio_terms(text) >= 2), "HIGH").otherwise(c))
+        return _verdict(score, found, n["overlap"], ratio, n["exact"], n["penalty"], F.lit(q.text))
 
     def relevance(text: Column) -> Column:
         none = _verdict(F.lit(0), F.lit("UNKNOWN"), F.lit(0), F.lit(0.0), F.lit(False), F.lit(0), F.when(squeeze(t) == "", "").otherwise(q.text))
         words = F.transform(tokens(text), lambda x: F.struct(canonical(x).alias("group"), is_accessory(x).alias("accessory")))
-        return F.when(text == "", none).otherwise(_let(words, lambda w: _let(counted(text, w), lambda n: scored(text, n))))
+        return F.when(text == "", none).otherwise(let(words, lambda w: let(counted(text, w), lambda n: scored(text, n))))
 
-    return df.withColumn(name, _let(normalize_text(t), relevance))
+    return df.withColumn(name, let(normalize_text(t), relevance))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often it is named:
-    a lambda variable is no alias that the optimiser could write out, and
-    stays one where the whole is pushed into a filter."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _category(n: Column, score: Column, ratio: Column, no_accessory: Column) -> Column:
+    """The category of counts (overlap, penalty, exact), audio terms aside."""
+    stray = no_accessory & (n["penalty"] > 0)
+    return (
+        F.when(n["exact"], F.when(stray, "LOW").otherwise("HIGH"))
+        .when((n["overlap"] == 0) | (stray & (score < 6)) | ((n["penalty"] > 0) & (ratio < 0.6)), "LOW")
+        .when((ratio >= 0.75) | (score >= 6), "HIGH")
+        .when((ratio >= 0.4) | (score >= 3), "MEDIUM")
+        .otherwise("LOW")
+    )
+
+
+def asked(query: Column) -> Column:
+    """What relevance needs of a column of queries: a struct (text, groups,
+    long, for_accessory, for_audio), for :func:`relevance_between`."""
+    text = normalize_query(query)
+    words = F.filter(tokens(text), lambda t: ~t.isin(STOPWORDS))
+    return let(words, lambda w: F.struct(
+        text.alias("text"), F.transform(w, canonical).alias("groups"), F.transform(w, lambda t: F.length(t) >= 5).alias("long"),
+        F.exists(w, is_accessory).alias("for_accessory"), F.exists(w, lambda t: t.isin(AUDIO_QUERY)).alias("for_audio"),
+    ))
+
+
+def relevance_between(title: Column, query: Column) -> Column:
+    """As :func:`with_relevance`, of titles to queries of their own rows."""
+    groups = query["groups"]
+
+    def counted(text: Column, words: Column) -> Column:
+        of = F.transform(words, lambda x: x["group"])
+        has = F.transform(groups, lambda g: F.array_contains(of, g))
+        stray = F.size(F.filter(words, lambda x: x["accessory"] & ~F.array_contains(groups, x["group"])))
+        both = F.zip_with(has, query["long"], lambda a, b: a & b)
+        number = lambda flags: F.size(F.filter(flags, lambda x: x))
+        return F.struct(number(has).alias("overlap"), number(both).alias("bonus"), stray.alias("penalty"), text.contains(query["text"]).alias("exact"))
+
+    def judged(text: Column, n: Column, score: Column) -> Column:
+        ratio = n["overlap"] / F.size(groups)
+        found = let(_category(n, score, ratio, ~query["for_accessory"]), lambda c: F.when((c == "LOW") & query["for_audio"] & (audio_terms(text) >= 2), "HIGH").otherwise(c))
+        return _verdict(score, found, n["overlap"], ratio, n["exact"], n["penalty"], query["text"])
+
+    def scored(text: Column, n: Column) -> Column:
+        return let(3 * n["overlap"] + n["bonus"] + F.when(n["exact"], 10).otherwise(0) - 3 * n["penalty"], lambda score: judged(text, n, score))
+
+    def relevance(text: Column) -> Column:
+        usable = (query["text"] != "") & (F.size(groups) > 0)
+        used = F.when(usable & (squeeze(F.coalesce(title, F.lit(""))) != ""), query["text"]).otherwise("")
+        none = _verdict(F.lit(0), F.lit("UNKNOWN"), F.lit(0), F.lit(0.0), F.lit(False), F.lit(0), used)
+        words = F.transform(tokens(text), lambda x: F.struct(canonical(x).alias("group"), is_accessory(x).alias("accessory")))
+        return F.when(usable & (text != ""), let(words, lambda w: let(counted(text, w), lambda n: scored(text, n)))).otherwise(none)
+
+    return let(normalize_text(title), relevance)
 
 
 def _verdict(score, category, overlap, ratio, exact, penalty, used) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfline.functions.js import WHITE, decoded, either, filled, group, squeeze, trim
+from shelfline.functions.js import WHITE, decoded, either, filled, group, let, squeeze, trim
 from shelfline.functions.lexicon import VOLATILE_PARAMS, VOLATILE_PREFIXES
 
 # The shops in the order of their registration, their domains,
@@ -202,6 +202,10 @@ def admission(url: Column, origin: Column) -> Column:
     t = trim(url)
     low = F.lower(t)
     href = resolved(t, F.coalesce(F.nullif(origin, F.lit("")), F.lit(HOME + "/")))
+    return let(href, lambda href: _admission(url, t, low, href, origin))
+
+
+def _admission(url: Column, t: Column, low: Column, href: Column, origin: Column) -> Column:
     bare = lambda u: F.regexp_replace(host_of(u), r"^www\.", "")
     term = lambda u: F.nullif(decoded(group(u, r"^[^?#]*\?(?:[^#]*&)?k=([^&#]*)")), F.lit(""))
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,10 @@ from shelfline.functions.text import Query, with_relevance
 from shelfline.functions.validate import is_eligible, normal_form
 
 
-def validate(raw: DataFrame) -> DataFrame:
-    """Eligible products in normal form."""
+def validate(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Eligible products in normal form, with the columns ``keep`` as they are."""
     fields = ("title", "product_id", "asin", "source", "marketplace", "canonical_url", "url")
-    return raw.where(is_eligible(*[F.col(c) for c in fields])).select(*[c.alias(n) for n, c in normal_form().items()])
+    return raw.where(is_eligible(*[F.col(c) for c in fields])).select(*keep, *[c.alias(n) for n, c in normal_form().items()])
 
 
 def relevant(df: DataFrame, query: str | None) -> DataFrame:

@@ -153,3 +153,23 @@ SELECT p_partkey AS page_id, 'https://www.meesho.com/search?q=x' AS url, CASE p_
   ELSE '<a rel="next" href="/a">Onward</a>' END AS html
 FROM {part}
 """
+
+#: Result pages of 20 searches, a card each; the links of some lead back, to
+#: another search, to a page that is not there, or nowhere.
+RESULT_PAGES = """
+SELECT p_partkey AS page_id, s, n, p_size, concat('https://www.amazon.in/s?k=bolt+s', CAST(s AS STRING), CASE WHEN n > 1 THEN concat('&page=', CAST(n AS STRING)) ELSE '' END, '&ref=sr_pg') AS url,
+  concat('<input id="twotabsearchtextbox" value="', CASE WHEN s % 2 = 1 THEN 'bolt set' ELSE '' END, '"><div data-component-type="s-search-result" data-asin="B', lpad(CAST((n - 1) % 3 AS STRING), 9, '0'),
+    '"><h2><a href="/x/dp/B', lpad(CAST((n - 1) % 3 AS STRING), 9, '0'), '"><span>Part', CAST(p_partkey AS STRING), CASE WHEN n % 4 = 2 THEN ' nut' ELSE ' bolt' END, ' original product</span></a></h2><span class="a-price"><span class="a-offscreen">₹',
+    CAST(1000 + 20 * p_size AS STRING), '</span></span><span aria-label="', CAST(p_size * 37 AS STRING), ' ratings"></span><img class="s-image" src="a.jpg"></div>',
+    CASE WHEN s % 5 = 1 AND n = 3 THEN concat('<nav><a href="/s?k=bolt+s', CAST(s AS STRING), '&page=2&qid=4">Next</a></nav>') WHEN s % 5 = 2 AND n = 2 THEN '<nav><a href="/s?k=other&page=3">Next</a></nav>'
+      WHEN s % 5 = 3 AND n = 2 THEN '' WHEN s % 5 = 4 AND n = 3 THEN concat('<nav><a href="/s?k=bolt+s', CAST(s AS STRING), '&page=99999">Next</a></nav>')
+      ELSE concat('<nav><a href="/s?k=bolt+s', CAST(s AS STRING), '&page=', CAST(n + 1 AS STRING), '&qid=7">Next</a></nav>') END) AS html
+FROM (SELECT p_partkey, p_size, CAST((p_partkey - 1) % 20 AS INT) AS s, CAST(floor((p_partkey - 1) / 20) AS INT) + 1 AS n FROM {part} WHERE p_partkey > 0) p
+"""
+
+#: The searches that ask for them.
+SEARCHES = """
+SELECT CAST(p_partkey - 1 AS BIGINT) AS search, concat('https://www.amazon.in/s?ref=nb&k=bolt+s', CAST(p_partkey - 1 AS STRING)) AS url, CASE WHEN p_partkey % 3 = 0 THEN 'bolt under 1500' ELSE NULL END AS query,
+  CAST(NULL AS DOUBLE) AS low, CASE WHEN p_partkey % 4 = 1 THEN CAST(1500 AS DOUBLE) ELSE NULL END AS high
+FROM {part} WHERE p_partkey BETWEEN 1 AND 20
+"""

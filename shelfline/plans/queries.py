@@ -16,7 +16,7 @@ from shelfline.plans import inputs, pipeline
 from shelfline.plans.storage import shared_dir, stored
 from shelfline.schema import raw_products
 from shelfline.sources import nodes, sites
-from shelfline.streaming import incremental, settle
+from shelfline.streaming import frontier, incremental, settle
 
 QUERY = "wireless ear phones under 1500"
 CASE_QUERY = "red widget case"
@@ -767,6 +767,42 @@ def stream_ranked(spark, sf):
     return incremental.rank_files(spark, copies).select("ordinal", "rank", "feedback_volume")
 
 
+# --- many searches at once
+#: What each search reads: page after page, as far as its links lead it.
+_CRAWL = f"""WITH RECURSIVE p AS (SELECT * FROM ({duck(inputs.RESULT_PAGES)})), q AS (SELECT * FROM ({duck(inputs.SEARCHES)})),
+on_ AS (SELECT s, n, page_id, CASE WHEN s % 5 = 1 AND n = 3 THEN 2 WHEN s % 5 = 2 AND n = 2 THEN -1 WHEN s % 5 = 3 AND n = 2 THEN NULL WHEN s % 5 = 4 AND n = 3 THEN 99999 ELSE n + 1 END AS next FROM p),
+v AS (
+  SELECT q.search, 1 AS step, o.n, o.page_id, o.next, [o.n] AS path FROM q JOIN on_ o ON o.s = q.search AND o.n = 1
+  UNION ALL SELECT v.search, v.step + 1, o.n, o.page_id, o.next, list_append(v.path, o.n) FROM v JOIN on_ o ON o.s = v.search AND o.n = v.next WHERE v.step < 5 AND NOT list_contains(v.path, o.n)
+)"""
+
+
+def _crawled(spark, sf):
+    pages = _made(spark, sf, inputs.RESULT_PAGES)
+    return frontier.crawl(rows(spark, sf, inputs.SEARCHES), pages), pages
+
+
+@query(f"""{_CRAWL} SELECT search, step, page_id AS page, 'https://www.amazon.in/s?k=bolt+s' || search || CASE WHEN n > 1 THEN '&page=' || n ELSE '' END AS canonical FROM v""")
+def crawl_visits(spark, sf):
+    return _crawled(spark, sf)[0].visits.select("search", "step", "page", "canonical")
+
+
+@query(f"""{_CRAWL} SELECT q.search, coalesce(q.query, CASE WHEN q.search % 2 = 1 THEN 'bolt set' ELSE 'bolt s' || q.search END) AS query, count(v.step) AS pages,
+  CASE WHEN max(v.step) IS NULL THEN 'no-page' ELSE CASE arg_max(coalesce(v.next, 0), v.step) WHEN 0 THEN 'no-link' ELSE CASE WHEN max(v.step) = 5 THEN 'bound' WHEN arg_max(v.next, v.step) = -1 THEN 'query-changed'
+    WHEN list_contains(arg_max(v.path, v.step), arg_max(v.next, v.step)) THEN 'visited' ELSE 'no-page' END END END AS ended FROM q LEFT JOIN v ON v.search = q.search GROUP BY q.search, q.query""")
+def crawl_endings(spark, sf):
+    return _crawled(spark, sf)[0].searches.select("search", "query", "pages", "ended")
+
+
+@query(f"""{_CRAWL}, c AS (SELECT v.search, v.step, p.n, (p.n - 1) % 3 AS asin, p.page_id, 1000 + 20 * p.p_size AS price, p.p_size * 37 AS volume, q.high FROM v JOIN p ON p.page_id = v.page_id JOIN q ON q.search = v.search),
+  d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY search, asin ORDER BY step) = 1)
+  SELECT search, 'B' || lpad(asin::VARCHAR, 9, '0') AS product_id, price::DOUBLE AS price, volume::BIGINT AS feedback_volume, row_number() OVER (PARTITION BY search ORDER BY volume DESC, step) AS rank
+  FROM d WHERE n % 4 <> 2 AND (high IS NULL OR price <= high)""")
+def crawl_ranked(spark, sf):
+    found, pages = _crawled(spark, sf)
+    return found.ranked(pages).select("search", "product_id", "price", "feedback_volume", "rank")
+
+
 #: Copies in the batches of a stream: first some that no ranking takes, then the others.
 _ARRIVAL = "CASE WHEN ordinal % 9 = 0 THEN CASE WHEN ordinal % 2 = 0 THEN 0 ELSE 3 END ELSE 1 + ordinal % 2 END"
 
