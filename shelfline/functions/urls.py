@@ -6,6 +6,8 @@ refuse what browsers accept.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +52,13 @@ def site_of(url: Column) -> Column:
     return site_of_host(host_of(url))
 
 
+def site_name(url: str | None) -> str | None:
+    """As :func:`site_of`, of one URL."""
+    found = re.match(_ABSOLUTE, url or "")
+    host = re.sub(r"^www\.", "", found.group(2).lower()) if found else None
+    return next((name for name, (domains, _, _) in SITES.items() if host in domains), None)
+
+
 def is_supported(url: Column) -> Column:
     """Whether the URL's host is a shop's, readable or not."""
     return site_of(url).isNotNull()

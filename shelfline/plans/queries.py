@@ -15,7 +15,7 @@ from shelfline.operators import dedup, filters, insights, ranking
 from shelfline.plans import inputs, pipeline
 from shelfline.plans.storage import shared_dir, stored
 from shelfline.schema import raw_products
-from shelfline.sources import nodes, sites
+from shelfline.sources import connector, nodes, sites
 from shelfline.streaming import frontier, incremental, settle
 
 QUERY = "wireless ear phones under 1500"
@@ -690,17 +690,28 @@ _PAGES = duck(inputs.SHOP_PAGES)
 _NO = "lpad(page_id::VARCHAR, 9, '0')"
 
 
-@query(f"""SELECT page_id * 1048576 AS ordinal, regexp_replace(CASE page_id % 3 WHEN 0 THEN p_name || ' ' || p_type || ' original product' WHEN 1 THEN p_name || ' ' || p_type ELSE p_name || ' kurti' END, '\\s+', ' ', 'g') AS title,
+_SHOP_PRODUCTS = f"""SELECT page_id * 1048576 AS ordinal, regexp_replace(CASE page_id % 3 WHEN 0 THEN p_name || ' ' || p_type || ' original product' WHEN 1 THEN p_name || ' ' || p_type ELSE p_name || ' kurti' END, '\\s+', ' ', 'g') AS title,
   CASE page_id % 3 WHEN 0 THEN 1000 + p_size WHEN 1 THEN p_size * 1000 + 499 ELSE p_size * 10 + 9 END::DOUBLE AS price, CASE WHEN page_id % 3 = 2 THEN (30 + p_size % 10) / 10 ELSE (40 + p_size % 10) / 10 END AS rating,
   CASE page_id % 3 WHEN 0 THEN p_size * 37 WHEN 1 THEN p_size * 1000 ELSE p_size * 1000 + 500 END::DOUBLE AS rating_count, CASE page_id % 3 WHEN 1 THEN p_size * 1000 END::DOUBLE AS review_count,
   CASE page_id % 3 WHEN 0 THEN 'b' || p_size || '.jpg' WHEN 1 THEN 'https://rukminim2.flixcart.com/' || page_id || '.jpg' ELSE 'https://images.meesho.com/' || page_id || '.webp' END AS image,
   CASE page_id % 3 WHEN 0 THEN 'https://www.amazon.in/x/dp/B' || {_NO} || '/ref=sr_1' WHEN 1 THEN '/w/p/itm' || page_id || '?pid=acc' || page_id ELSE '/shirt/p/' || lpad(page_id::VARCHAR, 4, 'z') END AS url,
   CASE page_id % 3 WHEN 0 THEN 'https://www.amazon.in/dp/B' || {_NO} WHEN 1 THEN 'https://www.flipkart.com/w/p/itm' || page_id || '?pid=acc' || page_id ELSE 'https://www.meesho.com/shirt/p/' || lpad(page_id::VARCHAR, 4, 'z') END AS canonical_url,
   upper(CASE page_id % 3 WHEN 0 THEN 'B' || {_NO} WHEN 1 THEN 'acc' || page_id ELSE lpad(page_id::VARCHAR, 4, 'z') END) AS product_id, p_size % 10 = 0 AS sponsored,
-  CASE page_id % 3 WHEN 0 THEN 'Amazon' WHEN 1 THEN 'Flipkart' ELSE 'Meesho' END AS source FROM (SELECT i.*, p_type FROM ({_PAGES}) i JOIN part ON p_partkey = page_id)""")
+  CASE page_id % 3 WHEN 0 THEN 'Amazon' WHEN 1 THEN 'Flipkart' ELSE 'Meesho' END AS source FROM (SELECT i.*, p_type FROM ({_PAGES}) i JOIN part ON p_partkey = page_id)"""
+_SHOP_COLUMNS = ["ordinal", "title", "price", "rating", "rating_count", "review_count", "image", "url", "canonical_url", "product_id", "sponsored", "source"]
+
+
+@query(_SHOP_PRODUCTS)
 def html_products(spark, sf):
-    found = sites.extract_products(_made(spark, sf, inputs.SHOP_PAGES))
-    return found.select("ordinal", "title", "price", "rating", "rating_count", "review_count", "image", "url", "canonical_url", "product_id", "sponsored", "source")
+    return sites.extract_products(_made(spark, sf, inputs.SHOP_PAGES)).select(_SHOP_COLUMNS)
+
+
+@query(_SHOP_PRODUCTS)
+def source_products(spark, sf):
+    """The same through the format of stored pages."""
+    path = shared_dir(spark, "shop-pages")
+    _made(spark, sf, inputs.SHOP_PAGES).write.parquet(path)
+    return connector.read_products(spark, path).select(_SHOP_COLUMNS)
 
 
 @query(f"""SELECT page_id AS page, CASE page_id % 3 WHEN 0 THEN 'Amazon' WHEN 1 THEN 'Flipkart' ELSE 'Meesho' END AS site, page_id % 3 = 0 AND p_size % 3 = 0 AS more_available,
@@ -739,7 +750,7 @@ def _nodes(spark, sf, *picks):
   SELECT page_id, unnest(l) AS a, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="[^"]*">[^<]*</a>') AS l FROM pages))""")
 def html_anchors(spark, sf):
     found = _nodes(spark, sf, nodes.Pick("anchor", ("nav a",), ("href",)))
-    return found.select(F.col("page").alias("page_id"), F.col("at")[3].cast("bigint").alias("place"), F.element_at("attrs", F.lit("href")).alias("href"), F.col("text").alias("label"))
+    return found.where("name = 'anchor'").select(F.col("page").alias("page_id"), F.col("at")[3].cast("bigint").alias("place"), F.element_at("attrs", F.lit("href")).alias("href"), F.col("text").alias("label"))
 
 
 @query(r"""SELECT page_id, replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&') AS title, len(regexp_extract_all(html, '<div class="ad">'))::BIGINT AS ads FROM pages""")

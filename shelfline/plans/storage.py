@@ -22,9 +22,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written as a table and read again: its lineage is cut, and an
-    executor's loss costs no recomputation."""
+    executor's loss costs no recomputation.  ``by``: a text column of few
+    values; each is a folder of its own, and reading some reads only these."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

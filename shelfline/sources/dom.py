@@ -1,10 +1,16 @@
 """A small document tree with the selectors that product pages need: tags,
 ``*``, ``#id``, ``.class``, ``[attr]``, ``[attr="v"]``, ``[attr*="v"]``,
-descendants and comma lists."""
+descendants and comma lists.
+
+Nodes are numbered in document order and know the last number and the stretch
+of the page's text below them, so texts and selections are slices, and nothing
+here recurses: pages may be nested as deeply as they like."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 from html.parser import HTMLParser
@@ -16,25 +22,16 @@ _PART = re.compile(r'([\w-]+|\*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:(\*?)="([^"]*
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "classes", "children", "parent", "_below")
+    __slots__ = ("page", "order", "end", "tag", "attrs", "classes", "parent", "kids", "under", "first", "last")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-        self.classes, self._below = attrs.get("class", "").split(), None
+    def __init__(self, page: Page, order: int, tag: str, attrs: dict[str, str], parent: Node | None, first: int):
+        self.page, self.order, self.end, self.tag, self.attrs, self.parent = page, order, order, tag, attrs, parent
+        self.classes, self.kids, self.first, self.last = attrs.get("class", "").split(), 0, first, first
+        #: Whether a second-level heading is around it.
+        self.under = parent is not None and (parent.under or parent.tag == "h2")
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
-
-    def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
-
-    def walk(self) -> Iterator[Node]:
-        """All elements below, in document order."""
-        stack = self.elements()[::-1]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += node.elements()[::-1]
+        return self.page.text[self.first : self.last]
 
     def above(self) -> Iterator[Node]:
         node = self.parent
@@ -42,12 +39,89 @@ class Node:
             yield node
             node = node.parent
 
+    def wider(self) -> Iterator[Node]:
+        """The elements around it with more text, the nearest first; of those
+        with one text the innermost."""
+        span = (self.first, self.last)
+        for node in self.above():
+            if (node.first, node.last) != span:
+                span = (node.first, node.last)
+                yield node
+
     def select(self, selector: str) -> list[Node]:
-        """The elements below that a selector names; the tree is taken as
-        complete from the first call on."""
-        if self._below is None:
-            self._below = list(self.walk())
-        return [n for n in self._below if _any_fits(n, _compiled(selector))]
+        """The elements below that a selector names, in document order."""
+        found, orders = self.page.matches(selector)
+        return found[bisect_right(orders, self.order) : bisect_right(orders, self.end)]
+
+
+class Page:
+    """A page's nodes in document order, its text, and what selectors found."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.text = ""
+        self.by: dict[str, dict[str, list[Node]]] | None = None
+        self.found: dict[str, tuple[list[Node], list[int]]] = {}
+        self.words: tuple[list[int], list[int]] | None = None
+
+    def trimmed_length(self, first: int, last: int) -> int:
+        """The length of a stretch of the text without white space at its ends."""
+        if self.words is None:
+            spans = [m.span() for m in re.finditer(r"\S+", self.text)]
+            self.words = [s for s, _ in spans], [e for _, e in spans]
+        starts, ends = self.words
+        k, j = bisect_right(ends, first), bisect_right(starts, last - 1) - 1
+        return max(0, min(ends[j], last) - max(starts[k], first)) if k < len(starts) and j >= k else 0
+
+    def _index(self) -> None:
+        self.by = {"tag": defaultdict(list), "id": defaultdict(list), "class": defaultdict(list), "attr": defaultdict(list)}
+        for node in self.nodes[1:]:
+            self.by["tag"][node.tag].append(node)
+            for name in node.attrs:
+                self.by["attr"][name].append(node)
+            if "id" in node.attrs:
+                self.by["id"][node.attrs["id"]].append(node)
+            for name in set(node.classes):
+                self.by["class"][name].append(node)
+
+    def _candidates(self, compound: list[tuple]) -> list[Node]:
+        """The nodes of the rarest name in a compound."""
+        lists = []
+        for tag, ident, cls, attr, _, _ in compound:
+            kind, name = next((k, n) for k, n in (("tag", tag), ("id", ident), ("class", cls), ("attr", attr)) if n)
+            lists.append(self.nodes[1:] if name == "*" and kind == "tag" else self.by[kind].get(name, []))
+        return min(lists, key=len)
+
+    def matches(self, selector: str) -> tuple[list[Node], list[int]]:
+        """All nodes that a selector names, and their numbers."""
+        if selector not in self.found:
+            if self.by is None:
+                self._index()
+            found: dict[int, Node] = {}
+            for chain in _compiled(selector):
+                # How much of the chain the elements around a node meet, in order.
+                met: dict[int, int] = {}
+                for node in self._candidates(chain[-1]):
+                    if _is(node, chain[-1]) and (len(chain) == 1 or _met(node.parent, chain, met) == len(chain) - 1):
+                        found[node.order] = node
+            orders = sorted(found)
+            self.found[selector] = [found[k] for k in orders], orders
+        return self.found[selector]
+
+
+def _met(node: Node | None, chain: list[list[tuple]], met: dict[int, int]) -> int:
+    """How many of a chain's parts but the last a node and those around it
+    meet, from the outermost on; each node is looked at once."""
+    path = []
+    while node is not None and node.order not in met:
+        path.append(node)
+        node = node.parent
+    known = 0 if node is None else met[node.order]
+    for node in reversed(path):
+        if known < len(chain) - 1 and node.order and _is(node, chain[known]):
+            known += 1
+        met[node.order] = known
+    return known
 
 
 @cache
@@ -68,52 +142,57 @@ def _is(node: Node, compound: list[tuple]) -> bool:
     return True
 
 
-def _any_fits(node: Node, chains: list[list[list[tuple]]]) -> bool:
-    for chain in chains:
-        if _is(node, chain[-1]) and (len(chain) == 1 or _fits(node, chain)):
-            return True
-    return False
-
-
-def _fits(node: Node, chain: list[list[tuple]]) -> bool:
-    """Whether the ancestors of a node that meets the last part meet the others."""
-    rest = list(chain[:-1])
-    for up in node.above():
-        if not rest:
-            break
-        if _is(up, rest[-1]):
-            rest.pop()
-    return not rest
-
-
 class _Builder(HTMLParser):
+    """Open elements are a stack; of each tag it is known where they are."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#document", {}, None)
+        self.page, self.pieces, self.length = Page(), [], 0
+        self.open: list[Node] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self._push("#document", {}, True)
+
+    def _push(self, tag: str, attrs: dict[str, str], stays: bool) -> None:
+        parent = self.open[-1] if self.open else None
+        node = Node(self.page, len(self.page.nodes), tag, attrs, parent, self.length)
+        self.page.nodes.append(node)
+        if parent is not None:
+            parent.kids += 1
+        if stays:
+            self.places[tag].append(len(self.open))
+            self.open.append(node)
+
+    def _pop(self, depth: int) -> None:
+        """Closes all but the ``depth`` outermost open elements."""
+        while len(self.open) > depth:
+            node = self.open.pop()
+            self.places[node.tag].pop()
+            node.end, node.last = len(self.page.nodes) - 1, self.length
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
-            self._close("p", {"button", "table"})
+            self._shut("p", {"button", "table"})
         if tag in ("li", "option", "tr", "td", "th"):
-            self._close(tag, {"ul", "ol", "table", "select"})
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
+            self._shut(tag, {"ul", "ol", "table", "select"})
+        self._push(tag, {k: v or "" for k, v in reversed(attrs)}, tag not in VOID)
 
     def handle_endtag(self, tag):
-        self._close(tag, set())
+        self._shut(tag, set())
 
-    def _close(self, tag: str, stops: set[str]) -> None:
-        for node in [self.at, *self.at.above()]:
-            if node.tag == tag and node.parent is not None:
-                self.at = node.parent
-                return
-            if node.tag in stops:
-                return
+    def _shut(self, tag: str, stops: set[str]) -> None:
+        """Closes the innermost open ``tag``, unless a stop is open in it."""
+        at = self.places[tag][-1] if self.places[tag] else 0
+        if at and not any(self.places[s] and self.places[s][-1] > at for s in stops if s != tag):
+            self._pop(at)
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        self.pieces.append(data)
+        self.length += len(data)
+
+    def done(self) -> Node:
+        self._pop(0)
+        self.page.text = "".join(self.pieces)
+        return self.page.nodes[0]
 
 
 def parse(html: str) -> Node:
@@ -121,4 +200,4 @@ def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    return builder.root
+    return builder.done()

@@ -8,11 +8,13 @@ would be tried.  What a field makes of its nodes is said in column expressions.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from shelfline.functions.js import WHITE
 from shelfline.sources.dom import Node, parse
@@ -55,20 +57,29 @@ class Pick:
                     yield [self.first_tier + tier, 0, 0, i], node, node
 
     def rows(self, card: Node) -> Iterator[tuple]:
+        seen = set()
         for at, node, holder in self.nodes(card):
-            text = node.text()
-            if self.longest and len(text.strip()) > self.longest or self.leaf and node.elements():
+            if self.own and self.within:
+                # In a region within another the same node comes again, later.
+                if (at[2], node.order) in seen:
+                    continue
+                seen.add((at[2], node.order))
+            if self.longest and node.page.trimmed_length(node.first, node.last) > self.longest or self.leaf and node.kids:
                 continue
+            text = node.text()
             attrs = {a: holder.attrs[a] for a in self.attrs if a in holder.attrs}
             attrs["#tag"] = node.tag
-            if any(n.tag == "h2" for n in node.above()):
+            if node.under:
                 attrs["#heading"] = "true"
             up = []
-            if self.up and len(_RUN.sub(" ", text).strip()) < self.up:
-                for above in node.above():
-                    if above is card:
+            if self.up and (short := len(_RUN.sub(" ", text).strip())) < self.up:
+                for above in node.wider():
+                    if above.order <= card.order:
                         break
                     up.append(above.text())
+                    # More than twice as long, a word before it aside: no wider one is asked for.
+                    if len(_RUN.sub(" ", up[-1]).strip()) > 2 * short + 12:
+                        break
             yield self.name, at, text, list(attrs.items()), up
 
 
@@ -82,37 +93,62 @@ class Spec:
     card_attrs: tuple[str, ...] = field(default=())
 
 
-def select_nodes(pages: DataFrame, specs: dict[str, Spec]) -> DataFrame:
+def _card_rows(card: Node, spec: Spec, picks: tuple[Pick, ...]) -> list[tuple]:
+    found = [row for pick in picks for row in pick.rows(card)]
+    if picks is not spec.page:
+        attrs = [(a, card.attrs[a]) for a in spec.card_attrs if a in card.attrs]
+        found.append(("card", _FIRST, card.text(), attrs, []))
+    return found
+
+
+_FIRST = [0, 0, 0, 0]
+
+
+def _page_rows(spec: Spec, html: str | None) -> Iterator[tuple]:
+    yield -1, "page", _FIRST, "", [], []
+    if not html:
+        return
+    root = parse(html)
+    whole = [(-1, root, spec.page)]
+    try:
+        whole += [(k, card, spec.fields) for k, card in enumerate(spec.cards(root))]
+    except Exception as e:  # noqa: BLE001  it is reported, and the page's own rows stay
+        yield -1, "unreadable", _FIRST, repr(e), [], []
+    for number, card, picks in whole:
+        try:
+            found = _card_rows(card, spec, picks)
+        except Exception as e:  # noqa: BLE001  it is reported, and the other cards stay
+            found = [("unreadable", _FIRST, repr(e), [], [])]
+        for row in found:
+            yield number, *row
+
+
+def node_batches(pages: Iterable[tuple], specs: dict[str, Spec], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The node rows of pages (page, reader, html, and what each row carries
+    besides), 5000 at most in a batch."""
+    for page, reader, html, *kept in pages:
+        every = _page_rows(specs[reader], html) if reader in specs else iter(())
+        while part := list(islice(every, 5000)):
+            values = zip(*[(page, *row, reader, *kept) for row in part], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+
+def select_nodes(pages: DataFrame, specs: dict[str, Spec], keep: Sequence[str] = ()) -> DataFrame:
     """Node rows of ``pages`` (page, reader, html); ``reader`` names the spec.
 
-    A card that cannot be read is left out, the others stay.  A null or empty
-    page has no node.  Rows of the page itself have card -1.
+    Rows of the page itself have card -1; of each page with a known reader one
+    is named "page", even where its HTML is null or empty.  A card that cannot
+    be read, or a page whose cards cannot be told, gives a row "unreadable"
+    with the reason, and the others stay.  ``keep``: columns of ``pages`` that
+    every row carries.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(NODE))
 
-    def page_rows(page: int, spec: Spec, html: str) -> Iterator[dict]:
-        root = parse(html)
-        whole = [(-1, root, spec.page)] + [(k, card, spec.fields) for k, card in enumerate(spec.cards(root))]
-        for number, card, picks in whole:
-            try:
-                found = [row for pick in picks for row in pick.rows(card)]
-            except Exception:  # noqa: BLE001, S112  one unreadable card must not lose the page
-                continue
-            if number >= 0:
-                attrs = [(a, card.attrs[a]) for a in spec.card_attrs if a in card.attrs]
-                found.append(("card", [0, 0, 0, 0], card.text(), attrs, []))
-            for name, at, text, attrs, up in found:
-                yield {"page": page, "card": number, "name": name, "at": at, "text": text, "attrs": attrs, "up": up}
+    schema = StructType([*StructType.fromDDL(NODE).fields, *[pages.schema[c] for c in ("reader", *keep)]])
+    arrow = to_arrow_schema(schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page, reader, html in zip(*(batch[c].to_pylist() for c in ("page", "reader", "html")), strict=True):
-                if html and reader in specs:
-                    out = list(page_rows(page, specs[reader], html))
-                    for k in range(0, len(out), 5000):
-                        yield pa.RecordBatch.from_pylist(out[k : k + 5000], schema=schema)
+            yield from node_batches(zip(*(c.to_pylist() for c in batch.columns), strict=True), specs, arrow)
 
-    return pages.select("page", "reader", "html").mapInArrow(rows, NODE)
+    return pages.select("page", "reader", "html", *keep).mapInArrow(rows, schema)

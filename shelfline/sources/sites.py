@@ -6,6 +6,7 @@ Selectors and word patterns are fixed values of the pages they read.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from shelfline.functions import numbers, urls
 from shelfline.functions.js import LEFT, RIGHT, WHITE, filled, group, leading_number, squeeze, trim
 from shelfline.functions.lexicon import COUNT_CEILING
+from shelfline.plans.storage import stored
 from shelfline.sources.dom import Node
 from shelfline.sources.nodes import Pick, Spec, select_nodes
 
@@ -84,7 +86,7 @@ def _meesho_cards(root: Node) -> list[Node]:
     for link in root.select('a[href*="/p/"]'):
         ident = re.split(r"[?/#]", link.attrs["href"].strip().rpartition("/p/")[2])[0]
         if re.fullmatch(r"[A-Za-z0-9]{3,}", ident):
-            above = [n for n in list(link.above())[:10] if n.tag == "div" and (n.attrs.get("data-id") or 0 < len(n.elements()) <= 20)]
+            above = [n for n in islice(link.above(), 10) if n.tag == "div" and (n.attrs.get("data-id") or 0 < n.kids <= 20)]
             cards.append(above[0] if above else link)
     return cards
 
@@ -303,24 +305,43 @@ def with_reader(pages: DataFrame, page_col: str = "page_id", url_col: str = "url
     """page, url, site, reader (the shop whose rules read it; the first shop's
     where there are none) and html."""
     site = urls.site_of(F.col(url_col))
-    return pages.select(F.col(page_col).cast("bigint").alias("page"), F.col(url_col).alias("url"), site.alias("site"), F.when(site.isin(list(SPECS)), site).otherwise("Amazon").alias("reader"), F.col(html_col).alias("html"))
+    return pages.select(F.col(page_col).cast("bigint").alias("page"), F.col(url_col).alias("url"), site.alias("site"), F.when(site.isin(list(READERS)), site).otherwise("Amazon").alias("reader"), F.col(html_col).alias("html"))
 
 
 def extract_products(pages: DataFrame, **columns: str) -> DataFrame:
     """Raw product rows of search pages (page_id, url, html): one a card, in
     the order of page and card.  Cards without a title are none.
 
-    The pages are parsed once; every shop's rules then are one aggregation
-    by page and card."""
-    read = with_reader(pages, **columns)
+    The pages are read and parsed once, and their node rows written, a folder
+    a shop; every shop's rules then are one aggregation by page and card."""
+    return products_of(card_nodes(pages, **columns))
+
+
+def card_nodes(pages: DataFrame, **columns: str) -> DataFrame:
+    """The node rows of all cards of search pages."""
+    return select_nodes(with_reader(pages, **columns), card_specs())
+
+
+def card_specs() -> dict[str, Spec]:
+    """What is read of cards, by shop."""
+    return {name: Spec(spec.cards, spec.fields, (), spec.card_attrs) for name, spec in SPECS.items() if name in READERS}
+
+
+def products_of(nodes: DataFrame) -> DataFrame:
+    """Raw product rows of node rows (:func:`card_nodes`)."""
+    nodes = stored(nodes.where("card >= 0"), "card-nodes", by="reader")
     out = None
     for name, reader in READERS.items():
-        cards = Spec(SPECS[name].cards, SPECS[name].fields, (), SPECS[name].card_attrs)
-        rows = reader(_prepared(select_nodes(read.where(F.col("reader") == name), {name: cards})))
+        rows = reader(_prepared(nodes.where(F.col("reader") == name)))
         out = rows if out is None else out.unionByName(rows)
     return out.withColumn("ordinal", F.col("page") * (1 << CARD_BITS) + F.col("card"))
 
 
+def unreadable_cards(pages: DataFrame, **columns: str) -> DataFrame:
+    """page, card (-1: all of the page) and reason of what could not be read."""
+    return card_nodes(pages, **columns).where("name = 'unreadable'").select("page", "card", F.col("text").alias("reason"))
+
+
 def scan_pages(pages: DataFrame, **columns: str) -> DataFrame:
     """page, site, more_available, next_page_url and search_query of each
     page.  Whether an element is laid out cannot be told from HTML: what is
@@ -334,7 +355,7 @@ def scan_pages(pages: DataFrame, **columns: str) -> DataFrame:
          Pick("next", ("a, button",), ("href", "class", "aria-label", "title", "aria-disabled", "aria-hidden", "disabled"), within=AMAZON_REGIONS, own=True, first_tier=5),
          Pick("next", ("a.s-pagination-next", ".s-pagination-item.s-pagination-next"), ("href", "class", "aria-label", "title", "aria-disabled", "aria-hidden", "disabled"), first_tier=6)),
     )
-    nodes = _prepared(select_nodes(read, whole)).join(read.select("page", "url", "site", "reader"), "page")
+    nodes = _prepared(select_nodes(read, whole, keep=["url", "site"]))
     amazon, flipkart = F.col("reader") == "Amazon", F.col("reader") == "Flipkart"
     known = F.coalesce(F.col("site"), F.lit("Amazon")) != "Myntra"
     visible = (_attr("aria-disabled") != "true") & (_attr("aria-hidden") != "true") & F.element_at("attrs", F.lit("disabled")).isNull()
@@ -355,9 +376,11 @@ def scan_pages(pages: DataFrame, **columns: str) -> DataFrame:
     box = squeeze(_attr("value"))
     typed = (F.length(box) >= 2) & (~amazon | (F.col("at")[3] == 0))
     fields = {"next_page_url": ("next", target, ok & known & filled(href)), "typed": ("box", box, typed & known)}
-    found = _reduce(nodes, fields, {"more_available": {"more": more & amazon & known}}).drop("card")
+    # What is the page's own is the same in all its rows.
+    nodes = nodes.withColumn("own", F.struct("url", "site", "reader"))
+    found = _reduce(nodes, fields, {"more_available": {"more": more & amazon & known}}, own=(F.col("own"), F.when(F.col("name") == "page", F.lit(1)))).select("*", "own.*")
     named = F.when(F.col("reader") == "Amazon", urls.query_param(F.col("url"))).otherwise(urls.query_param(F.col("url"), "q", "&", "?&"))
     named = F.when(known, named).otherwise("")
-    return read.drop("html").join(found, "page", "left").select("page", "site", F.coalesce("more_available", F.lit(False)).alias("more_available"), "next_page_url", F.coalesce("typed", named).alias("search_query"))
+    return found.select("page", "site", "more_available", "next_page_url", F.coalesce("typed", named).alias("search_query"))
 
 
