@@ -36,8 +36,8 @@ TASKS = 100_000
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
     """vec_id and v (array<bigint>): floor(scale * x) of each component x as
-    double.  Rows whose vector is null, or holds a null or a number that is not
-    finite, go."""
+    double, the nearest 64-bit integer where it is beyond these.  Rows whose
+    vector is null, or holds a null or a number that is not finite, go."""
     # NaN exceeds every number, so one comparison rejects it and both infinities.
     fine = F.forall(F.col(vec_col), lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & fine).select(
@@ -68,15 +68,27 @@ def _blocks(vectors: DataFrame, n: int) -> DataFrame:
     return dealt.groupBy("block", "dim").applyInArrow(pack, schema)
 
 
+#: The score of a query's own row, below all others; no score is below LEAST or above -LEAST.
+OWN = np.iinfo(np.int64).min
+LEAST = -(2**63) + 1
+
+
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact inner products: in floating point where no sum can leave its
-    integers, else as integers."""
+    integers, else as integers.  Where 64 bits might not hold a sum it is
+    worked out in Python's integers; one beyond them is the nearest of them."""
     top = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
     if top < 2**24:
         return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if top < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    scores = q.astype(np.int64) @ c.astype(np.int64).T
+    if top >= 2**62:
+        size = lambda x: np.abs(x.astype(np.float64)).max(axis=1, initial=0)
+        for i, j in zip(*np.nonzero(np.outer(size(q), size(c)) * q.shape[1] >= 2**62), strict=True):
+            exact = sum(a * b for a, b in zip(q[i].tolist(), c[j].tolist(), strict=True))
+            scores[i, j] = min(max(exact, LEAST), -LEAST)
+    return scores
 
 
 @dataclass(frozen=True)
@@ -111,6 +123,9 @@ def top_k(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vec_col: str
     highest inner product with each query (all, if fewer), ties to the smaller
     vec_id.
 
+    Scores are exact within 64 bits; one beyond them counts as the nearest
+    integer of -(2**63 - 1) to 2**63 - 1, and ties there go by id too.
+
     ``is_query`` is a condition on the id column.  Repeated ids count once
     (their smallest vector by value); vectors of another length than the
     query's are no candidates of it.  An empty table, or one without queries,
@@ -127,9 +142,10 @@ def top_k(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vec_col: str
     # A score's size is at most the product of the norms; the range starts there, a power of BINS wide.
     norm = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0] or 0.0
     rounds = 1
-    while BINS**rounds < 2 * norm + 2:
+    while BINS**rounds < min(2 * norm + 2, 2**64):
         rounds += 1
-    ranges = chosen.select(F.col("vec_id").alias("query_id"), F.lit(-(BINS**rounds) // 2).cast("bigint").alias("low"), F.lit(k).cast("bigint").alias("need"))
+    low = max(-(BINS**rounds) // 2, LEAST)
+    ranges = chosen.select(F.col("vec_id").alias("query_id"), F.lit(low).cast("bigint").alias("low"), F.lit(k).cast("bigint").alias("need"))
     for left in range(rounds - 1, -1, -1):
         ranges = stored(_narrow(blocks, ranges, BITS * left), "score-ranges")
     return _select(blocks, ranges, k)
@@ -144,10 +160,6 @@ def _ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-#: The score of a query's own row, below all others.
-OWN = np.iinfo(np.int64).min
-
-
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]]:
     """Query ids, range starts and needs of each query block, and its scores
     with each of the cell's candidate blocks."""
@@ -192,9 +204,10 @@ def _narrow(blocks: Blocks, ranges: DataFrame, shift: int) -> DataFrame:
             table = np.zeros((len(ids), BINS), dtype=np.int64)
             first = np.arange(len(ids))[:, None] * BINS
             for _, scores in met:
-                # Scores above the range were counted in an earlier round.
-                bins = (np.where(scores == OWN, low[:, None] - 1, scores) - low[:, None]) >> shift
-                table += np.bincount((bins + first)[(bins >= 0) & (bins < BINS)], minlength=table.size).reshape(table.shape)
+                # Scores above the range were counted in an earlier round.  How far above its start, in unsigned integers: up to 2 ** 64.
+                bins = (scores.view(np.uint64) - low.view(np.uint64)[:, None]) >> np.uint64(shift)
+                live = (scores >= low[:, None]) & (scores != OWN) & (bins < BINS)
+                table += np.bincount(bins[live].astype(np.int64) + np.broadcast_to(first, bins.shape)[live], minlength=table.size).reshape(table.shape)
             above = np.cumsum(table[:, ::-1], axis=1)[:, ::-1] - table
             q, b = np.nonzero((table > 0) & (above < need[:, None]))
             yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(b.astype(np.int32)), pa.array(table[q, b])], names=["query_id", "bin", "n"])
@@ -206,8 +219,9 @@ def _narrow(blocks: Blocks, ranges: DataFrame, shift: int) -> DataFrame:
     hit = seen.withColumn("total", F.sum("n").over(all_n)).withColumn("lowest", F.min("bin").over(all_n)).where(
         ((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need"))) | ((F.col("total") < F.col("need")) & (F.col("bin") == F.col("lowest")))
     )
-    low = F.col("low") + F.shiftleft(F.col("bin").cast("bigint"), shift)
-    return hit.select("query_id", low.alias("low"), (F.col("need") - (F.col("upto") - F.col("n"))).alias("need"))
+    whole = "decimal(38,0)"  # a range's start fits 64 bits, its distance from the first need not
+    low = F.col("low").cast(whole) + F.col("bin").cast("decimal(10,0)") * F.lit(1 << shift).cast("decimal(20,0)")
+    return hit.select("query_id", low.cast("bigint").alias("low"), (F.col("need") - (F.col("upto") - F.col("n"))).alias("need"))
 
 
 def _select(blocks: Blocks, ranges: DataFrame, k: int) -> DataFrame:
