@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 
 from shelfline.plans.storage import shared_dir, stored
 
-__all__ = ["code_values", "lowered", "mix64", "most_frequent", "powers", "shared_dir", "span_hashes", "stored", "text_slices", "word_spans", "words_of"]
+__all__ = ["code_values", "free_names", "lowered", "mix64", "most_frequent", "powers", "shared_dir", "span_hashes", "stored", "text_slices", "word_spans", "words_of"]
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to be none of the
+    table's own columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
 
 #: Bytes of text handled at once by the vectorised helpers (one longer text is
 #: still handled whole); bounds the memory of a task, not what it reads.

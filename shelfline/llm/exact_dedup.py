@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import shared_dir, stored
+from shelfline.llm.common import free_names, shared_dir, stored
 
 #: Java's regular expression for one run of white space.
 WHITE_RUN = r"[\x20\x09-\x0D]+"
@@ -128,10 +128,14 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     """The rows of ``docs`` that :meth:`DigestIndex.add` keeps, all columns as
     they are."""
     index = index or DigestIndex(docs.sparkSession)
-    judged = stored(index.add(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "kept"), "judged")
-    this = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))
-    if judged.groupBy("__id").count().where("count > 1").isEmpty():
-        return docs.join(judged.where("not kept").drop("kept", "__digest").hint("merge"), this, "left_anti")
-    marked = docs.withColumn("__text", F.unhex(text_sha256(F.col(text_col))))
-    kept = judged.where("kept").drop("kept").distinct()
-    return marked.join(kept, this & (F.col("__text") == F.col("__digest")), "left_semi").dropDuplicates([id_col, "__text"]).drop("__text")
+    own_id, own_digest, text, row = free_names(docs, "id", "digest", "text", "row")
+    judged = stored(index.add(docs, id_col, text_col).select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest), "kept"), "judged")
+    gone = judged.where("not kept").select(own_id)
+    this = F.col(id_col).cast("bigint").eqNullSafe(F.col(own_id))
+    if judged.groupBy(own_id).count().where("count > 1").isEmpty():
+        return docs.join(gone.hint("merge"), this, "left_anti")
+    # Rows of one id: the first of each text that stays.
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(id_col).cast("bigint").alias("doc"), F.unhex(text_sha256(F.col(text_col))).alias(text))
+    kept = judged.where("kept").select(own_id, own_digest).distinct()
+    same = F.col("doc").eqNullSafe(F.col(own_id)) & (F.col(text) == F.col(own_digest))
+    return marked.join(kept, same, "left_semi").groupBy("doc", text).agg(F.first(row).alias(row)).select(f"{row}.*")

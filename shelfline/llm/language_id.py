@@ -205,5 +205,6 @@ def keep_identified(docs: DataFrame, model: Languages, least: float = 0.5, id_co
                 keep[first:last] = (best >= 0) & (own >= least)
             yield batch.filter(pa.array(keep))
 
-    schema = StructType([StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    return docs.mapInArrow(rows, schema)
+    # By number, as names may hold dots.
+    schema = StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)])
+    return docs.toDF(*schema.names).mapInArrow(rows, schema).toDF(*docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfline.llm.common import stored
+from shelfline.llm.common import free_names, stored
 
 #: Documents a block holds on average in a source that has all of them.
 BLOCK_DOCS = 1000
@@ -137,8 +137,10 @@ def mix(
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """``docs`` with each row as often as :func:`mix` uses it (columns as they
     are).  Rows of a source beyond its budget go; without a budget none do."""
-    uses = mix(docs, id_col=id_col, source_col=source_col, **options).groupBy("doc_id", "source").agg(F.count("*").cast("int").alias("__uses"))
-    uses = stored(uses.withColumnsRenamed({"doc_id": "__id", "source": "__source"}), "mix-uses")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("__source"))
+    own_id, own_source, uses_of, use = free_names(docs, "id", "of_source", "uses", "use")
+    uses = mix(docs, id_col=id_col, source_col=source_col, **options).groupBy("doc_id", "source").agg(F.count("*").cast("int").alias(uses_of))
+    uses = stored(uses.withColumnsRenamed({"doc_id": own_id, "source": own_source}), "mix-uses")
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col(own_source))
     # The same way at every size: the uses grow with the documents.
-    return docs.join(uses.hint("merge"), same).withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).select(docs.columns)
+    used = docs.join(uses.hint("merge"), same).withColumn(use, F.explode(F.sequence(F.lit(1), F.col(uses_of))))
+    return used.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import mix64, most_frequent, stored, words_of
+from shelfline.llm.common import free_names, mix64, most_frequent, stored, words_of
 
 #: The most n-grams whose frequency the global order knows (24 bytes each, broadcast).
 FREQUENT = 1 << 17
@@ -556,5 +556,6 @@ NEAR = Rule(5, 80, 100)
 def keep_one(docs: DataFrame, rule: Rule = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, that of the smallest id;
     columns as they are.  Rows with a null id stay."""
-    gone = stored(join_groups(docs, rule, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "near-copies")
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
+    (own,) = free_names(docs, "gone")
+    gone = stored(join_groups(docs, rule, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(own)), "near-copies")
+    return docs.join(gone, F.col(id_col).cast("bigint") == F.col(own), "left_anti")

@@ -114,12 +114,13 @@ def brute_top(rows, k, every):
     out = set()
     for q in vectors:
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(vectors[q], vectors[c], strict=True)), c) for c in vectors if c != q and len(vectors[c]) == len(vectors[q]))[:k]
+            most = 2**63 - 1
+            best = sorted((-max(-most, min(most, sum(a * b for a, b in zip(vectors[q], vectors[c], strict=True)))), c) for c in vectors if c != q and len(vectors[c]) == len(vectors[q]))[:k]
             out |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(best)}
     return out
 
 
-@pytest.mark.parametrize(("block", "scale"), [(1024, 1.0), (5, 1.0), (5, 400.0)])
+@pytest.mark.parametrize(("block", "scale"), [(1024, 1.0), (5, 1.0), (5, 400.0), (7, 1e8), (7, 1e15)])
 def test_top_k(spark, monkeypatch, block, scale):
     monkeypatch.setattr(topk, "BLOCK", block)
     r = random.Random(7)
@@ -131,6 +132,18 @@ def test_top_k(spark, monkeypatch, block, scale):
     assert {tuple(x) for x in got} == brute_top(rows, 7, 5) and len(got) == len({tuple(x) for x in got})
 
 
+def test_top_k_beyond_64_bits(spark):
+    """A component or a score beyond 64 bits counts as the nearest integer."""
+    rows = [(0, [0.5, 1e8]), (1, [1.0, 0.0]), (2, [1e30, 0.0]), (3, [-1e30, 1.0]), (20, [1e30, -1e30]), (21, [1e300, 1e300])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 9, lambda i: i % 20 == 0).collect()
+    most = 2**63 - 1
+    vectors = {i: [max(-most - 1, min(most, math.floor(64 * x) if abs(x) < 1e300 else int(x))) for x in v] for i, v in rows}
+    want = {(q, c): max(-most, min(most, sum(a * b for a, b in zip(vectors[q], vectors[c], strict=True)))) for q in (0, 20) for c in vectors if c != q}
+    assert {(r.query_id, r.vec_id): r.score for r in got} == want
+    for q in (0, 20):
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == sorted((c for c in vectors if c != q), key=lambda c: (-want[q, c], c))
+
+
 def test_top_k_without_rows(spark):
     table = spark.createDataFrame([(3, [1.0])], "vec_id bigint, embedding array<float>")
     assert topk.top_k(table, 5, lambda i: i % 2 == 0).isEmpty()
@@ -240,7 +253,30 @@ def test_pipeline_at_the_edges(spark, tmp_path):
     assert sum(r.doc_id == 200 for r in got) % len(epochs) == 0 and max(collections.Counter(r.start for r in got if r.doc_id == 200).values()) <= 2
 
 
+#: Names that the operators use inside.
+INSIDE = [
+    "id", "doc", "digest", "text_", "row", "gone", "uses", "use", "of_source", "source_", "kept", "keep_id", "group_size", "lang_pred", "score", "salt", "rank", "piece", "length", "part", "block", "epoch", "tokens", "weight", "mix_key",
+    "__id", "__digest", "__text", "__gone", "__uses", "__use", "__source", "component_id", "n_shingles", "n_tokens", "same_rows", "first_id", "range", "a.b",
+]
+
+
+def test_stages_pass_columns_of_any_name(spark):
+    import corpus_pipeline
+    from tests.llm.test_text_operators import sample
+
+    rows = [*sample()[:12], (0, "another text of an id that is there", "en", "b"), (None, "a text without an id", "en", None)]
+    table = spark.createDataFrame([(*r, *[f"{n}{k}" for n in INSIDE]) for k, r in enumerate(rows)], f"doc_id bigint, text string, lang string, source string, {', '.join(f'`{n}` string' for n in INSIDE)}")
+    given = {tuple(r) for r in table.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, SMALL)
+        if name == "best_fit_packing":
+            assert out.count() >= len(rows)
+        else:
+            got = out.collect()
+            assert out.columns == table.columns and got and {tuple(r) for r in got} <= given, name
+
+
 def test_registered(spark):
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert queries.op10_sharding(spark, SMALL).agg(F.countDistinct("shard")).first()[0] > 40
