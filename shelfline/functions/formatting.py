@@ -80,6 +80,8 @@ def escape_html(c: Column) -> Column:
     return out
 
 
+# The markup of the statistics cell and of the card, element by
+# element, with its class names and words.
 def stats_html(has: Column, lowest: Column, average: Column, highest: Column) -> Column:
     cells = [
         F.concat(F.lit(f'<div class="price-cell"><span class="price-label">{name}</span><span class="price-value">'), escape_html(rupees(c)), F.lit("</span></div>"))

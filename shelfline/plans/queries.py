@@ -760,9 +760,12 @@ def html_titles(spark, sf):
     return found.groupBy(F.col("page").alias("page_id")).agg(first.alias("title"), F.count_if(F.col("name") == "ad").alias("ads"))
 
 
-@query("SELECT name, implemented FROM (VALUES ('Amazon', true), ('Flipkart', true), ('Meesho', true), ('Myntra', false)) t(name, implemented)")
+@query(f"""SELECT name, implemented, (SELECT count(*) FROM ({_URLS}) WHERE {_SITE} = name) AS pages
+  FROM (VALUES ('Amazon', true), ('Flipkart', true), ('Meesho', true), ('Myntra', false)) t(name, implemented)""")
 def registered_sites(spark, sf):
-    return sites.registered(spark).select("name", "implemented")
+    """The shops, and how many of the pages are of each."""
+    pages = rows(spark, sf, inputs.PAGE_URLS).groupBy(urls.site_of(F.col("url")).alias("name")).agg(F.count("*").alias("pages"))
+    return sites.registered(spark).join(pages, "name", "left").select("name", "implemented", F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
 # --- pages and rows that arrive one after another
