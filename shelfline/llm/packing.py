@@ -257,16 +257,17 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, id_col: str = "d
     empty table has no piece.  To the driver come the counts of at most
     ``size`` lengths.
     """
-    cut = stored(pieces(docs, tokenizer, size, id_col, text_col), "pieces")
+    # The number of a piece's row, once written, deals out those of one id too.
+    cut = stored(pieces(docs, tokenizer, size, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(size + 1, dtype=np.int64)
     for length, n in cut.groupBy("length").count().collect():
         counts[length] = n
     segments = cut.sparkSession.sparkContext.broadcast(_segments(solve(counts, size)))
     salts = max(16, int(counts.max()) // RANKED_ROWS)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("rank", F.row_number().over(inside)).join(starts, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") - 1 + F.col("before")).alias("rank"))
 
