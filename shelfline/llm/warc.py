@@ -235,16 +235,19 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Records are joined through WARC-Concurrent-To.  A capture is a response
     or revisit; requests and metadata that point at none are left out.  Of
-    two requests the one first by record id is taken; each of repeated
-    responses and revisits (one record_id) is a capture, with what points at it.
+    two requests the one first by record id is taken, of repeated metadata
+    records (one record_id) one; each of repeated responses and revisits is a
+    capture, with what points at it.
     """
     whole = F.struct(*[F.col(c) for c in records.columns])
     main = records.where(F.col("warc_type").isin("response", "revisit"))
     main = main.select("record_id", whole.alias("response"))
     beside = records.where(F.col("warc_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
-    beside = beside.groupBy(F.col("concurrent_to").alias("record_id")).agg(
-        F.min_by(F.when(F.col("warc_type") == "request", whole), F.when(F.col("warc_type") == "request", F.col("record_id"))).alias("request"),
-        F.collect_list(F.when(F.col("warc_type") == "metadata", whole)).alias("metadata"),
+    # Repeated records meet before anything is collected, so an array does not grow with them.
+    once = beside.groupBy(F.col("concurrent_to").alias("to"), "warc_type", F.col("record_id").alias("id")).agg(F.min_by(whole, F.struct("file", "place")).alias("record"))
+    beside = once.groupBy(F.col("to").alias("record_id")).agg(
+        F.min_by(F.when(F.col("warc_type") == "request", F.col("record")), F.when(F.col("warc_type") == "request", F.struct(F.col("id").isNull(), F.col("id")))).alias("request"),
+        F.collect_list(F.when(F.col("warc_type") == "metadata", F.col("record"))).alias("metadata"),
     )
     return main.join(beside, "record_id", "left").select("record_id", "response", "request", F.coalesce("metadata", F.array()).alias("metadata"))
 
