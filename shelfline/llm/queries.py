@@ -145,6 +145,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def _op10_sql() -> str:
+    """The slot of each id's MD5, and the table of slots as one list."""
+    table = ",".join(map(str, sharding.lookup_table(SHARDS).tolist()))
+    slot = f"CAST(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.TABLE_SIZE} AS INTEGER)"
+    return f"SELECT doc_id, slot, t.shards[slot + 1]::INTEGER AS shard FROM (SELECT doc_id, {slot} AS slot FROM documents), (SELECT [{table}] AS shards) t"
+
+
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code of every vector, by 16 codebooks of 64 entries."""
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
@@ -245,4 +252,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_warc_assembly": OP7_SQL, "op8_exact_top_k": OP8_SQL, "op11_vector_codes": _op11_sql(), "op12_source_divergence": OP12_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_warc_assembly": OP7_SQL, "op8_exact_top_k": OP8_SQL, "op10_sharding": _op10_sql(), "op11_vector_codes": _op11_sql(), "op12_source_divergence": OP12_SQL}
