@@ -243,8 +243,9 @@ def assemble(records: DataFrame) -> DataFrame:
     main = records.where(F.col("warc_type").isin("response", "revisit"))
     main = main.select("record_id", whole.alias("response"))
     beside = records.where(F.col("warc_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
+    order = F.struct(F.coalesce("payload", F.lit(b"")), *[c for c in ("file", "place") if c in records.columns])
     # Repeated records meet before anything is collected, so an array does not grow with them.
-    once = beside.groupBy(F.col("concurrent_to").alias("to"), "warc_type", F.col("record_id").alias("id")).agg(F.min_by(whole, F.struct("file", "place")).alias("record"))
+    once = beside.groupBy(F.col("concurrent_to").alias("to"), "warc_type", F.col("record_id").alias("id")).agg(F.min_by(whole, order).alias("record"))
     beside = once.groupBy(F.col("to").alias("record_id")).agg(
         F.min_by(F.when(F.col("warc_type") == "request", F.col("record")), F.when(F.col("warc_type") == "request", F.struct(F.col("id").isNull(), F.col("id")))).alias("request"),
         F.collect_list(F.when(F.col("warc_type") == "metadata", F.col("record"))).alias("metadata"),
