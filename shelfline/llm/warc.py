@@ -19,10 +19,8 @@ from pyspark.sql import functions as F
 
 from shelfline.llm.common import stored
 
-#: Captures in one archive file whose payloads have at most SMALL bytes; where
-#: they have up to 8, 64, ... times that, a file has so many fewer, one at
-#: least.  So a file has 64 MB about, or one capture.
-FILE_CAPTURES, SMALL = 500, 1 << 17
+#: Bytes of one archive file before it is packed, unless one capture has more.
+FILE_BYTES = 1 << 25
 #: Bytes that a reading task unpacks at once.
 STEP = 1 << 20
 #: The two line ends that close every record.
@@ -64,27 +62,40 @@ def dedup_plan(pages: DataFrame, least_bytes: int, id_col: str = "page_id", payl
     return keyed.join(last, "sha1", "left").select("page_id", "sha1", F.when(F.col("n") >= least_bytes, F.col("response_id")).otherwise(F.col("page_id")).alias("response_id"), "n")
 
 
-def _size_class(n: Column) -> Column:
-    return F.when(n <= SMALL, 0).otherwise(F.ceil(F.log(n / SMALL) / F.log(F.lit(8.0)))).cast("int")
+def _in_files(most: int):
+    """Puts captures together to files of ``most`` bytes, one value each."""
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([RECORD_END.encode().join(held)], pa.binary()).cast(pa.string())], names=["value"])
+        for batch in batches:
+            for capture in batch.column(0).cast(pa.binary()):
+                capture = capture.as_py()
+                if held and size + len(capture) > most:
+                    yield out()
+                    held, size = [], 0
+                held.append(capture)
+                size += len(capture)
+        if held:
+            yield out()
+
+    return files
 
 
-def write_captures(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+def write_captures(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", file_bytes: int = FILE_BYTES) -> None:
     """Writes one capture (three records) a row of ``pages`` to gzip archives
     under ``path`` by Spark's own writer, so any file system Spark knows will do.
 
-    A null payload counts as empty, a null URL as ``about:blank``; control
-    characters in a URL become spaces.  Of repeated rows of one page_id all
-    become responses or revisits alike.  A payload is written whole, however
-    long.  Other columns play no part; an empty table writes no record.
+    The pages are read twice, once for the digests that say what revisits what,
+    and once to be written.  A null payload counts as empty, a null URL as
+    ``about:blank``; control characters in a URL become spaces.  Of repeated
+    rows of one page_id all become responses or revisits alike.  A payload is
+    written whole, however long.  Other columns play no part; an empty table
+    writes no record.
     """
-    plan = stored(dedup_plan(pages, least_bytes, id_col, payload_col).select(F.col("page_id").alias("__id"), F.col("sha1").alias("__sha1"), "response_id", _size_class(F.col("n")).alias("__class")).distinct(), "capture-plan")
-    for size_class in sorted(r[0] for r in plan.select("__class").distinct().collect()) or [0]:
-        _write_class(pages, plan.where(F.col("__class") == size_class), path, size_class, id_col, url_col, payload_col)
-
-
-def _write_class(pages: DataFrame, plan: DataFrame, path: str, size_class: int, id_col: str, url_col: str, payload_col: str) -> None:
-    length = F.octet_length(F.coalesce(F.col(payload_col), F.lit("")))
-    rows = pages.where(_size_class(length) == size_class).select(
+    plan = dedup_plan(pages, least_bytes, id_col, payload_col).select(F.col("page_id").alias("__id"), F.col("sha1").alias("__sha1"), "response_id").distinct()
+    plan = stored(plan, "capture-plan")
+    rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("about:blank")), r"[\x00-\x1F\x7F]", " ").alias("uri"),
     ).join(plan.hint("merge"), F.col("page_id").eqNullSafe(F.col("__id")) & (F.sha1(F.col("payload").cast("binary")) == F.col("__sha1")))
@@ -105,10 +116,8 @@ def _write_class(pages: DataFrame, plan: DataFrame, path: str, size_class: int,
         main,
         _record(F.lit("metadata"), _urn("metadata", number, sha1), uri, [to], "application/warc-fields", fields),
     )
-    (
-        rows.select(F.array_join(records, RECORD_END).alias("value"))
-        .write.mode("append").option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_CAPTURES // 8**size_class)).text(path)
-    )
+    files = rows.select(F.array_join(records, RECORD_END).alias("value")).mapInArrow(_in_files(file_bytes), "value string")
+    files.write.mode("append").option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def _sha1(data: bytes) -> str:

@@ -24,7 +24,7 @@ def pages(spark, rows):
 
 def read_back(spark, table, least=0):
     path = shared_dir(spark, "archives")
-    warc.write_captures(table, path, least)
+    warc.write_captures(table, path, least, file_bytes=100_000)
     return path, warc.captures(spark, path)
 
 
@@ -46,7 +46,7 @@ def test_warc_round_trip(spark):
         if r.warc_type == "response":
             assert bytes(r.payload) == payload and r.digest_ok and r.http_status == 200
     files = spark.read.format("binaryFile").load(path).where("length > 0").collect()
-    assert len(files) > 1  # the long payload is in files of its size
+    assert len(files) > 1  # the long payload fills a file
     assert all(gzip.decompress(f.content).startswith(b"WARC/1.1\r\n") for f in files)
 
 
