@@ -32,10 +32,17 @@ def with_rank(df: DataFrame, partition_by: Sequence[str] = (), size: int = PAGE_
     """``df`` with feedback_volume, rank (from 1, no gaps) and page, over the
     whole table or within ``partition_by``.
 
-    Two tables are written while the plan is built: the rows, as finding the
-    ranges reads them once more, and the sorted rows, whose places count.
+    Two tables are written while the plan is built: the rows, and of each row
+    its number and what it is ranked by, sorted, whose places count.  The ranks
+    are joined to the rows by these numbers.
     """
-    df = stored(df.withColumn("feedback_volume", volume()), "to-rank")
+    rows = stored(df.withColumns({"feedback_volume": volume(), "__row": F.monotonically_increasing_id()}), "to-rank")
+    ranks = _ranks(rows.select("__row", *partition_by, "feedback_volume", "ordinal"), partition_by)
+    return rows.join(ranks, "__row").withColumn("page", page_of(F.col("rank"), size)).drop("__row")
+
+
+def _ranks(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """__row and rank."""
     ranges = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     order = [F.col(c).asc() for c in partition_by] + by_volume()
     ordered = df.repartitionByRange(int(ranges), *order).sortWithinPartitions(*order)
@@ -43,16 +50,15 @@ def with_rank(df: DataFrame, partition_by: Sequence[str] = (), size: int = PAGE_
     placed = stored(ordered.withColumn("__place", F.monotonically_increasing_id()), "ranked")
     part = F.shiftrightunsigned("__place", 33)
     if partition_by:
-        return _within(placed.withColumn("__part", part), partition_by, size)
+        return _within(placed.withColumn("__part", part), partition_by)
     counts = placed.groupBy(part.alias("__part")).count()
     before = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     # As many rows as there are ranges: the number of shuffle partitions.
     ranked = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
-    rank = F.col("__before") + F.col("__place").bitwiseAND((1 << 33) - 1) + 1
-    return ranked.withColumn("rank", rank).withColumn("page", page_of(F.col("rank"), size)).drop("__part", "__place", "__before")
+    return ranked.select("__row", (F.col("__before") + F.col("__place").bitwiseAND((1 << 33) - 1) + 1).alias("rank"))
 
 
-def _within(placed: DataFrame, by: Sequence[str], size: int) -> DataFrame:
+def _within(placed: DataFrame, by: Sequence[str]) -> DataFrame:
     """Ranks within groups: a group's rows of one range are neighbours, after
     those of the ranges before it.  As many rows are joined as there are
     groups and ranges together, so Spark decides how by their size."""
@@ -64,8 +70,7 @@ def _within(placed: DataFrame, by: Sequence[str], size: int) -> DataFrame:
     same = F.col("__part") == F.col("__in")
     for c, n in names.items():
         same = same & F.col(c).eqNullSafe(F.col(n))
-    ranked = placed.join(before, same).withColumn("rank", F.col("__place") - F.col("__first") + F.col("__before") + 1)
-    return ranked.withColumn("page", page_of(F.col("rank"), size)).drop("__part", "__place", "__in", "__first", "__before", *names.values())
+    return placed.join(before, same).select("__row", (F.col("__place") - F.col("__first") + F.col("__before") + 1).alias("rank"))
 
 
 def top(df: DataFrame, n: int, size: int = PAGE_SIZE) -> DataFrame:
