@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +20,9 @@ from shelfline.sources.dom import Node, parse
 
 _RUN = re.compile(f"{WHITE}+")
 
+#: Rows, and characters of their texts, of a batch of node rows.
+ROWS, CHARACTERS = 5000, 4_000_000
+
 NODE = "page bigint, card int, name string, at array<int>, text string, attrs map<string,string>, up array<string>"
 
 
@@ -125,12 +127,23 @@ def _page_rows(spec: Spec, html: str | None) -> Iterator[tuple]:
 
 def node_batches(pages: Iterable[tuple], specs: dict[str, Spec], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """The node rows of pages (page, reader, html, and what each row carries
-    besides), 5000 at most in a batch."""
+    besides), ROWS at most in a batch, and no more once CHARACTERS of text are."""
+    part: list[tuple] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        values = zip(*part, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
     for page, reader, html, *kept in pages:
-        every = _page_rows(specs[reader], html) if reader in specs else iter(())
-        while part := list(islice(every, 5000)):
-            values = zip(*[(page, *row, reader, *kept) for row in part], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+        for row in _page_rows(specs[reader], html) if reader in specs else ():
+            part.append((page, *row, reader, *kept))
+            size += len(row[3])
+            if len(part) >= ROWS or size >= CHARACTERS:
+                yield out()
+                part, size = [], 0
+    if part:
+        yield out()
 
 
 def select_nodes(pages: DataFrame, specs: dict[str, Spec], keep: Sequence[str] = ()) -> DataFrame:
