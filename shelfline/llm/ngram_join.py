@@ -12,8 +12,11 @@ where the n-grams that remain cannot make up the overlap needed.  Partners
 already in one component need not be compared.
 
 Equal sets are joined once.  A group too large for a task is split; every part
-holds the group's pivot, and what is not in the pivot's component meets all
-other parts in a second round, so no link between components is lost.
+holds the group's pivot.  What is not in the pivot's component meets in a
+second round, by n-grams that are rare among the members of split groups: so a
+passage that many unlike documents share costs the n-grams of their prefixes,
+not pairs of parts.  What is still outside in a group that is split again meets
+all parts of it, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ SEEN = 4
 PART_SETS, PART_GRAMS = 1000, 2_000_000
 #: Rows of one n-gram that are held before its group is settled.
 HELD_ROWS = 500_000
+#: Counters of the second round's order (8 bytes each, broadcast; only the order depends on them).
+SLOTS = 1 << 20
 #: The most bits of the filter that spares documents without partners.
 FILTER_BITS = 1 << 27
 
@@ -148,6 +153,11 @@ class Order:
         self.maybe = np.zeros(1 << 22, dtype=bool)
         self.maybe[(self.grams >> np.uint64(42)).astype(np.int64)] = True
 
+    def look(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each n-gram is among the frequent ones (-1: nowhere), and how often it is there."""
+        at = self.find(grams)
+        return at, np.where(at >= 0, self.seen[at] if len(self.seen) else 0, 0)
+
     def find(self, grams: np.ndarray) -> np.ndarray:
         """Where each n-gram is among the frequent ones; -1: nowhere."""
         out = np.full(len(grams), -1, dtype=np.int64)
@@ -160,8 +170,44 @@ class Order:
 
     def frequency(self, grams: np.ndarray) -> np.ndarray:
         """How often n-grams are known to be there; 0: not among the frequent ones."""
-        at = self.find(grams)
-        return np.where(at >= 0, self.seen[at], 0) if len(self.seen) else np.zeros(len(grams), dtype=np.int64)
+        return self.look(grams)[1]
+
+
+class Counters:
+    """An order of all n-grams of some documents: by the counter that an
+    n-gram shares with others, then by hash.  A counter is never below the
+    n-gram's own number of sets, so what many share comes late."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    @staticmethod
+    def slot(grams: np.ndarray) -> np.ndarray:
+        return (mix64(grams ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SLOTS)).astype(np.int64)
+
+    def look(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.full(len(grams), -1, dtype=np.int64), self.frequency(grams)
+
+    def frequency(self, grams: np.ndarray) -> np.ndarray:
+        return self.table[self.slot(grams)]
+
+
+def _counters(docs: DataFrame, rule: Rule) -> Counters:
+    """The counters over the sets of ``docs``; each task adds up its own."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for _, _, _, gram in _sets(batch["text"], rule.n):
+                slots, times = np.unique(Counters.slot(gram), return_counts=True)
+                table[slots] += times
+        some = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(table[some])], names=["slot", "times"])
+
+    summed = docs.mapInArrow(rows, "slot int, times bigint").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    table = np.zeros(SLOTS, dtype=np.int64)
+    table[summed["slot"].to_numpy()] = summed["times"].to_numpy()
+    return Counters(table)
 
 
 def _memberships(docs: DataFrame, rule: Rule, order) -> DataFrame:
@@ -170,15 +216,14 @@ def _memberships(docs: DataFrame, rule: Rule, order) -> DataFrame:
     n-grams of the document's prefix lead there."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Order = order.value
+        known: Order | Counters = order.value
         for batch in batches:
             ids = batch["doc"].to_numpy()
             for first, last, row, gram in _sets(batch["text"], rule.n):
                 if not len(row):
                     continue
-                at = known.find(gram)
-                seen = np.where(at >= 0, known.seen[at] if len(known.seen) else 0, 0)
-                if (at >= 0).any():
+                at, seen = known.look(gram)
+                if seen.any():
                     by = np.lexsort((gram, seen, row))
                     row, gram, at = row[by], gram[by], at[by]
                 size = np.bincount(row, minlength=last - first)
@@ -334,7 +379,7 @@ class PrefixTree:
             node, at = child, at + same
 
 
-def _join(docs: np.ndarray, sets: list[np.ndarray], rule: Rule, known: Order) -> tuple[list[int], list[int], np.ndarray]:
+def _join(docs: np.ndarray, sets: list[np.ndarray], rule: Rule, known: Order | Counters) -> tuple[list[int], list[int], np.ndarray]:
     """Links that connect each component of a group, and the component of
     each set.  In the trie stands first what is last in the global order: the
     n-grams that most sets share."""
@@ -383,9 +428,9 @@ def _members(met: DataFrame, rule: Rule) -> DataFrame:
     return several(judged.where(F.col("grams") >= F.col("need")).drop("need"))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """doc and grams of the documents in ``wanted`` (and, as a filter of
-    bounded size decides, of some others)."""
+def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the documents in ``wanted`` (and, as a filter of bounded size
+    decides, of some others)."""
     n = wanted.count()
     bits = 1 << 10
     while bits < min(16 * n, FILTER_BITS):
@@ -423,13 +468,22 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
         for batch in batches:
             one, two = _bloom(batch["doc"].to_numpy(), bits)
-            batch = batch.filter(pa.array(has(one) & has(two)))
+            yield batch.filter(pa.array(has(one) & has(two)))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """doc and grams of the documents in ``wanted`` (and of some others)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             for first, last, row, gram in _sets(batch["text"], rule.n):
                 ends = np.searchsorted(row, np.arange(last - first + 1)).astype(np.int32)
                 grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(gram.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch["doc"].slice(first, last - first), grams], names=["doc", "grams"])
 
-    return docs.mapInArrow(rows, "doc bigint, grams array<bigint>")
+    return _only(docs, wanted).mapInArrow(rows, "doc bigint, grams array<bigint>")
 
 
 def _linked(placed: DataFrame, sets: DataFrame, rule: Rule, order) -> DataFrame:
@@ -474,6 +528,53 @@ def _linked(placed: DataFrame, sets: DataFrame, rule: Rule, order) -> DataFrame:
     return whole.mapInArrow(rows, "grp bigint, part int, a bigint, b bigint")
 
 
+def _place(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The groups of ``members`` that hold several (grp, pivot, parts), and in
+    which parts of them each member is; the pivot is in all."""
+    groups = members.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("grams"), F.min("doc").alias("pivot")).where("size > 1")
+    parts = F.greatest(F.ceil(F.col("size") / PART_SETS), F.ceil(F.col("grams") / PART_GRAMS)).cast("int")
+    groups = stored(groups.select("grp", "pivot", parts.alias("parts")), "groups")
+    part = F.when(F.col("doc") == F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))
+    placed = members.join(groups, "grp").select("grp", "doc", "pivot", F.explode(part).alias("part"), (F.col("parts") > 1).alias("watched"))
+    return groups, stored(placed, "placed")
+
+
+def _found(placed: DataFrame, texts: DataFrame, rule: Rule, order, name: str) -> tuple[DataFrame, DataFrame]:
+    """The links of ``placed``, and who is outside the pivot's component (grp, doc)."""
+    found = stored(_linked(placed, _sets_of(texts, placed.select("doc").distinct(), rule), rule, order), name)
+    return found.where("b is not null").select("a", "b"), found.where("b is null").select("grp", F.col("a").alias("doc")).distinct()
+
+
+def _apart(texts: DataFrame, placed: DataFrame, rest: DataFrame, size: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) that join ``rest``, what is outside its pivot's component
+    in some part, with the other parts of its groups, and no fewer than
+    connect what these join.
+
+    All members of such groups meet anew, by the n-grams that are rare among
+    them: rows grow with the n-grams of their prefixes.
+    """
+    near = placed.join(rest.select("grp").distinct(), "grp", "left_semi").select("doc").distinct()
+    near = near.join(rest.select("doc").distinct().withColumn("outside", F.lit(True)), "doc", "left").join(size, "doc")
+    near = stored(near, "apart")
+    some = _only(texts, near)
+    order = texts.sparkSession.sparkContext.broadcast(_counters(some, rule))
+    met = stored(_memberships(some, rule, order).join(near, "doc"), "met-apart")
+    met = met.join(met.where("outside").select("grp").distinct(), "grp", "left_semi").drop("outside")
+    groups, placed = _place(stored(_members(met, rule), "members-apart"))
+    links, rest = _found(placed, texts, rule, order, "links-apart")
+    if rest.isEmpty():
+        return links
+    # Every part of a group meets every chunk of what is still outside the pivot's component.
+    rest = stored(rest, "outside-again")
+    many = rest.groupBy("grp").agg(F.ceil(F.count("*") / PART_SETS).cast("int").alias("chunks"))
+    wide = many.join(groups, "grp")
+    own = placed.where("watched").join(wide.select("grp", "chunks", "parts"), "grp").select("grp", "doc", "pivot", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "parts")
+    probe = rest.join(wide, "grp").withColumn("chunk", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("chunks")).cast("int"))
+    probe = probe.select("grp", "doc", "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "chunk", "parts")
+    again = own.unionByName(probe).select("grp", "doc", "pivot", (F.col("chunk") * F.col("parts") + F.col("part")).cast("int").alias("part"), F.lit(False).alias("watched")).distinct()
+    return links.unionByName(_found(stored(again, "placed-again"), texts, rule, order, "links-again")[0])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """doc and comp, the smallest document it is connected with, of all that
     ``edges`` (a, b) name but these smallest, by alternating large and small
@@ -520,28 +621,10 @@ def join_groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: s
     # Copies have the same n-grams in the same groups.
     met = stored(met.join(rep, "doc").groupBy("grp", F.col("rep").alias("doc")).agg(F.max("grams").alias("grams"), F.max("n").alias("n")), "met")
     members = stored(_members(met, rule), "members")
-    groups = members.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("grams"), F.min("doc").alias("pivot")).where("size > 1")
-    parts = F.greatest(F.ceil(F.col("size") / PART_SETS), F.ceil(F.col("grams") / PART_GRAMS)).cast("int")
-    groups = stored(groups.select("grp", "pivot", parts.alias("parts")), "groups")
-    part = F.when(F.col("doc") == F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))
-    placed = members.join(groups, "grp").select("grp", "doc", "pivot", F.explode(part).alias("part"), (F.col("parts") > 1).alias("watched"))
-    placed = stored(placed, "placed")
-    sets = _sets_of(texts, placed.select("doc").distinct(), rule)
-    found = stored(_linked(placed, sets, rule, order), "links")
-    links = found.where("b is not null").select("a", "b")
-    rest = found.where("b is null").select("grp", F.col("a").alias("doc")).distinct()
+    _, placed = _place(members)
+    links, rest = _found(placed, texts, rule, order, "links")
     if not rest.isEmpty():
-        rest = stored(rest, "outside")
-        many = rest.groupBy("grp").agg(F.ceil(F.count("*") / PART_SETS).cast("int").alias("chunks"))
-        wide = many.join(groups, "grp")
-        # Every part of the group meets every chunk of what is outside the pivot's component.
-        own = placed.where("watched").join(wide.select("grp", "chunks", "parts"), "grp").select("grp", "doc", "pivot", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "parts")
-        probe = rest.join(wide, "grp").withColumn("chunk", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("chunks")).cast("int"))
-        probe = probe.select("grp", "doc", "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "chunk", "parts")
-        second = own.unionByName(probe).select("grp", "doc", "pivot", (F.col("chunk") * F.col("parts") + F.col("part")).cast("int").alias("part"), F.lit(False).alias("watched")).distinct()
-        second = stored(second, "placed-again")
-        again = _linked(second, _sets_of(texts, second.select("doc").distinct(), rule), rule, order)
-        links = links.unionByName(again.where("b is not null").select("a", "b"))
+        links = links.unionByName(_apart(texts, placed, stored(rest, "outside"), rep.select("doc", "n"), rule))
     comp = stored(components(links), "components")
     return (
         rep.join(comp.withColumnRenamed("doc", "rep"), "rep", "left")

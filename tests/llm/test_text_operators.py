@@ -89,6 +89,38 @@ def test_ngram_join_without_rows_and_keep_one(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("many", [300, 1200])
+def test_ngram_join_of_a_passage_in_unlike_documents(spark, monkeypatch, many):
+    """Documents that share a passage whose n-grams the first order does not
+    know as frequent: they are told apart by their other n-grams, and the rows
+    of each round grow with the documents, not with their square."""
+    r = random.Random(many)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = []
+    for k in range(many):
+        own = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        rows.append((k, " ".join([*own[:30], passage, *own[30:]]), "en", "hot"))
+        if k % 10 == 0:
+            rows.append((many + k, " ".join([*own[:30], passage, *own[30:59], "other"]), "en", "hot"))
+    r.shuffle(rows)
+    written = collections.Counter()
+
+    def stored(df, name, *rest):
+        table = ngram_stored(df, name, *rest)
+        written[name] = max(written[name], table.count())
+        return table
+
+    ngram_stored = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    monkeypatch.setattr(ngram_join, "PART_SETS", 20)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    got = ngram_join.join_groups(docs(spark, rows), ngram_join.Rule(4, 85, 100)).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: i - many if i >= many else i for i, *_ in rows}
+    assert written["outside"] >= many  # the case is met
+    assert written["met-apart"] <= 20 * many
+    assert written["placed-again"] <= many
+
+
 def test_prefix_tree_finds_every_component():
     rule = ngram_join.Rule(4, 85, 100)
     for seed in range(60):
