@@ -34,7 +34,8 @@ class Pick:
     matches, whose attributes they get, or their ``own``.  ``longest``: longer texts are left
     out.  ``leaf``: only elements without elements.  ``up``: texts that are
     shorter, runs of white space counted as one, bring the texts of their
-    ancestors within the card.
+    ancestors within the card.  ``source``: the text is what is written between
+    the element's tags, markup and entities as they are.
     """
 
     name: str
@@ -46,6 +47,7 @@ class Pick:
     leaf: bool = False
     up: int = 0
     first_tier: int = 0
+    source: bool = False
 
     def nodes(self, card: Node) -> Iterator[tuple[list[int], Node, Node]]:
         if self.within:
@@ -68,7 +70,7 @@ class Pick:
                 seen.add((at[2], node.order))
             if self.longest and node.page.trimmed_length(node.first, node.last) > self.longest or self.leaf and node.kids:
                 continue
-            text = node.text()
+            text = node.source() if self.source else node.text()
             attrs = {a: holder.attrs[a] for a in self.attrs if a in holder.attrs}
             attrs["#tag"] = node.tag
             if node.under:

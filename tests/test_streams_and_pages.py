@@ -222,6 +222,12 @@ def test_source_of_stored_pages(spark, tmp_path):
     assert read_products(spark, str(tmp_path / "none")).isEmpty()
 
 
+def test_source_of_an_element():
+    """What stands between an element's tags, as written, over lines and where tags are missing."""
+    root = parse('<p>\nx<h1\n class="a">a &quot;b&quot;&amp;amp</h1>\n<ul><li>1 &lt\n<li><b>2</b></ul><br\n>z<i>&amp')
+    assert [root.select(s)[0].source() for s in ("h1", "li", "ul", "br", "i", "p")] == ["a &quot;b&quot;&amp;amp", "1 &lt\n", "<li>1 &lt\n<li><b>2</b>", "", "&amp", "\nx"]
+
+
 def equals_its_sql(spark, folder, name, columns, **tables):
     """Whether a query over small tables (rows, schema) gives what its SQL does; the rows."""
     import duckdb
@@ -241,3 +247,9 @@ def test_amounts_between_two_hundredths(spark, tmp_path):
     cents = [102500, 103500, 244500, 100500, 123456, 49999500, 244400]
     orders = [(4 * k + f, c / 100) for k, c in enumerate(cents) for f in range(4)]
     equals_its_sql(spark, tmp_path, "format_inr", ["o_orderkey", "price", "count"], orders=(orders, "o_orderkey bigint, o_totalprice double"))
+
+
+def test_titles_as_they_are_written(spark, tmp_path):
+    """Headings with other entities than ampersands, cut ones, none, and no HTML."""
+    pages = [(1, '<h1>a&amp;b &quot;c&quot; &amp</h1><h1>d</h1><div class="ad">x</div>'), (2, "<p>no heading</p>"), (3, None), (4, ""), (5, "<h1>x\ny &lt;&lt;</h1>")]
+    equals_its_sql(spark, tmp_path, "html_titles", ["page_id", "title", "ads"], pages=([(k, "u", h) for k, h in pages], "page_id bigint, url string, html string"))
