@@ -29,7 +29,7 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 
 #: Bytes of text handled at once by the vectorised helpers (one longer text is
 #: still handled whole); bounds the memory of a task, not what it reads.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def most_frequent(table: DataFrame, count: str, most: int) -> tuple[DataFrame, int]:

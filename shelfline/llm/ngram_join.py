@@ -36,6 +36,9 @@ from shelfline.llm.common import free_names, mix64, most_frequent, stored, words
 FREQUENT = 1 << 17
 #: Documents of a task that share an n-gram before it can count as frequent.
 SEEN = 4
+#: N-grams of a task that are held while it counts them (24 bytes each, some
+#: five times that while they are added up).
+HELD_GRAMS = 1_000_000
 #: Members of a part of a group, and n-grams of all its sets, about.
 PART_SETS, PART_GRAMS = 1000, 2_000_000
 #: Rows of one n-gram that are held before its group is settled.
@@ -129,7 +132,7 @@ def _profile(docs: DataFrame, rule: Rule) -> DataFrame:
                 gram, doc = gram[order], doc[order]
                 begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, dtype=np.int64)
                 held.append((gram[begin], np.diff(np.append(begin, len(gram))), doc[begin]))
-                if sum(len(h[0]) for h in held) > 3_000_000:
+                if sum(len(h[0]) for h in held) > HELD_GRAMS:
                     # What was met once is let go, which can only change the order.
                     gram, seen, low = merged()
                     held = [(gram[seen > 1], seen[seen > 1], low[seen > 1])]

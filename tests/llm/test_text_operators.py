@@ -677,3 +677,26 @@ def test_mixing_within_a_budget(spark):
         total[r.source] += r.n_tokens
     weight = {r.source: r.weight for r in uses}
     assert all(300 * weight[s] - 1e-6 <= n < 300 * weight[s] + 10 for s, n in total.items())
+
+
+def test_profile_of_many_grams_is_small():
+    """What a task of the n-gram join holds while it counts does not grow with its texts."""
+    import tracemalloc
+
+    class Mapped:
+        def mapInArrow(self, rows, _):
+            return rows
+
+    rows = ngram_join._profile(Mapped(), ngram_join.Rule(4, 85, 100))
+    words = np.random.default_rng(5)
+
+    def batches():
+        for k in range(16):
+            texts = [" ".join(map(str, words.integers(0, 10**9, 2000))) for _ in range(100)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(100 * k, 100 * k + 100)), pa.array(texts)], names=["doc", "text"])
+
+    tracemalloc.start()
+    found = sum(batch.num_rows for batch in rows(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 1600 and peak < 150e6
