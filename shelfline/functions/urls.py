@@ -83,11 +83,13 @@ def product_id_in(url: Column) -> Column:
 def product_url(url: Column) -> Column:
     """The canonical form of a product link; of other URLs the path without
     trailing slashes; null for an empty one."""
-    full = F.when(url.startswith("http"), url).otherwise(F.concat(F.lit(HOME), url))
-    path = F.coalesce(group(full, _ABSOLUTE, 4), F.lit("/"))
-    path = F.when(full.rlike(_ABSOLUTE), F.substring_index(path, "/ref=", 1)).otherwise(F.substring_index(full, "?", 1))
-    found = F.when(full.rlike(_ABSOLUTE), product_id_in(path))
-    return F.when(filled(url), F.coalesce(F.concat(F.lit(f"{HOME}/dp/"), found), F.regexp_replace(path, r"/+\z", "")))
+
+    def of(full: Column) -> Column:
+        path = F.when(full.rlike(_ABSOLUTE), F.substring_index(F.regexp_replace(F.regexp_extract(full, _ABSOLUTE, 4), r"\A\z", "/"), "/ref=", 1))
+        return let(path, lambda path: F.coalesce(F.concat(F.lit(f"{HOME}/dp/"), product_id_in(path)), F.regexp_replace(F.coalesce(path, F.substring_index(full, "?", 1)), r"/+\z", "")))
+
+    # An empty link is null before it is looked at.
+    return let(F.when(filled(url), F.when(url.startswith("http"), url).otherwise(F.concat(F.lit(HOME), url))), of)
 
 
 def with_host(href: Column, host: str) -> Column:
@@ -146,11 +148,14 @@ def is_flipkart_next_page(href: Column) -> Column:
 
 def is_volatile(name: Column) -> Column:
     """Whether a page's URL is the same page without this parameter."""
-    n = F.lower(name)
-    out = n.isin(VOLATILE_PARAMS)
-    for prefix in VOLATILE_PREFIXES:
-        out = out | n.startswith(prefix)
-    return F.coalesce(out, F.lit(False))
+
+    def volatile(n: Column) -> Column:
+        out = n.isin(VOLATILE_PARAMS)
+        for prefix in VOLATILE_PREFIXES:
+            out = out | n.startswith(prefix)
+        return F.coalesce(out, F.lit(False))
+
+    return let(F.lower(name), volatile)
 
 
 def resolved(href: Column, base: Column) -> Column:
@@ -168,12 +173,14 @@ def resolved(href: Column, base: Column) -> Column:
 
 
 def _canonical(url: Column, pairs: Column) -> Column:
-    scheme, port = F.lower(group(url, _ABSOLUTE, 1)), group(url, _ABSOLUTE, 3)
-    port = F.when((scheme == "https") & (port == "443") | (scheme == "http") & (port == "80"), None).otherwise(port)
-    path = F.regexp_replace(F.coalesce(group(url, _ABSOLUTE, 4), F.lit("/")), " ", "%20")
-    path = F.when(F.length(path) > 1, F.regexp_replace(path, r"/\z", "")).otherwise(path)
+    """``url``: a lambda variable, as it is named often."""
+    part = lambda n: F.regexp_extract(url, _ABSOLUTE, n)
+    port = lambda p: F.when((p == "") | (p == "https:443") | (p == "http:80"), "").otherwise(F.concat(F.lit(":"), F.substring_index(p, ":", -1)))
+    port = let(F.when(part(3) == "", "").otherwise(F.concat(F.lower(part(1)), F.lit(":"), part(3))), port)
+    # Without the slash at its end, but that of the root.
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(part(4), r"\A\z", "/"), " ", "%20"), r"(?s)(?<=.)/\z", "")
     query = F.array_join(F.array_sort(F.array_distinct(pairs)), "&")
-    return F.concat(scheme, F.lit("://"), host_of(url), F.coalesce(F.concat(F.lit(":"), port), F.lit("")), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), port, path, F.regexp_replace(query, r"(?s)\A(?=.)", "?"))
 
 
 def _pairs(url: Column) -> Column:
@@ -185,24 +192,29 @@ def canonical_page(url: Column, base: str = HOME + "/") -> Column:
     """The identity of a page: no fragment, no volatile parameters, the other
     pairs distinct and sorted, host in lower case, no default port, no
     trailing slash; empty for an empty URL."""
-    t = trim(F.coalesce(url, F.lit("")))
-    full = resolved(t, F.lit(base))
-    kept = F.filter(_pairs(full), lambda p: ~is_volatile(decoded(F.substring_index(p, "=", 1))))
-    return F.when(t == "", "").otherwise(F.when(full.rlike(_ABSOLUTE), _canonical(full, kept)).otherwise(F.substring_index(t, "#", 1)))
+    return let(trim(F.coalesce(url, F.lit(""))), lambda t: _canonical_of(t, base))
+
+
+def _canonical_of(t: Column, base: str) -> Column:
+    kept = lambda full: F.filter(_pairs(full), lambda p: ~is_volatile(decoded(F.substring_index(p, "=", 1))))
+    known = lambda full: F.when(full.rlike(_ABSOLUTE), _canonical(full, kept(full))).otherwise(F.substring_index(t, "#", 1))
+    return F.when(t == "", "").otherwise(let(resolved(t, F.lit(base)), known))
 
 
 def canonical_page_of_site(url: Column) -> Column:
     """As :func:`canonical_page`; a lone "#" is empty."""
-    return F.when(trim(url) == "#", "").otherwise(canonical_page(url))
+    return let(trim(F.coalesce(url, F.lit(""))), lambda t: F.when(t == "#", "").otherwise(_canonical_of(t, HOME + "/")))
 
 
 def canonical_page_decoded(url: Column) -> Column:
     """As :func:`canonical_page`, with names and values decoded, for absolute
     URLs; others lose their fragment only."""
-    t = trim(F.coalesce(url, F.lit("")))
-    named = F.transform(_pairs(t), lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("n"), decoded(F.when(p.contains("="), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")).alias("v")))
-    kept = F.transform(F.filter(named, lambda p: ~is_volatile(p["n"])), lambda p: F.concat(p["n"], F.lit("="), p["v"]))
-    return F.when(t.rlike(_ABSOLUTE), _canonical(t, kept)).otherwise(F.substring_index(F.coalesce(url, F.lit("")), "#", 1))
+
+    def named(t: Column) -> Column:
+        pairs = F.transform(_pairs(t), lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("n"), decoded(F.when(p.contains("="), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")).alias("v")))
+        return F.transform(F.filter(pairs, lambda p: ~is_volatile(p["n"])), lambda p: F.concat(p["n"], F.lit("="), p["v"]))
+
+    return let(trim(F.coalesce(url, F.lit(""))), lambda t: F.when(t.rlike(_ABSOLUTE), _canonical(t, named(t))).otherwise(F.substring_index(F.coalesce(url, F.lit("")), "#", 1)))
 
 
 def admission(url: Column, origin: Column) -> Column:

@@ -28,8 +28,10 @@ from shelfline.sources.sites import CARD_BITS, extract_products, scan_pages
 def page_links(pages: DataFrame) -> DataFrame:
     """canonical, page, next_url, next_canonical and found_query of ``pages``
     (page_id, url, html), each page identity once, with the smallest id."""
-    own = pages.select(urls.canonical_page_of_site(F.col("url")).alias("canonical"), F.col("page_id").cast("bigint").alias("page"))
-    first = own.where(F.col("canonical") != "").groupBy("canonical").agg(F.min("page").alias("page"))
+    # Each URL is worked out once: a filter on it would do so again.
+    there = F.filter(F.array(urls.canonical_page_of_site(F.col("url"))), lambda c: c != "")
+    own = pages.select(F.explode(there).alias("canonical"), F.col("page_id").cast("bigint").alias("page"))
+    first = own.groupBy("canonical").agg(F.min("page").alias("page"))
     scanned = scan_pages(pages).select("page", F.col("next_page_url").alias("next_url"), F.nullif(F.col("search_query"), F.lit("")).alias("found_query"))
     # Rows that share an id are one page.
     found = stored(scanned.groupBy("page").agg(F.min("next_url").alias("next_url"), F.min("found_query").alias("found_query")), "scanned")

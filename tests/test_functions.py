@@ -137,3 +137,18 @@ def test_pins(spark):
     check(spark, leading_number, [("500abc", 500), (" 1.5e2x", 150), ("abc", None)])
     check(spark, squeeze, [("  a \t﻿ b\n", "a b")])
     check(spark, decoded, [("a+b%20c", "a b c"), ("50%", "50%")])
+
+
+@pytest.mark.parametrize("function", [urls.canonical_page_of_site, urls.canonical_page_decoded, urls.product_url])
+def test_urls_are_worked_out_once(spark, function):
+    """No part of a URL is written out for every use of it."""
+    plan = spark.createDataFrame([("a",)], "u string").select(function(F.col("u")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") + plan.count("RLIKE") < 40, len(plan)
+
+
+def test_odd_urls(spark):
+    check(spark, urls.canonical_page_of_site, [
+        (None, ""), (" # ", ""), ("", ""), ("#x", "https://www.amazon.in/"), ("HTTPS://A.b:443", "https://a.b/"), ("http://a.b:443/c/?", "http://a.b:443/c"), ("http://a.b:80//", "http://a.b/"),
+        ("https://a.b/c d/?y=2&x=1&x=1&qid=3#z", "https://a.b/c%20d?x=1&y=2"), ("mailto:x#y", "mailto:x"), ("/s?k=%zz&ref=1", "https://www.amazon.in/s?k=%zz"), ("?k=1", "https://www.amazon.in/?k=1"),
+    ])
+    check(spark, urls.product_url, [(None, None), ("", None), ("/", ""), ("http:x?y", "http:x"), ("/dp/b0abcdefgh?x", "https://www.amazon.in/dp/B0ABCDEFGH"), ("https://a.b", ""), ("/x//ref=y", "/x")])
