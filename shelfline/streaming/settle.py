@@ -4,11 +4,15 @@ Events arrive in any order within the watermark's delay.  A key's state holds
 the events that the watermark has not passed and those of triggers that are
 still open; a timer closes a trigger once the watermark passes its cap, when
 no event of its can come any more.  What is given for it then never changes.
+A batch sets one timer a key, for the first of its triggers, and one that has
+gone off sets the next: so a key is called a few times a batch, not once a
+trigger.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,24 +38,29 @@ def closed_runs(events: list[tuple[int, bool]], quiet: int, cap: int, passed: in
     events up to the next trigger, the first late one and its cap.
     """
     events = sorted([*{e for e in events if e[1]}, *(e for e in events if not e[1])], key=lambda e: (e[0], not e[1]))
-    starts = [at for at, trigger in events if trigger]
     done, first_open = [], None
-    for k, start in enumerate(starts):
+    for k, (start, begins) in enumerate(events):
+        if not begins:
+            continue
         if start + cap >= passed:
             first_open = start
             break
-        until = starts[k + 1] if k + 1 < len(starts) else None
         last, grown = None, 0
-        for at, trigger in events:
-            if trigger or at < start:
-                continue
-            if at > start + cap or (until is not None and at >= until) or (last is not None and at > last + quiet):
+        for at, trigger in islice(events, k + 1, None):
+            if trigger or at > start + cap or (last is not None and at > last + quiet):
                 break
             last, grown = at, grown + 1
         done.append((start, min(start + cap, (last + quiet) if last is not None else start + cap), grown))
     return done, [e for e in events if e[0] > passed or (first_open is not None and e[0] >= first_open)]
 
 
+def next_timer(events: list[tuple[int, bool]], cap: int) -> int:
+    """When (in ms) some of the events can be let go: after the cap of the
+    first trigger, or after them all if there is none."""
+    starts = [at for at, trigger in events if trigger]
+    return (min(starts) + cap if starts else max(at for at, _ in events)) // 1000 + 2
+
+
 class _Settling(StatefulProcessor):
     def __init__(self, key: str, quiet: int, cap: int):
         self.key, self.quiet, self.cap = key, quiet, cap
@@ -64,17 +73,13 @@ class _Settling(StatefulProcessor):
         return [(int(at), bool(trigger)) for at, trigger in self.events.get()]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, fresh = 0, []
+        fresh = []
         for frame in rows:
-            for at, trigger in zip(frame.iloc[:, 2].tolist(), frame.iloc[:, 3].tolist(), strict=True):
-                fresh.append((int(at), bool(trigger)))
-                last = max(last, at)
-                if trigger:
-                    self.handle.registerTimer((at + self.cap) // 1000 + 2)
+            fresh += zip(frame.iloc[:, 2].tolist(), frame.iloc[:, 3].tolist(), strict=True)
         if fresh:
             self.events.appendList(fresh)
-            self.handle.registerTimer(last // 1000 + 2)  # to forget events of no trigger
-        yield pd.DataFrame()
+            self.handle.registerTimer(next_timer(fresh, self.cap))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         known = self._stored()
@@ -84,12 +89,12 @@ class _Settling(StatefulProcessor):
             self.events.clear()
         elif len(keep) < len(known):
             self.events.put(keep)
+        if keep:
+            self.handle.registerTimer(next_timer(keep, self.cap))
         if done:
             frame = pd.DataFrame(done, columns=["started", "settled", "grown"])
             frame.insert(0, self.key, [key[0]] * len(done))
             yield frame
-        else:
-            yield pd.DataFrame()
 
     def close(self) -> None:
         pass

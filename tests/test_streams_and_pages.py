@@ -253,3 +253,52 @@ def test_titles_as_they_are_written(spark, tmp_path):
     """Headings with other entities than ampersands, cut ones, none, and no HTML."""
     pages = [(1, '<h1>a&amp;b &quot;c&quot; &amp</h1><h1>d</h1><div class="ad">x</div>'), (2, "<p>no heading</p>"), (3, None), (4, ""), (5, "<h1>x\ny &lt;&lt;</h1>")]
     equals_its_sql(spark, tmp_path, "html_titles", ["page_id", "title", "ads"], pages=([(k, "u", h) for k, h in pages], "page_id bigint, url string, html string"))
+
+
+def test_a_batch_sets_one_timer_a_key():
+    """However many triggers a key has; a timer that has gone off sets the next, and all runs come out."""
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.rows = [], []
+
+        def getListState(self, *_):
+            return self
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def get(self):
+            return iter(list(self.rows))
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    handle, quiet, cap = Handle(), 9_000_000, 40_000_000
+    settling = settle._Settling("user", quiet, cap)
+    settling.init(handle)
+    rnd = random.Random(4)
+    events = [(t * 1_000_000, rnd.random() < 0.4) for t in rnd.sample(range(400), 120)]
+    got, calls = {}, 0
+    for part in (events[:70], events[70:]):
+        set_before = len(handle.timers)
+        list(settling.handleInputRows((1,), iter([pd.DataFrame([(1, None, *e) for e in part])]), handle))
+        assert len(handle.timers) == set_before + 1
+    while handle.timers:
+        handle.now = min(handle.timers)
+        handle.timers.remove(handle.now)
+        for frame in settling.handleExpiredTimer((1,), handle, None):
+            assert not got.keys() & set(frame["started"])
+            got |= {s: (e, n) for s, e, n in zip(frame["started"], frame["settled"], frame["grown"], strict=True)}
+        calls += 1
+    assert got == plain_runs(events, quiet, cap) and not handle.rows and calls < 400
