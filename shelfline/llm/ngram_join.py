@@ -22,7 +22,7 @@ all parts of it, so no link between components is lost.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -195,12 +195,13 @@ class Counters:
         return self.table[self.slot(grams)]
 
 
-def _counters(docs: DataFrame, rule: Rule) -> Counters:
-    """The counters over the sets of ``docs``; each task adds up its own."""
+def _counters(docs: DataFrame, rule: Rule, only) -> Counters:
+    """The counters over the sets of what ``only`` leaves of ``docs``; each
+    task adds up its own."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SLOTS, dtype=np.int64)
-        for batch in batches:
+        for batch in map(only, batches):
             for _, _, _, gram in _sets(batch["text"], rule.n):
                 slots, times = np.unique(Counters.slot(gram), return_counts=True)
                 table[slots] += times
@@ -213,14 +214,14 @@ def _counters(docs: DataFrame, rule: Rule) -> Counters:
     return Counters(table)
 
 
-def _memberships(docs: DataFrame, rule: Rule, order) -> DataFrame:
+def _memberships(docs: DataFrame, rule: Rule, order, only=lambda batch: batch) -> DataFrame:
     """grp, doc and grams: the groups in which documents with a common n-gram
     of their prefixes meet, each named by its smallest document, and how many
-    n-grams of the document's prefix lead there."""
+    n-grams of the document's prefix lead there; of what ``only`` leaves."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Order | Counters = order.value
-        for batch in batches:
+        for batch in map(only, batches):
             ids = batch["doc"].to_numpy()
             for first, last, row, gram in _sets(batch["text"], rule.n):
                 if not len(row):
@@ -383,23 +384,24 @@ class PrefixTree:
 
 
 def _join(docs: np.ndarray, sets: list[np.ndarray], rule: Rule, known: Order | Counters) -> tuple[list[int], list[int], np.ndarray]:
-    """Links that connect each component of a group, and the component of
-    each set.  In the trie stands first what is last in the global order: the
-    n-grams that most sets share."""
+    """What connects each component of a group, each set but the one of the
+    smallest document with that one (a star is flat, so few rounds join stars
+    of several groups), and the component of each set.  In the trie stands
+    first what is last in the global order: the n-grams that most sets share."""
     order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), docs[k]))
     grams, back = np.unique(np.concatenate(sets), return_inverse=True)
     rank = np.empty(len(grams), dtype=np.int64)
     rank[np.lexsort((grams, known.frequency(grams)))] = np.arange(len(grams))[::-1]
     ranks = np.split(rank[back], np.cumsum([len(s) for s in sets])[:-1])
     tree = PrefixTree(rule, len(grams))
-    a, b = [], []
     for k in order:
-        for partner in tree.link(np.sort(ranks[k])):
-            a.append(int(docs[k]))
-            b.append(int(docs[order[partner]]))
+        tree.link(np.sort(ranks[k]))
     part = np.empty(len(sets), dtype=np.int64)
     part[order] = [tree.find(k) for k in range(len(order))]
-    return a, b, part
+    least = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(least, part, docs)
+    leaf = docs != least[part]
+    return docs[leaf].tolist(), least[part][leaf].tolist(), part
 
 
 def _bloom(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -431,9 +433,10 @@ def _members(met: DataFrame, rule: Rule) -> DataFrame:
     return several(judged.where(F.col("grams") >= F.col("need")).drop("need"))
 
 
-def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of the documents in ``wanted`` (and, as a filter of bounded size
-    decides, of some others)."""
+def _only(wanted: DataFrame) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """What leaves of a batch the documents in ``wanted`` (and, as a filter of
+    bounded size decides, some others).  It runs in the step that reads the
+    texts, so a task needs one Python process for both."""
     n = wanted.count()
     bits = 1 << 10
     while bits < min(16 * n, FILTER_BITS):
@@ -459,34 +462,35 @@ def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 pages[at] = pages[at] | page if at in pages else page.copy()
         yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int32()), pa.array([page.tobytes() for page in pages.values()], pa.binary())], names=["at", "bits"])
 
-    # Pages of all tasks are put together by page: the driver gets each once.
+    # Pages of all tasks are put together by page: the driver gets each once, in
+    # one job (a local iterator starts one for each partition), FILTER_BITS at most.
     pages = wanted.select("doc").mapInArrow(fill, "at int, bits binary").repartition("at").mapInArrow(joined, "at int, bits binary")
-    for row in pages.toLocalIterator():
+    for row in pages.collect():
         table[row["at"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(table.reshape(-1))
+    held = wanted.sparkSession.sparkContext.broadcast(table.reshape(-1))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def only(batch: pa.RecordBatch) -> pa.RecordBatch:
         def has(at: np.ndarray) -> np.ndarray:
             return (held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
-        for batch in batches:
-            one, two = _bloom(batch["doc"].to_numpy(), bits)
-            yield batch.filter(pa.array(has(one) & has(two)))
+        one, two = _bloom(batch["doc"].to_numpy(), bits)
+        return batch.filter(pa.array(has(one) & has(two)))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return only
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """doc and grams of the documents in ``wanted`` (and of some others)."""
+    only = _only(wanted)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(only, batches):
             for first, last, row, gram in _sets(batch["text"], rule.n):
                 ends = np.searchsorted(row, np.arange(last - first + 1)).astype(np.int32)
                 grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(gram.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch["doc"].slice(first, last - first), grams], names=["doc", "grams"])
 
-    return _only(docs, wanted).mapInArrow(rows, "doc bigint, grams array<bigint>")
+    return docs.mapInArrow(rows, "doc bigint, grams array<bigint>")
 
 
 def _linked(placed: DataFrame, sets: DataFrame, rule: Rule, order) -> DataFrame:
@@ -559,9 +563,9 @@ def _apart(texts: DataFrame, placed: DataFrame, rest: DataFrame, size: DataFrame
     near = placed.join(rest.select("grp").distinct(), "grp", "left_semi").select("doc").distinct()
     near = near.join(rest.select("doc").distinct().withColumn("outside", F.lit(True)), "doc", "left").join(size, "doc")
     near = stored(near, "apart")
-    some = _only(texts, near)
-    order = texts.sparkSession.sparkContext.broadcast(_counters(some, rule))
-    met = stored(_memberships(some, rule, order).join(near, "doc"), "met-apart")
+    only = _only(near)
+    order = texts.sparkSession.sparkContext.broadcast(_counters(texts, rule, only))
+    met = stored(_memberships(texts, rule, order, only).join(near, "doc"), "met-apart")
     met = met.join(met.where("outside").select("grp").distinct(), "grp", "left_semi").drop("outside")
     groups, placed = _place(stored(_members(met, rule), "members-apart"))
     links, rest = _found(placed, texts, rule, order, "links-apart")

@@ -147,6 +147,32 @@ def test_prefix_tree_finds_every_component():
                 assert (find(i) == find(j)) == (part[i] == part[j])
 
 
+def test_links_of_a_group_are_stars():
+    """A chain of sets, each near the next, is joined to its smallest
+    document, so its links need no rounds to become flat."""
+    sets = [np.arange(k, k + 40, dtype=np.uint64) for k in range(30)]
+    known = ngram_join.Order(sets[0][:0], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    a, b, _ = ngram_join._join(np.arange(100, 130)[::-1].copy(), sets, ngram_join.Rule(4, 85, 100), known)
+    assert sorted(zip(a, b, strict=True)) == [(k, 100) for k in range(101, 130)]
+
+
+def test_filter_of_documents_is_fetched_in_one_job(spark):
+    wanted = spark.range(0, 3000, 3).select(F.col("id").alias("doc")).repartition(40)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("filter", "")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        only = ngram_join._only(wanted)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(tracker.getJobIdsForGroup("filter")) < 10
+    left = set(only(pa.RecordBatch.from_arrays([pa.array(range(3000), type=pa.int64())], names=["doc"]))["doc"].to_pylist())
+    assert left >= set(range(0, 3000, 3)) and len(left) < 1500
+
+
 def test_stars(spark):
     r = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 30)] + [(100, r.randrange(101, 140)) for _ in range(40)] + [(200, 200)]
