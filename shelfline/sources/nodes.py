@@ -35,7 +35,9 @@ class Pick:
     out.  ``leaf``: only elements without elements.  ``up``: texts that are
     shorter, runs of white space counted as one, bring the texts of their
     ancestors within the card.  ``source``: the text is what is written between
-    the element's tags, markup and entities as they are.
+    the element's tags, markup and entities as they are.  ``has``: a pattern
+    found in the text or in an attribute of ``attrs``; nodes without it, of
+    which no rule makes anything, give no row.
     """
 
     name: str
@@ -48,6 +50,7 @@ class Pick:
     up: int = 0
     first_tier: int = 0
     source: bool = False
+    has: str = ""
 
     def nodes(self, card: Node) -> Iterator[tuple[list[int], Node, Node]]:
         if self.within:
@@ -62,6 +65,7 @@ class Pick:
 
     def rows(self, card: Node) -> Iterator[tuple]:
         seen = set()
+        has = re.compile(self.has).search if self.has else None
         for at, node, holder in self.nodes(card):
             if self.own and self.within:
                 # In a region within another the same node comes again, later.
@@ -71,6 +75,8 @@ class Pick:
             if self.longest and node.page.trimmed_length(node.first, node.last) > self.longest or self.leaf and node.kids:
                 continue
             text = node.source() if self.source else node.text()
+            if has and not has(text) and not any(has(holder.attrs[a]) for a in self.attrs if a in holder.attrs):
+                continue
             attrs = {a: holder.attrs[a] for a in self.attrs if a in holder.attrs}
             attrs["#tag"] = node.tag
             if node.under:

@@ -20,6 +20,9 @@ from shelfline.sources.nodes import Pick, Spec, select_nodes
 
 _BOX = Pick("box", ('input[name="q"], input[placeholder*="Search"], input[aria-label*="Search"]',), ("value",))
 
+# What a rule needs at least of a node that is picked by its tag alone.
+_DIGIT, _SPONSORED, _COUNTED = "[0-9]", "(?i)sponsored", "(?i)rating|review"
+
 # Where the first shop's pages keep their fields.
 AMAZON = Spec(
     cards=lambda root: root.select('[data-component-type="s-search-result"]'),
@@ -38,10 +41,10 @@ AMAZON = Spec(
         Pick("count", (
             'a[href*="customerReviews"] span', 'a[href*="product-reviews"] span', "span.a-size-base.s-underline-text", "span.a-size-base.a-color-base", "a span.a-size-base",
         ), first_tier=1),
-        Pick("count", ("span, a, div",), longest=40, first_tier=6),
+        Pick("count", ("span, a, div",), longest=40, first_tier=6, has=_DIGIT),
         Pick("ad", ('[data-component-type="sp-sponsored-result"]', ".puis-sponsored-label-text, .s-sponsored-label-text, .puis-sponsored-label-txt, .s-sponsored-label-info-icon"), longest=0),
-        Pick("leaf", ("span, div, a, i, b",), longest=20, leaf=True),
-        Pick("label", ("[aria-label], [title]",), ("aria-label", "title")),
+        Pick("leaf", ("span, div, a, i, b",), longest=20, leaf=True, has=_SPONSORED),
+        Pick("label", ("[aria-label], [title]",), ("aria-label", "title"), has=_SPONSORED),
     ),
     page=(
         Pick("box", ("#twotabsearchtextbox", 'input[name="field-keywords"]', '#nav-search input[type="text"]', 'input[aria-label*="Search"]'), ("value",)),
@@ -68,7 +71,7 @@ FLIPKART = Spec(
         Pick("rating", ("._3LWZlK", "div._3LWZlK", "span._3LWZlK", "._2beYZw", "._1x2VEC", "._1nLEql", '[class*="rating"]')),
         Pick("ratings", ("span._2U9tEA", "._2U9tEA", 'span[class*="rating-count"]', 'span[class*="RatingCount"]')),
         Pick("reviews", ('span[class*="review-count"]', 'span[class*="ReviewCount"]', "span._2U9tEA", "._2U9tEA")),
-        Pick("span", ("span",), longest=60),
+        Pick("span", ("span",), longest=60, has=_COUNTED),
         Pick("image", ("img",), ("src", "data-src")),
         Pick("ad", ('[class*="sponsored"], [class*="ad-label"], [class*="adLabel"]',)),
     ),
@@ -102,13 +105,13 @@ MEESHO = Spec(
         Pick("price", (
             'span[class*="Price"]', 'span[class*="price"]', 'div[class*="Price"]', 'div[class*="price"]', 'span[class*="Selling"]', 'span[class*="selling"]', 'span[class*="MRP"]', 'span[class*="Mrp"]', 'span[class*="mrp"]',
         )),
-        Pick("price", ("*",), longest=30, first_tier=10),
+        Pick("price", ("*",), longest=30, first_tier=10, has="₹"),
         Pick("rating", (
             '[class*="AverageRating"]', '[class*="Rating"]', '[class*="rating"]', 'span[class*="rating"]', 'div[class*="rating"]', 'span[class*="Star"]', 'span[class*="star"]',
         )),
         Pick("ratings", ('[class*="Ratings"]', '[class*="ratings"]', 'span[class*="Rating"]', 'div[class*="Rating"]')),
         Pick("reviews", ('[class*="Reviews"]', '[class*="reviews"]', 'span[class*="Review"]', 'div[class*="Review"]')),
-        Pick("span", ("span",), longest=60),
+        Pick("span", ("span",), longest=60, has=_COUNTED),
         Pick("image", ("img",), ("src", "data-src")),
         Pick("ad", ('[class*="sponsored"], [class*="promoted"], [class*="ad-label"]',)),
         Pick("gold", ('[class*="Gold"], [class*="gold"], [class*="badge"]',)),
@@ -137,22 +140,22 @@ def registered(spark) -> DataFrame:
     return spark.createDataFrame(rows, "place int, name string, domains array<string>, implemented boolean")
 
 
-#: Attributes that fields look at.
-ATTRS = [
-    "href", "src", "data-src", "srcset", "width", "height", "class", "aria-label", "title", "data-asin", "data-component-type", "data-a-strike", "data-action", "data-testid",
-    "aria-disabled", "aria-hidden", "value", "id",
-]
+def _prepared(nodes: DataFrame) -> DataFrame:
+    """Node rows with what many fields look at worked out once: the trimmed
+    and the squeezed text."""
+    return nodes.withColumns({"trimmed": trim(F.col("text")), "squeezed": squeeze(F.col("text")), "at": _as_it_is("at")})
 
 
-def _prepared(nodes: DataFrame) -> DataFrame:
-    """Node rows with what many fields look at worked out once: attributes
-    (empty where missing), the trimmed and the squeezed text."""
-    attrs = {f"@{a}": F.coalesce(F.element_at("attrs", F.lit(a)), F.lit("")) for a in ATTRS}
-    return nodes.withColumns(attrs | {"trimmed": trim(F.col("text")), "squeezed": squeeze(F.col("text"))})
+def _as_it_is(name: str) -> Column:
+    """An array through a lambda: a projection with one stays out of
+    whole-stage code.  There the rules of a shop are one method, too large for
+    the JVM to compile (8000 bytes), which is then interpreted row by row."""
+    return F.transform(name, lambda x: x)
 
 
 def _attr(name: str) -> Column:
-    return F.col(f"`@{name}`")
+    """An attribute, empty where missing; looked up by the rules that ask for it."""
+    return F.coalesce(F.element_at("attrs", F.lit(name)), F.lit(""))
 
 
 def _positive(c: Column) -> Column:
@@ -177,7 +180,7 @@ def _reduce(nodes: DataFrame, fields: dict[str, tuple[str, Column, Column | None
     """
     of = lambda name, value: F.when(F.col("name") == name, value)
     staged = nodes.select(
-        "page", "card", "at",
+        "page", "card", _as_it_is("at").alias("at"),
         *[of(name, value if ok is None else F.when(ok, value)).alias(a) for a, (name, value, ok) in fields.items()],
         *[F.coalesce(*[of(name, ok) for name, ok in by_name.items()]).alias(a) for a, by_name in flags.items()],
         *[x for a, (value, order) in more.items() for x in (value.alias(a), order.alias(f"{a}_order"))],
@@ -203,7 +206,7 @@ def _amazon(nodes: DataFrame) -> DataFrame:
     said = F.coalesce(F.nullif(_text(), F.lit("")), _attr("aria-label"))
     stars = F.coalesce(group(said, rf"(?i)(\d+(?:\.\d+)?){WHITE}*out of 5").try_cast("double"), leading_number(said))
     nodes = nodes.withColumn("counted", F.when(F.col("name") == "count", F.when(_tier() == 0, _attr("aria-label")).otherwise(F.col("trimmed"))))
-    nodes = nodes.withColumn("n", numbers.feedback_count(F.col("counted")))
+    nodes = nodes.withColumns({"n": numbers.feedback_count(F.col("counted")), "at": _as_it_is("at")})
     count = F.col("n")
     plausible = F.when(_tier() == 0, count > 0).otherwise(numbers.plausible_count(F.col("counted"), count) & ((_tier() < 6) | F.element_at("attrs", F.lit("#heading")).isNull()))
     label = lambda a: trim(_attr(a)).rlike("(?i)^sponsored")
@@ -235,7 +238,7 @@ def _other(nodes: DataFrame, name: str, host: str, title: Column, price: Column,
     ``numbers`` are worked out once for the nodes named with them; ``counts``
     and ``spans`` say which of them a count's own nodes and the spans give."""
     of = lambda names, value: F.when(F.col("name").isin(names), _positive(value))
-    nodes = nodes.withColumns({f"#{k}": of(names, value) for k, (names, value) in numbers.items()} | {"#price": of(["price"], price)})
+    nodes = nodes.withColumns({f"#{k}": of(names, value) for k, (names, value) in numbers.items()} | {"#price": of(["price"], price), "at": _as_it_is("at")})
     price, counts, spans = F.col("`#price`"), {k: F.col(f"`#{n}`") for k, n in counts.items()}, {k: F.col(f"`#{n}`") for k, n in spans.items()}
     href = trim(_attr("href"))
     stars = F.regexp_extract(_text(), r"(\d+(?:\.\d+)?)", 1).try_cast("double")

@@ -168,6 +168,22 @@ def test_one_scan_of_the_pages(spark, tmp_path):
         assert text.count("MapInArrow") == 1 and text.count("Relation [") == 1 and "Join" not in text
 
 
+def test_elements_that_no_rule_reads_give_no_node_rows(spark):
+    """A hundred plain elements of a card cost no row; a count, an
+    advertisement's mark and a price among them keep theirs."""
+    plain = "<span>plain</span><div>text</div><i title='x'></i>" * 100
+    shops = [
+        ("https://www.amazon.in/s?k=w", CARD.format(12, 999, 10).replace("</h2>", "</h2>" + plain + "<div>7,654 ratings</div><i>Sponsored</i>")),
+        ("https://www.flipkart.com/search?q=w", '<div data-id="x"><a class="_4rR01T">steel widget</a>' + plain + "<span>12 Ratings</span><span>3 Reviews</span></div>"),
+        ("https://www.meesho.com/search?q=w", '<div data-id="m"><a href="/shirt/p/abc123"><p>cotton kurti</p></a>' + plain + "<i>₹99</i> <span>5 ratings</span></div>"),
+    ]
+    pages = html_pages(spark, *shops)
+    rows = dict(sites.card_nodes(pages).groupBy("page").count().collect())
+    assert max(rows.values()) < 40
+    got = {r.source: (r.price, r.rating_count, r.review_count, r.sponsored) for r in sites.extract_products(pages).collect()}
+    assert got["Amazon"][3] and got["Flipkart"] == (None, 12, 3, False) and got["Meesho"][:2] == (99, 5)
+
+
 def test_unreadable_cards_are_told(spark, monkeypatch):
     class Broken(Pick):
         def nodes(self, card):
