@@ -27,9 +27,10 @@ def candidates(raw: DataFrame, query: str | None = None, low: float | None = Non
     return filtered(deduplicate(raw_products(raw)), query, low, high)
 
 
-def filtered(unique: DataFrame, query: str | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Those of products without duplicates that are ranked."""
-    return organic(in_budget(relevant(validate(unique), query), low, high))
+def filtered(unique: DataFrame, query: str | None = None, low: float | None = None, high: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Those of products without duplicates that are ranked, with the columns
+    ``keep`` as they are."""
+    return organic(in_budget(relevant(validate(unique, keep), query), low, high))
 
 
 def rank_products(raw: DataFrame, query: str | None = None, low: float | None = None, high: float | None = None, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -83,8 +83,8 @@ def rank_stream(stream: DataFrame, folder: str, **options) -> DataStreamWriter:
     A batch reads the state by key (:class:`RankState`) and itself, no earlier
     batch.  Its changes are written under its number, so one that is tried
     again replaces itself; the ranking after it goes to a folder of that
-    number, and an empty one is not written: the last good one stays
-    (:func:`last_ranking`).
+    number, written once; an empty one leaves no row there, so the last good
+    one stays (:func:`last_ranking`).
     """
     ranked, state = f"{folder}/ranked", RankState(stream.sparkSession, f"{folder}/state", **options)
     # What there is before any batch: no row, but the columns of a ranking.
@@ -93,9 +93,7 @@ def rank_stream(stream: DataFrame, folder: str, **options) -> DataStreamWriter:
 
     def each(batch: DataFrame, number: int) -> None:
         state.merge(batch, number)
-        result = stored(state.ranked(number), "stream-ranked")
-        if not result.isEmpty():
-            result.write.mode("overwrite").parquet(f"{ranked}/batch={number}")
+        state.ranked(number).write.mode("overwrite").parquet(f"{ranked}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/progress")
 

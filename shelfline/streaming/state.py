@@ -1,8 +1,10 @@
 """The ranking's state: one row a product key, kept as a log of changes.
 
 A batch is reduced by key, merged with what the state knows of these keys, and
-written as the batch's changes: the best row so far, the key's first ordinal,
-and the row as it would be ranked (null where a filter takes it).  Earlier
+written as the batch's changes: a row with the best row so far and the key's
+first ordinal, and another with the row as it would be ranked, unless a filter
+takes it.  So the two are put side by side without a join.  A key is ranked if
+its last change came with such a row.  Earlier
 batches' raw rows are not read again, and only changed keys are validated and
 scored.  After COMPACT batches the log is rewritten as one table.
 """
@@ -43,13 +45,12 @@ class RankState:
         return _reduced(batch.select(product_key().alias("key"), F.col("ordinal").alias("first"), merit().alias("merit"), F.struct(*batch.columns).alias("best")))
 
     def _changes(self, merged: DataFrame) -> DataFrame:
-        """With the row that would be ranked.  A number of the row's own
-        stands for its ordinal meanwhile, as ordinals may repeat."""
-        numbered = stored(merged.withColumn("id", F.monotonically_increasing_id()), "changed-keys")
-        rows = numbered.select("best.*", "id").withColumn("ordinal", F.col("id")).drop("id")
-        ranked = filtered(rows, *self.options)
-        ranked = ranked.select(F.col("ordinal").alias("id"), F.struct(*ranked.columns).alias("candidate"))
-        return numbered.join(ranked, "id", "left").select("key", "first", "merit", "best", F.when(F.col("candidate").isNotNull(), F.col("candidate").withField("ordinal", F.col("first"))).alias("candidate"))
+        """Beside them rows of their keys with what would be ranked."""
+        merged = stored(merged, "changed-keys")
+        rows = merged.select("key", "best.*", "first").withColumn("ordinal", F.col("first")).drop("first")
+        ranked = filtered(rows, *self.options, keep=["key"])
+        ranked = ranked.select("key", F.struct(*[c for c in ranked.columns if c != "key"]).alias("candidate"))
+        return merged.select("key", "first", "merit", "best").unionByName(ranked, allowMissingColumns=True)
 
     def _log(self, upto: int) -> DataFrame | None:
         """The changes of all batches up to a number, with it; the last
@@ -64,19 +65,27 @@ class RankState:
         base = log.where("level = 'whole'").agg(F.max("batch")).first()[0]
         return log.where((F.col("level") == "change") & (F.col("batch") > F.lit(-1 if base is None else base)) | (F.col("level") == "whole") & (F.col("batch") == F.lit(base)))
 
-    def _last(self, log: DataFrame) -> DataFrame:
-        """Of each key what the last batch that changed it left."""
-        return log.groupBy("key").agg(F.max_by(F.struct("first", "merit", "best", "candidate"), "batch").alias("s")).select("key", "s.*")
+    def _last(self, log: DataFrame, *columns: str) -> DataFrame:
+        """Of each key what the last batch that changed it left: ``columns``
+        of its state, and the candidate where that batch has one."""
+        # Organic or not is said of every best row; a part of it is enough to read.
+        changed = F.when(F.col("merit.organic").isNotNull(), F.col("batch"))
+        offered = F.when(F.col("candidate").isNotNull(), F.col("batch"))
+        last = log.groupBy("key").agg(
+            F.max(changed).alias("changed"), F.max(offered).alias("offered"), F.max_by("candidate", offered).alias("candidate"),
+            *[F.max_by(F.struct(*columns), changed).alias("s")] * bool(columns),
+        )
+        return last.select("key", *["s.*"] * bool(columns), F.when(F.col("offered") == F.col("changed"), F.col("candidate")).alias("candidate"))
 
     def merge(self, batch: DataFrame, number: int) -> None:
         fresh = stored(self._fresh(batch), "batch-keys")
         log = self._log(number - 1)
         if log is not None:
-            known = self._last(log.join(fresh.select("key"), "key", "left_semi"))
+            known = self._last(log.where("best is not null").join(fresh.select("key"), "key", "left_semi"), "first", "merit", "best")
             fresh = _reduced(fresh.unionByName(known.drop("candidate")))
         self._changes(fresh).write.mode("overwrite").parquet(f"{self.folder}/level=change/batch={number}")
         if number % COMPACT == COMPACT - 1:
-            self._last(self._log(number)).write.mode("overwrite").parquet(f"{self.folder}/level=whole/batch={number}")
+            self._last(self._log(number), "first", "merit", "best").write.mode("overwrite").parquet(f"{self.folder}/level=whole/batch={number}")
 
     def candidates(self, number: int) -> DataFrame:
         """The rows that are ranked after batch ``number``."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfline.functions.text import asked, relevance_between, with_relevance
 from shelfline.operators.ranking import with_rank
 from shelfline.plans.pipeline import candidates
-from shelfline.plans.storage import shared_dir
+from shelfline.plans.storage import shared_dir, stored
 from shelfline.sources import sites
 from shelfline.sources.connector import ShopPages, read_products
 from shelfline.sources.dom import parse
@@ -104,6 +104,26 @@ def test_rankings_of_a_stream_stay_where_nothing_can_be_ranked(spark):
     assert got[0].isEmpty() and shown(got[1]) == shown(got[2]) == shown(with_rank(candidates(table(spark, rows))))
 
 
+def test_a_batch_of_a_stream_is_written_as_often_as_it_must(spark, monkeypatch):
+    """Keys of the batch, changed keys, rows to rank and their places; the
+    ranking itself once, in its folder."""
+    written = []
+
+    def counted(df, name, *rest):
+        written.append(name)
+        return stored(df, name, *rest)
+
+    for module in ("streaming.incremental", "streaming.state", "operators.ranking"):
+        monkeypatch.setattr(f"shelfline.{module}.stored", counted)
+    state = RankState(spark, shared_dir(spark, "state"))
+    changes = state._changes(state._fresh(table(spark, arrivals(6, 20))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in changes
+    written.clear()
+    got = rank_batches(spark, [table(spark, arrivals(5, 40))])
+    assert not got[0].isEmpty() and "stream-ranked" not in written
+    assert written.count("to-rank") <= 3  # of no row, for the columns, of the empty file that a stream begins with, and of the batch
+
+
 SEARCH = "https://www.amazon.in/s?k={0}"
 NEXT = '<nav><a href="{0}">Next</a></nav>'
 
